@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import near_dup
+from brindle.llm import idstore, near_dup, pieces
+from brindle.session import scratch
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +24,20 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, shingle=3, percent=85)
 
 
-QUERIES = {"op3_minhash_near_dup": op3_minhash_near_dup}
+def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "idstore")
+    idstore.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return idstore.verify_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op2_content_store": op2_content_store,
+    "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op8_sentencepiece_codec": op8_sentencepiece_codec,
+}
 ORACLES: dict[str, str] = {}
