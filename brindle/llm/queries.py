@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import idstore, near_dup, pieces
+from brindle.llm import idstore, near_dup, pieces, vector_dup
 from brindle.session import scratch
 
 
@@ -30,6 +30,10 @@ def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.verify_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_hyperplane_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
@@ -38,6 +42,7 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_content_store": op2_content_store,
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op7_hyperplane_near_dup": op7_hyperplane_near_dup,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
 }
 ORACLES: dict[str, str] = {}
