@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import idstore, near_dup, pieces, vector_dup
+from brindle.llm import idstore, language, near_dup, pieces, toxicity, vector_dup
+from brindle.llm.sampling import id_hash
 from brindle.session import scratch
 
 
@@ -30,6 +31,20 @@ def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.verify_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.learn(language.training_rows(docs))
+    held_out = (F.pmod(id_hash("doc_id"), F.lit(4)) == 2).alias("held_out")
+    return language.identify(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    held_out = (F.pmod(id_hash("doc_id"), F.lit(5)) == 0).alias("held_out")
+    return toxicity.score_texts(docs, net).select("doc_id", held_out, "score", "predicted")
+
+
 def op7_hyperplane_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
@@ -42,6 +57,8 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_content_store": op2_content_store,
     "op3_minhash_near_dup": op3_minhash_near_dup,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op7_hyperplane_near_dup": op7_hyperplane_near_dup,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
 }
