@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import idstore, language, near_dup, pieces, toxicity, vector_dup
+from brindle.llm import chat, decontaminate, idstore, language, near_dup, pieces, toxicity, vector_dup
 from brindle.llm.sampling import id_hash
 from brindle.session import scratch
 
@@ -25,6 +25,12 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, shingle=3, percent=85)
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
+    return rows.select("conv_id", "participant", "piece", "n_turns", "text", spans.alias("mask_spans"))
+
+
 def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "idstore")
     idstore.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -45,6 +51,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, net).select("doc_id", held_out, "score", "predicted")
 
 
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 def op7_hyperplane_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
@@ -55,11 +66,16 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_perspective_rotation": op1_perspective_rotation,
     "op2_content_store": op2_content_store,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_hyperplane_near_dup": op7_hyperplane_near_dup,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_perspective_rotation": chat.ORACLE,
+    "op6_spaced_seed_decontamination": decontaminate.oracle(),
+}
