@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import chat, decontaminate, idstore, language, near_dup, pieces, toxicity, vector_dup
+from brindle.llm import chat, decontaminate, html_main, idstore, language, licences, near_dup, pieces, toxicity, vector_dup
 from brindle.llm.sampling import id_hash
 from brindle.session import scratch
 
@@ -65,6 +65,21 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
 
 
+#: documents has no file names: a document of so few terms with a licence statement stands for its directory's licence file.
+LICENCE_FILE_TERMS = 60
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce("lang", F.lit("unknown")), F.lit("/"), F.col("doc_id").cast("string"))
+    found = licences.scan(docs.select(path.alias("path"), "text"), F.col("n_terms") <= LICENCE_FILE_TERMS)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "origin", "source_path")
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_content_store": op2_content_store,
@@ -74,6 +89,8 @@ QUERIES = {
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_hyperplane_near_dup": op7_hyperplane_near_dup,
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
+    "op9_licence_scan": op9_licence_scan,
+    "op10_html_main_text": op10_html_main_text,
 }
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": chat.ORACLE,
