@@ -4,10 +4,12 @@ Plan. (1) One pass over the texts gives each document its set size, a 128-bit ha
 keys. One permutation splits the hash range into bins; the smallest hash of each bin is kept, and an empty bin borrows
 from the first filled bin in a fixed random order of its own (optimal densification). (2) Documents with the same set
 fall together into one representative, so thousands of copies cost one row from here on. (3) Buckets of equal band
-keys send edges only from a pivot to the members, never all pairs. (4) Both texts of an edge meet in blocks of bounded
-size, where the full sets are compared. (5) Components are taken; buckets that still hold several components get
-further pivots, four times as many each round, from their smallest components first, until every pair that could join
-two components has been compared. Pairs inside one component need no comparison. So no link is lost to the stars.
+keys send edges only from a pivot, the smallest member, to the others, never all pairs. (4) Both texts of an edge meet
+in blocks of bounded size, where the full sets are compared, and components are taken. (5) Links can only be missing in
+buckets that still hold several components. Where such a bucket has at most FEW members its other pairs are confirmed
+like edges; larger ones are dealt into blocks, each pair of blocks is one group of bounded size, and the sizes of all its
+intersections come from one product of incidence matrices; a group returns a star for each linked part, so the rows
+follow the members and not their pairs. So no link is lost to the stars.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from brindle.session import discard, materialize, ship_package
 
 #: Members of a pivot that are compared in one block.
 BLOCK = 128
+#: In a bucket of at most so many members that is not settled by its star, all pairs are confirmed one by one.
+FEW = 4
 
 
 def bands_for(percent: int, rows: int = 6, miss: float = 1e-6) -> int:
@@ -150,19 +154,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     buckets = materialize(keyed.hint("merge").join(full.hint("merge"), "bucket").select("bucket", "doc_id"), "buckets")
     discard(signed)
 
-    pivots = materialize(buckets.groupBy("bucket").agg(F.min("doc_id").alias("pivot")), "pivots")
-    used, done, labels, per_bucket = pivots, None, None, 1
-    while pivots.limit(1).count():
-        pairs = materialize(_star_pairs(buckets, pivots, labels, done), "pairs")
-        if pairs.limit(1).count():
-            compared = materialize(confirm(pairs, base, shingle=shingle, percent=percent), "compared")
-            done = compared if done is None else done.unionByName(compared)
-            links = done.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v"))
-            labels = materialize(connected_components(links), "labels")
-        per_bucket *= 4
-        pivots = materialize(_next_pivots(buckets, labels, used, per_bucket), "pivots")
-        used = used.unionByName(pivots)
-    return _finish(of, labels)
+    low = buckets.groupBy("bucket").agg(F.min("doc_id").alias("pivot"))
+    stars = buckets.hint("merge").join(low.hint("merge"), "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
+    done = materialize(confirm(stars, base, shingle=shingle, percent=percent), "compared")
+    links = done.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v"))
+    labels = materialize(connected_components(links), "labels")
+
+    open_ = materialize(_unsettled(buckets, labels), "unsettled")
+    few = open_.where(F.col("n") <= FEW).select("bucket", "doc_id", "component_id")
+    other = few.select("bucket", F.col("doc_id").alias("other"), F.col("component_id").alias("other_component"))
+    pairs = few.hint("merge").join(other.hint("merge"), "bucket").where("doc_id < other and component_id <> other_component").select(F.col("doc_id").alias("pivot"), F.col("other").alias("member")).distinct()
+    fresh = pairs.hint("merge").join(done.select("pivot", "member").hint("merge"), ["pivot", "member"], "left_anti")
+    one_by_one = materialize(confirm(fresh, base, shingle=shingle, percent=percent), "compared")
+    in_blocks = materialize(compare_blocks(open_.where(F.col("n") > FEW).select("bucket", "doc_id", "n"), base, shingle=shingle, percent=percent), "blocks")
+    more = one_by_one.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")).unionByName(in_blocks)
+    stars_so_far = labels.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    return _finish(of, connected_components(stars_so_far.unionByName(more)))
 
 
 def _finish(of: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -173,34 +180,68 @@ def _finish(of: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("component_id", F.col("doc_id"))
-    named = buckets.hint("merge").join(labels.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left")
-    return named.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-
-
-def _star_pairs(buckets: DataFrame, pivots: DataFrame, labels: DataFrame | None, done: DataFrame | None) -> DataFrame:
-    """From each bucket's pivots to its members of other components, without pairs that were compared before."""
-    named = _named(buckets, labels)
-    at = pivots.select("bucket", "pivot") if labels is None else pivots.hint("merge").join(labels.select(F.col("id").alias("pivot"), F.col("component_id").alias("own")).hint("merge"), "pivot", "left")
-    at = at.withColumn("own", F.col("pivot") if labels is None else F.coalesce("own", "pivot"))
-    pairs = (
-        named.hint("merge").join(at.hint("merge"), "bucket").where("component_id <> own")
-        .select(F.least("pivot", "doc_id").alias("pivot"), F.greatest("pivot", "doc_id").alias("member")).distinct()
-    )
-    return pairs if done is None else pairs.hint("merge").join(done.select("pivot", "member").hint("merge"), ["pivot", "member"], "left_anti")
-
-
-def _next_pivots(buckets: DataFrame, labels: DataFrame | None, used: DataFrame, per_bucket: int) -> DataFrame:
-    """Up to per_bucket fresh pivots for each bucket that holds several components, from the smaller ones.
-
-    The largest component needs none of its own: the others are compared with it. A bucket without fresh pivots is resolved."""
-    named = _named(buckets, labels)
-    parts = named.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", F.negative("component_id").alias("c"))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    small = parts.hint("merge").join(mixed.select("bucket", F.negative("top.c").alias("largest")).hint("merge"), "bucket").where("component_id <> largest").drop("largest")
-    rest = named.hint("merge").join(small.hint("merge"), ["bucket", "component_id"]).select("bucket", "n", F.col("doc_id").alias("pivot"))
-    rest = rest.hint("merge").join(used.hint("merge"), ["bucket", "pivot"], "left_anti")
-    slot = F.pmod(F.xxhash64("pivot"), F.lit(per_bucket))
-    return rest.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "pivot")).alias("x")).select("bucket", "x.pivot")
+def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component_id, n) of the buckets of n members that hold several components."""
+    named = buckets.hint("merge").join(labels.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    mixed = named.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("bucket", "n")
+    return named.hint("merge").join(mixed.hint("merge"), "bucket").select("bucket", "doc_id", "component_id", "n")
+
+
+def linked_parts(ids: np.ndarray, sets: list[np.ndarray], percent: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its linked part) of the members of one group that link within it; all pairs are compared."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # what one member alone holds is in no intersection
+    places = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], places[column[shared]]
+    both, order = np.zeros((len(sets), len(sets)), np.float32), np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        x, y = np.searchsorted(column, (a, a + chunk))
+        part = np.zeros((len(sets), chunk), np.float32)
+        part[owner[x:y], column[x:y] - a] = 1
+        both += part @ part.T
+    common = both.astype(np.int64)
+    near = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
+    np.fill_diagonal(near, False)
+    u, v = np.nonzero(near)
+    label = ids.copy()
+    while len(u):
+        before = label.copy()
+        np.minimum.at(label, u, before[v])
+        if (label == before).all():
+            break
+    tied = label < ids
+    return ids[tied], label[tied]
+
+
+def compare_blocks(members: DataFrame, docs: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """(u, v) stars of the linked parts of each group of two blocks, for members (bucket, doc_id, n: rows of the bucket)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    dealt = members.withColumn("blocks", blocks).select("bucket", "doc_id", F.explode(pair).alias("p")).select("bucket", "p.i", "p.j", "doc_id")
+    rows = dealt.hint("merge").join(docs.hint("merge"), "doc_id").select("bucket", "i", "j", "doc_id", "text")
+    pct = int(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                u, v = linked_parts(np.array(ids, np.int64), sets, pct)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            docs_here = batch.column(3).to_pylist()
+            for k, found in shingle_sets(batch.column(4), shingle):
+                if keys[k] != key:
+                    yield from done()
+                    key, ids, sets = keys[k], [], []
+                ids.append(docs_here[k]), sets.append(found)
+        yield from done()
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "u long, v long")
