@@ -69,7 +69,7 @@ class Vault:
         rows = rows.withColumn("workflow", F.lit(workflow))
         checked = F.when(F.size("vector") == self.dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"vectors must have {self.dim} components")).cast("array<float>"))
         rows = rows.withColumn("vector", checked)
-        cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema]
+        cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in self.schema]
         return rows.select(cols)
 
     def append(self, rows: DataFrame, workflow: str = "default") -> None:

@@ -62,7 +62,11 @@ class DuckFileSource(DataSource):
             empty = con.execute(f"SELECT * FROM ({self.options['query'].rstrip().rstrip(';')}) LIMIT 0").to_arrow_table()
         finally:
             con.close()
-        return from_arrow_schema(empty.schema, prefer_timestamp_ntz=True)
+        import pyarrow as pa
+
+        # unsigned integers become longs; one that does not fit stops the scan
+        fields = [f.with_type(pa.int64()) if pa.types.is_unsigned_integer(f.type) else f for f in empty.schema]
+        return from_arrow_schema(pa.schema(fields), prefer_timestamp_ntz=True)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options, schema)
