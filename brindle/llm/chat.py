@@ -41,10 +41,11 @@ def perspectives(turns: DataFrame, *, context_roles: tuple[str, ...] = ("system"
     if crowded.limit(1).count():
         # the hash of each row goes with its turn, so parts keep the order of turns as far as it is given
         at = F.coalesce(F.pmod(F.col("turn"), F.lit(piece)), F.lit(0)) * (1 << 40)
-        busy = own.groupBy("conv_id", "piece", "turn").agg(F.count(F.lit(1)).alias("here"))
-        own = own.hint("merge").join(crowded.hint("merge"), ["conv_id", "piece"], "left").hint("merge").join(
-            busy.select("conv_id", F.col("piece").alias("_p"), F.col("turn").alias("_t"), "here").hint("merge"), own.conv_id.eqNullSafe(busy.conv_id) & (F.col("piece") == F.col("_p")) & F.col("turn").eqNullSafe(F.col("_t"))
-        ).select(own.conv_id, "turn", "role", "text", "piece", F.when(F.col("rows").isNull(), F.lit(0)).otherwise(at + 1 + F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("here") / MOST))).cast("long").alias("part"))
+        own = own.withColumn("_turn", F.coalesce("turn", F.lit(-(1 << 62))))
+        busy = own.groupBy("conv_id", "piece", "_turn").agg(F.count(F.lit(1)).alias("here"))
+        joined = own.hint("merge").join(crowded.hint("merge"), ["conv_id", "piece"], "left").hint("merge").join(busy.hint("merge"), ["conv_id", "piece", "_turn"], "left")
+        part = F.when(F.col("rows").isNull(), F.lit(0)).otherwise(at + 1 + F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("here") / MOST)))
+        own = joined.select("conv_id", "turn", "role", "text", "piece", part.cast("long").alias("part"))
     else:
         own = own.withColumn("part", F.lit(0).cast("long"))
     pieces = own.groupBy("conv_id", "piece", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text"))).alias("turns"))

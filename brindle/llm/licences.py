@@ -44,6 +44,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 TERM = re.compile(r"[a-z0-9]+")
+#: Words of everyday prose weigh little, however few templates hold them.
+COMMON = frozenset("a and any as by either for in into is it of or permitted software terms the this to under use v version with without work".split())
+COMMON_WEIGHT = 0.4
 
 
 class Matcher:
@@ -51,7 +54,7 @@ class Matcher:
         self.least, self.names = least, [n for n, _ in templates]
         terms = [TERM.findall(t.lower()) for _, t in templates]
         held = Counter(w for ts in terms for w in set(ts))
-        self.idf = {w: math.log((1 + len(terms)) / n) for w, n in held.items()}
+        self.idf = {w: COMMON_WEIGHT if w in COMMON else math.log((1 + len(terms)) / n) for w, n in held.items()}
         self.rarest = math.log(1 + len(terms))
         self.vectors, self.lengths, places = [], [len(t) for t in terms], {}
         anchors: set[str] = set()

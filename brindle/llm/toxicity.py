@@ -37,7 +37,7 @@ def word_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes:
     padded = np.concatenate((LOWER[raw], [0, 0])).astype(np.uint64)
     lengths = ends - starts
     # a word of n bytes has n trigrams: with the bytes before and behind it taken as 0
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     at = np.repeat(starts, lengths) + place
     last = np.repeat(lengths, lengths) - 1
