@@ -9,7 +9,8 @@ in blocks of bounded size, where the full sets are compared, and components are
 buckets that still hold several components. Where such a bucket has at most FEW members its other pairs are confirmed
 like edges; larger ones are dealt into blocks, each pair of blocks is one group of bounded size, and the sizes of all its
 intersections come from one product of incidence matrices; a group returns a star for each linked part, so the rows
-follow the members and not their pairs. So no link is lost to the stars.
+follow the members and not their pairs. Blocks hold either members of the bucket's largest component or others, and two
+blocks of the former, which are joined already, are never paired. So no link is lost to the stars.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from brindle.session import discard, materialize, ship_package
 BLOCK = 128
 #: In a bucket of at most so many members that is not settled by its star, all pairs are confirmed one by one.
 FEW = 4
+#: Members of a block of a larger bucket; a group has two blocks.
+DEALT = 256
 
 
 def bands_for(percent: int, rows: int = 6, miss: float = 1e-6) -> int:
@@ -166,7 +169,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     pairs = few.hint("merge").join(other.hint("merge"), "bucket").where("doc_id < other and component_id <> other_component").select(F.col("doc_id").alias("pivot"), F.col("other").alias("member")).distinct()
     fresh = pairs.hint("merge").join(done.select("pivot", "member").hint("merge"), ["pivot", "member"], "left_anti")
     one_by_one = materialize(confirm(fresh, base, shingle=shingle, percent=percent), "compared")
-    in_blocks = materialize(compare_blocks(open_.where(F.col("n") > FEW).select("bucket", "doc_id", "n"), base, shingle=shingle, percent=percent), "blocks")
+    in_blocks = materialize(compare_blocks(open_.where(F.col("n") > FEW), base, shingle=shingle, percent=percent), "blocks")
     more = one_by_one.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")).unionByName(in_blocks)
     stars_so_far = labels.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
     return _finish(of, connected_components(stars_so_far.unionByName(more)))
@@ -216,12 +219,28 @@ def linked_parts(ids: np.ndarray, sets: list[np.ndarray], percent: int, chunk: i
     return ids[tied], label[tied]
 
 
+def deal(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, doc_id): the groups of members (bucket, doc_id, component_id, n: rows of the bucket), of at most about 2 * DEALT rows each.
+
+    Every two members of a bucket meet in a group, but for those that are both of its largest component."""
+    parts = members.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component_id")).alias("top")).select("bucket", F.col("top.component_id").alias("top"), F.col("top.size").alias("size"))
+    whole = F.col("n") <= 2 * DEALT
+    few = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("size")) / DEALT)).cast("int")
+    many = F.when(whole, 0).otherwise(F.ceil(F.col("size") / DEALT)).cast("int")
+    slot = F.xxhash64("doc_id")
+    inner = (F.col("component_id") == F.col("top")) & (F.col("many") > 0)
+    own = F.when(inner, F.col("few") + F.pmod(slot, "many")).otherwise(F.pmod(slot, "few")).cast("int")
+    # a block of others meets every block but itself, whose pairs are in its other groups; a block of the largest component meets those of others
+    meets = F.filter(F.sequence(F.lit(0), F.when(inner, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1), lambda k: (k != F.col("own")) | (F.col("few") + F.col("many") == 1))
+    pair = F.transform(meets, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    with_top = members.hint("merge").join(largest.hint("merge"), "bucket").withColumn("few", few).withColumn("many", many).withColumn("own", own)
+    return with_top.select("bucket", "doc_id", F.explode(pair).alias("p")).select("bucket", "p.i", "p.j", "doc_id")
+
+
 def compare_blocks(members: DataFrame, docs: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """(u, v) stars of the linked parts of each group of two blocks, for members (bucket, doc_id, n: rows of the bucket)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    dealt = members.withColumn("blocks", blocks).select("bucket", "doc_id", F.explode(pair).alias("p")).select("bucket", "p.i", "p.j", "doc_id")
+    """(u, v) stars of the linked parts of each group that deal() makes of members."""
+    dealt = deal(members)
     rows = dealt.hint("merge").join(docs.hint("merge"), "doc_id").select("bucket", "i", "j", "doc_id", "text")
     pct = int(percent)
 
