@@ -321,3 +321,19 @@ def test_pipeline_against_its_stages(spark, tmp_path):
             want = brute_components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
             assert after == {i for i in sets if want[i] == i}
     assert {x.doc_id for x in corpus_pipeline.run(spark, sf).collect()} == after
+
+
+def test_dealt_blocks_meet_in_every_pair_across_components(spark, monkeypatch):
+    """Bucket 1 has a large component and 11 others, bucket 2 fits one group, bucket 3 has only single members."""
+    monkeypatch.setattr(near_dup, "DEALT", 4)
+    rows = [(1, k, 0 if k < 30 else k, 41) for k in range(41)] + [(2, k, k // 2, 6) for k in range(6)] + [(3, k, k, 19) for k in range(100, 119)]
+    groups: dict[tuple, list[int]] = {}
+    for r in near_dup.deal(spark.createDataFrame(rows, "bucket long, doc_id long, component_id long, n long")).collect():
+        groups.setdefault((r.bucket, r.i, r.j), []).append(r.doc_id)
+    met = {(key[0], a, b) for key, ids in groups.items() for a in ids for b in ids if a < b}
+    assert all(len(ids) == len(set(ids)) for ids in groups.values())
+    for b, d, c, _ in rows:
+        for other, e, f, _ in rows:
+            if b == other and d < e and c != f:
+                assert (b, d, e) in met
+    assert sum(map(len, groups.values())) < sum(n * -(-n // 4) for *_, n in rows)
