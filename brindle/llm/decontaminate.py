@@ -3,11 +3,16 @@
 A mask names the token places of a window that count; the others are ignored, so a substituted word at an ignored place
 does no harm, and several masks cover different places. Hashes of all windows of the benchmark and of the documents are
 joined; hits of one document and item on one diagonal (the same shift between them) are merged, and the stretch from
-the first to the last of them is compared token by token. Items shorter than the masks are looked for whole.
+the first to the last of them is compared token by token. Where too few of its tokens are equal, the best stretch from
+one of the diagonal's hits to another is taken, so that copies with other words between them do not hide each other.
+Items shorter than the masks are looked for whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Places that count in a window of SPAN tokens, eight in each mask.
@@ -42,6 +47,49 @@ def _seeds(hashed: DataFrame, key: str, masks: list[tuple[int, ...]]) -> DataFra
     return placed.select(key, "pos", F.explode(F.array(*each)).alias("seed")).where("seed is not null")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _best_between_hits(same: Column, share: float) -> Column:
+    """struct<n, lo, hi> of the stretch with most equal tokens that starts with a hit, ends with a hit and passes; n is -1 without one.
+
+    same: 1 (equal) or 0 for each place of a diagonal. A place weighs 1 - share or -share, and a stretch passes if the sum
+    of weights before its end is no less than that before its start. One walk over starts (with the least sum so far) and
+    ends (with the greatest sum still to come) meets, for each start of use, its last end: two steps for each hit."""
+
+    def walk(c: Column, w: Column) -> Column:
+        weight = lambda at: F.round((F.get(c, at) - F.lit(share) * at) * 1e6).cast("long")
+        rest = F.reverse(F.aggregate(F.reverse(w), F.array().cast("array<bigint>"), lambda s, p: F.concat(s, F.array(F.greatest(F.try_element_at(s, F.lit(-1)), weight(p + SPAN))))))
+
+        def step(m: Column):
+            def f(s: Column, _: Column) -> Column:
+                i, j = s["i"], s["j"]
+                a, b = F.get(w, i), F.get(w, j) + SPAN
+                low = F.least(s["low"], weight(a))
+                n = F.get(c, b) - F.get(c, a)
+                fits = F.get(m, j) >= low
+                better = fits & (j >= i) & ((n > s["n"]) | ((n == s["n"]) & (a == s["lo"])))
+                new = F.struct(
+                    F.when(fits, i).otherwise(i + 1).alias("i"), F.when(fits, j + 1).otherwise(j).alias("j"), low.alias("low"),
+                    F.when(better, n).otherwise(s["n"]).alias("n"), F.when(better, a).otherwise(s["lo"]).alias("lo"), F.when(better, b).otherwise(s["hi"]).alias("hi"),
+                )
+                return F.when((i < F.size(w)) & (j < F.size(w)), new).otherwise(s)
+
+            return f
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(1 << 62).alias("low"), F.lit(-1).alias("n"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+        return _let(rest, lambda m: F.aggregate(F.sequence(F.lit(1), 2 * F.size(w)), start, step(m), lambda s: F.struct(s["n"].alias("n"), s["lo"].alias("lo"), s["hi"].alias("hi"))))
+
+    def hits(x: Column) -> Column:
+        full = lambda p: reduce(or_, (reduce(and_, (F.get(x, p + o) == 1 for o in m)) for m in MASKS))
+        return F.filter(F.sequence(F.lit(0), F.size(x) - SPAN), full)
+
+    sums = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda s, y: F.concat(s, F.array(F.element_at(s, -1) + y)))
+    return _let(same, lambda x: _let(sums(x), lambda c: _let(hits(x), lambda w: walk(c, w))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, least: int = SPAN) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_tokens, n_same): stretches that a document shares with an item.
 
@@ -73,11 +121,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, l
     hits = _seeds(_hashed(docs, "doc_id"), "doc_id", masks).join(seeds, "seed")
     lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max("item_end").alias("hi"))
     both = lines.join(_hashed(docs, "doc_id"), "doc_id").join(items.withColumnRenamed("a", "b"), "item_id")
-    same = F.aggregate(
-        F.sequence(F.col("lo"), F.col("hi") - 1), F.lit(0), lambda s, i: s + F.when(F.get("a", i + F.col("shift")) == F.get("b", i), 1).otherwise(0)
-    )
-    found = both.where("hi <= size(b) and lo + shift >= 0 and hi + shift <= size(a)").select("doc_id", "item_id", "shift", "lo", "hi", F.size("b").alias("n_item"), same.alias("n_same"))
-    found = found.where((F.col("hi") - F.col("lo") >= F.least(F.lit(least), F.col("n_item"))) & (F.col("n_same") >= share * (F.col("hi") - F.col("lo"))))
+    equal = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.when(F.get("a", i + F.col("shift")) == F.get("b", i), 1).otherwise(0))
+    whole = both.where("hi <= size(b) and lo + shift >= 0 and hi + shift <= size(a)").select("doc_id", "item_id", "shift", "lo", "hi", F.size("b").alias("n_item"), equal.alias("same"))
+    passes = lambda n, size: (size >= F.least(F.lit(least), F.col("n_item"))) & (n >= share * size)
+    size, n = F.col("hi") - F.col("lo"), F.aggregate("same", F.lit(0), lambda s, x: s + x)
+    # a hit of a spaced mask is SPAN long, so a longer stretch holds several
+    x = F.when(passes(n, size), F.struct(n.alias("n"), F.lit(0).alias("lo"), size.alias("hi"))).when(size > SPAN, _best_between_hits(F.col("same"), share))
+    found = whole.withColumn("x", x).where("x is not null").select("doc_id", "item_id", "shift", "n_item", (F.col("lo") + F.col("x.lo")).alias("lo"), (F.col("lo") + F.col("x.hi")).alias("hi"), F.col("x.n").alias("n_same"))
+    found = found.where((F.col("n_same") >= 0) & passes(F.col("n_same"), F.col("hi") - F.col("lo")))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("lo")).alias("a"), (-F.col("shift")).alias("b"), "hi")).alias("x"))
     return best.select(
         "doc_id", "item_id", (-F.col("x.a") - F.col("x.b")).alias("doc_start"), (-F.col("x.a")).alias("item_start"), (F.col("x.hi") + F.col("x.a")).alias("n_tokens"), F.col("x.n_same").alias("n_same")

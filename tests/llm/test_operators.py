@@ -258,6 +258,41 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, []), b).count() == 0 and decontaminate.contaminated(docs(spark, rows), b.limit(0)).count() == 0
 
 
+def brute_stretches(rows, items):
+    """The best stretch of each pair by trying all of a diagonal's pairs of hits; items of at least SPAN tokens."""
+    span, out = decontaminate.SPAN, {}
+    for d, a in rows:
+        for k, b in items:
+            for shift in range(-len(b) + span, len(a) - span + 1):
+                eq = {p: a[p + shift] == b[p] for p in range(len(b)) if 0 <= p + shift < len(a)}
+                hits = [p for p in eq if p + span - 1 in eq and any(all(eq[p + o] for o in m) for m in decontaminate.MASKS)]
+                for lo in hits:
+                    for hi in (p + span for p in hits if p >= lo):
+                        n = sum(eq[p] for p in range(lo, hi))
+                        if n * 5 >= (hi - lo) * 4:
+                            out[d, k] = max(out.get((d, k), (0,)), (n, -lo, -shift, hi))
+    return {k: (-lo - shift, -lo, hi + lo, n) for k, (n, lo, shift, hi) in out.items()}
+
+
+def test_decontamination_of_parted_copies(spark):
+    r = random.Random(11)
+    items = [[f"w{r.randint(0, 10**6)}" for _ in range(n)] for n in (59, 38, 30, 120)]
+    rows = []
+    for n, cuts in ((0, (20, 39)), (1, (15, 23)), (0, (23, 36)), (2, (12, 18))):
+        t = list(items[n])
+        t[cuts[0] : cuts[1]] = ["other"] * (cuts[1] - cuts[0])
+        rows.append((len(rows), ["so"] * r.randint(0, 9) + t + ["end"]))
+    for _ in range(40):
+        t = list(r.choice(items))
+        p = r.choice((0.05, 0.15, 0.25, 0.35))
+        rows.append((len(rows), ["x"] * r.randint(0, 5) + [f"y{j}" if r.random() < p else w for j, w in enumerate(t)] + t[: r.randint(0, 20)]))
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [(d, " ".join(t)) for d, t in rows]), b).collect()
+    want = brute_stretches(rows, list(enumerate(items)))
+    assert {(x.doc_id, x.item_id): (x.doc_start, x.item_start, x.n_tokens, x.n_same) for x in got} == want
+    assert {(0, 0), (1, 1), (2, 0), (3, 2)} <= set(want)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo\n"), (1, 3, None, None), (1, 2, "bob", "yo\n"), (1, None, "ann", "first"), (2, 0, "system", "only"), (None, 0, "ann", "x"), (3, 64, "a", "late"), (3, 0, "a", "early")]
     df = spark.createDataFrame([(*x, 9) for x in rows], "conv_id long, turn long, role string, text string, piece int")
