@@ -22,6 +22,9 @@ DIM = 1024
 UND = "und"
 #: Texts are taken together up to so many characters; a longer one is a group of its own.
 GROUP = 1 << 19
+#: Heads of training texts that stand for short texts, and how floors follow from their cosines.
+HEADS = (4, 8, 16, 32, 64, 128, 256)
+FLOOR_TAIL, FLOOR_SHARE, LONG = 0.001, 0.75, 8
 
 
 @lru_cache(maxsize=1)
@@ -43,6 +46,11 @@ def letter_vector(code: int) -> np.ndarray:
 
 def profiles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None]]:
     """(row, profile) of each text; None without letters."""
+    return ((k, p) for k, p, _ in counted_profiles(texts))
+
+
+def counted_profiles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None, int]]:
+    """(row, profile, number of trigrams) of each text; None and 0 without letters."""
     table, a = letter_table(), 0
     while a < len(texts):
         b, size = a, 0
@@ -72,7 +80,7 @@ def profiles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None]]
         turned, twice = np.roll(letters, 1, axis=1), np.roll(letters, 2, axis=1)
         bound = twice[kinds // (n * n)] * turned[kinds // n % n] * letters[kinds % n]
         for k, (u, c) in enumerate(counted):
-            yield a + k, c.astype(np.float32) @ bound[np.searchsorted(kinds, u)].astype(np.float32) if len(u) else None
+            yield a + k, c.astype(np.float32) @ bound[np.searchsorted(kinds, u)].astype(np.float32) if len(u) else None, int(c.sum())
         a = b
 
 
@@ -98,11 +106,45 @@ def learn(docs: DataFrame, *, per_language: int = 1500) -> dict[str, np.ndarray]
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+def size_class(trigrams: int) -> int:
+    """0 for one trigram, 1 for two or three, 2 for four to seven, and so on to LONG, from where length matters little."""
+    return min(max(trigrams, 1).bit_length() - 1, LONG)
+
+
+def learn_floors(docs: DataFrame, prototypes: dict[str, np.ndarray], *, per_language: int = 1500) -> dict[int, float]:
+    """For each size class of texts, the least cosine at which a text counts as one of a learned language.
+
+    Learned on the sample that learn() takes, on whole texts and, as short texts are rare, on their heads of HEADS code
+    points, cut behind a word: FLOOR_SHARE of the cosine that all but FLOOR_TAIL of a class reach. A class without texts
+    has no floor."""
+    ship_package(docs.sparkSession)
+    chosen = bounded_sample(docs.where("lang is not null and text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_language)
+    if not prototypes:
+        return {}
+    matrix = np.stack(list(prototypes.values())).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, scores = [], []
+            for t in batch.column(0).to_pylist():
+                heads = [h[0] for n in HEADS if n < len(t) and (h := t[: n + 1].rsplit(None, 1)) and h[0]]
+                for _, p, n in counted_profiles([t, *heads]):
+                    if p is not None and (length := np.linalg.norm(p.astype(np.float64))) > 0:
+                        sizes.append(size_class(n))
+                        scores.append(float((matrix @ p).max() / length))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(scores, pa.float64())], names=["size", "score"])
+
+    rows = chosen.select(F.col("text").cast("string")).mapInArrow(run, "size int, score double")
+    found = rows.groupBy("size").agg(F.percentile("score", FLOOR_TAIL)).collect()  # a row for each class
+    return {k: FLOOR_SHARE * float(v) for k, v in found}
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], floors: dict[int, float] | None = None) -> DataFrame:
     """docs with lang_pred and score added, each taking the place of a column of that name.
 
     score is the cosine, negative ones as 0. Null texts, texts without a letter, and all texts where nothing was learned
-    get und and 0. A tie goes to the language that sorts first."""
+    get und and 0. A tie goes to the language that sorts first. With floors, a text whose cosine is under the floor of its
+    size class gets und and keeps its score."""
     ship_package(docs.sparkSession)
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float64) if names else np.zeros((0, DIM))
@@ -113,11 +155,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [UND] * batch.num_rows, np.zeros(batch.num_rows)
-            for k, p in profiles(batch.column(where).to_pylist()):
+            for k, p, n in counted_profiles(batch.column(where).to_pylist()):
                 if p is not None and names and (length := np.linalg.norm(p.astype(np.float64))) > 0:
                     cosines = matrix @ p / length
                     best = int(np.argmax(cosines))
-                    langs[k], scores[k] = names[best], min(1.0, max(0.0, float(cosines[best])))
+                    known = cosines[best] >= (floors.get(size_class(n), -1.0) if floors else -1.0)
+                    langs[k], scores[k] = names[best] if known else UND, min(1.0, max(0.0, float(cosines[best])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

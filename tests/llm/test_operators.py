@@ -205,6 +205,21 @@ def test_language(spark):
     assert (a == b).all()
 
 
+def test_language_stage_rejects_texts_of_no_language(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    speak = {"en": "the of and to in that is was for with", "de": "der die und in den von zu das mit sich", "fr": "le la les et des en un du une que"}
+    rows = [(k, " ".join(r.choices(speak[g].split(), k=r.randint(8, 90))), g) for k in range(300) for g in [r.choice(list(speak))]]
+    junk = ["".join(r.choices(a, k=n)) for n in (150, 400) for a in ("αβγδεζηθικλμνξοπρστυ ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "жщюяфъыэ ", "0123456789abcdef")] + ["!? 123", None]
+    clean = ["the", "and to", "der", "die und das", "le la les", "that is for the", "mit sich"]
+    rows += [(1000 + k, t, None) for k, t in enumerate(junk)] + [(2000 + k, t, None) for k, t in enumerate(clean)]
+    df = spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.drop_unidentified(spark, df, "").select("doc_id").collect()}
+    assert {k for k in kept if k >= 1000} == {2000 + k for k in range(len(clean))} and len([k for k in kept if k < 1000]) >= 298
+    assert language.learn_floors(df.limit(0), {}) == {}
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     rows, labels = [], []
