@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,17 +18,26 @@ Embedder = Callable[[list[str]], np.ndarray]
 _CACHE: dict[tuple, Embedder] = {}
 
 
-def hashing_embedder(dim: int = 256, grams: tuple[int, ...] = (3, 4), max_tokens: int = 2048) -> Embedder:
-    """Signed feature hashing of words and character n-grams (Weinberger et al., 2009), scaled to length 1."""
+#: Words that are counted together.
+STEP = 2048
+
+
+def hashing_embedder(dim: int = 256, grams: tuple[int, ...] = (3, 4)) -> Embedder:
+    """Signed feature hashing of all words and their character n-grams (Weinberger et al., 2009), scaled to length 1.
+
+    There is no window: texts of any length count whole, STEP words at a time."""
 
     def run(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
+        sums = np.zeros((len(texts), dim), np.int64)
         for k, t in enumerate(texts):
-            for w in t.lower().split()[:max_tokens]:
-                padded = f" {w} "
-                for f in (w, *(padded[i : i + n] for n in grams for i in range(len(padded) - n + 1))):
-                    h = zlib.crc32(f.encode())
-                    out[k, h % dim] += 1.0 if (h >> 31) & 1 else -1.0
+            words = (m[0] for m in re.finditer(r"\S+", t.lower()))
+            while step := Counter(islice(words, STEP)):
+                for w, times in step.items():
+                    padded = f" {w} "
+                    for f in (w, *(padded[i : i + n] for n in grams for i in range(len(padded) - n + 1))):
+                        h = zlib.crc32(f.encode())
+                        sums[k, h % dim] += times if (h >> 31) & 1 else -times
+        out = sums.astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -23,8 +23,8 @@ log = logging.getLogger("brindle.engine")
 class RetrievalEngine:
     def __init__(self, spark: SparkSession, spec: Engine, settings: Settings | None = None, make_embedder: Callable[[], Embedder] | None = None):
         self.spark, self.spec, self.settings = spark, spec, settings or Settings()
-        dim, tokens = spec.vector_dimension, spec.max_token_length
-        self.make = make_embedder or (lambda: hashing_embedder(dim, max_tokens=tokens))
+        dim, tokens = spec.vector_dimension, spec.max_token_length  # tokens: the window of embedders that have one
+        self.make = make_embedder or (lambda: hashing_embedder(dim))
         self.key = (spec.model_name, dim, tokens)
         self.root = f"{self.settings.db_path.rstrip('/')}/{spec.table_name}"
         self.vault = store.Vault(spark, f"{self.root}/vault", spec.mapper_type, dim)

@@ -158,6 +158,29 @@ def test_embedder_guards():
         embed_query(e, "x", 9)
 
 
+def test_embedder_reads_whole_texts(spark):
+    import random
+    import zlib
+
+    import numpy as np
+
+    from brindle.functions.embedding import embed_passages
+
+    r = random.Random(2)
+    head = [f"w{r.randint(0, 300)}" for _ in range(2048)]
+    texts = [" ".join(head + tail) for tail in ([], ["Cat"] * 3000, ["dog\u2003eel"] * 3000, head * 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: np.array(x.vector) for x in embed_passages(df, lambda: hashing_embedder(16), ("hashing", 16), 16).collect()}
+    for k, t in enumerate(texts):
+        want = np.zeros(16)
+        for w in t.lower().split():
+            for f in [w] + [f" {w} "[i : i + n] for n in (3, 4) for i in range(len(w) + 3 - n)]:
+                h = zlib.crc32(f.encode())
+                want[h % 16] += 1 if h >> 31 else -1
+        assert np.allclose(got[k], want / np.linalg.norm(want), atol=1e-6)
+    assert not np.allclose(got[0], got[1]) and not np.allclose(got[1], got[2])
+
+
 def test_stream(spark, tmp_path):
     from brindle.streaming.ingest import into_vault, watch_records
 
