@@ -10,9 +10,15 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"
 _NAMED = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-_HIDDEN = frozenset("script style template noscript iframe svg math object audio video canvas head title select datalist textarea".split())
-_RAW = frozenset("script style title textarea iframe noscript template svg math select datalist object audio video canvas".split())
+#: Elements whose content is no markup and no text of the page: skipped to their closing tag.
+_RAW = frozenset("script style title textarea iframe noscript".split())
+#: Elements with markup inside that is no text of the page; they end with their closing tag or with an element around them.
+_HIDDEN = frozenset("template svg math select datalist object audio video canvas".split())
+#: Of these, foreign ones and what is in them may close themselves. They and a select end at a start tag of _BREAKS, but for
+#: the parts of foreign ones that hold page markup.
+_FOREIGN = frozenset("svg math".split())
+_HTML_INSIDE = frozenset("foreignobject desc annotation-xml".split())
+_BREAKS = frozenset("blockquote body center dd div dl dt em h1 h2 h3 h4 h5 h6 head hr img li menu ol p pre ruby span strong sub sup table ul".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -54,7 +60,7 @@ def blocks(page: str | None) -> list[Block]:
         state["link"] = 0
 
     def add(piece: str) -> None:
-        if not piece:
+        if not piece or any(t in _HIDDEN for t, _ in stack):
             return
         if "&" in piece:
             piece = html.unescape(piece)
@@ -97,10 +103,19 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-                if inline and stack[k][0] not in _INLINE:
+                if inline and stack[k][0] not in _INLINE | _HIDDEN:
                     break
             continue
+        if tag in _BREAKS:
+            # page markup can't be inside svg, math or a select that was never closed
+            for k in range(len(stack)):
+                if stack[k][0] in _FOREIGN | {"select"}:
+                    if not any(t in _HTML_INSIDE for t, _ in stack[k + 1 :]):
+                        del stack[k:]
+                    break
         if tag in _RAW:
+            if m[3].rstrip().endswith("/") and any(t in _FOREIGN for t, _ in stack):
+                continue
             end = re.compile(rf"</{tag}\s*+/?>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -116,7 +131,7 @@ def blocks(page: str | None) -> list[Block]:
                         break
                     if stack[k][0] in _BOUNDS:
                         break
-        if m[3].rstrip().endswith("/") and "-" in tag:
+        if m[3].rstrip().endswith("/") and ("-" in tag or tag in _FOREIGN or any(t in _FOREIGN for t, _ in stack)):
             continue
         stack.append((tag, (tag, *_names(m[3]))))
         if tag == "head":

@@ -340,6 +340,16 @@ def test_blocks_of_html():
     assert html_blocks.blocks('<p title="a>b" class="x">t')[0].path == ("p", ".x") and [b.text for b in html_blocks.blocks("a < b <")] == ["a < b <"]
 
 
+def test_hidden_elements_of_html_end():
+    shown = lambda page: [b.text for b in html_blocks.blocks(page)]
+    for hidden in ("<svg class='i' viewBox='0 0 1 1'/>", "<math/>", "<svg><path d='M0'/><title>no</title><style/></svg>", "<svg><g><text>no</text></svg>", "<select><option>no<option>no</select>",
+                   "<template><p>no</p></template>", "<video src=v><p>no</p></video>", "<object><object>no</object>no</object>", "<canvas>no</canvas>", "<svg><foreignObject><p>no</p></foreignObject></svg>"):
+        assert shown(f"<p>one {hidden} two</p><p>three</p>")[-1] == "three" and " ".join(shown(f"<p>one {hidden} two</p>")) == "one two", hidden
+    for tag in ("svg", "math", "object", "video", "audio", "canvas", "select", "datalist", "template"):
+        assert shown(f"<body><div><{tag}>no</div><p>yes</p></body>") == ["yes"], tag
+    assert shown("<div><svg><path><p>after svg</p>") == ["after svg"] and shown("a<script>no</p>") == ["a"] and shown("<iframe>no</iframe>b") == ["b"]
+
+
 def test_main_text(spark):
     net, r = html_main.trained(), np.random.default_rng(123)
     right = total = 0
