@@ -8,10 +8,12 @@ pieces, and only then meet the participants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from brindle.session import materialize
 
 PIECE = 64
-#: Rows of one piece; a piece with more is parted by turn, and a turn with more by a hash of its rows.
+#: Rows of one part of a piece.
 MOST = 1024
 END = "<|end|>\n"
 
@@ -24,28 +26,59 @@ def head(role: Column, participant: Column, context_roles: tuple[str, ...]) -> C
     )
 
 
-def perspectives(turns: DataFrame, *, context_roles: tuple[str, ...] = ("system",), piece: int = PIECE) -> DataFrame:
+def _row_numbers(rows: DataFrame) -> DataFrame:
+    """rows with row, the number from 0 of each in its piece in the order (turn, role, text).
+
+    All are sorted together over many tasks, so a piece needs no task of its own; equal rows, which may stand in any order,
+    are dealt out by their place in the input."""
+    keys = ["conv_id", "piece"]
+    placed = rows.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, F.asc_nulls_first("turn"), "role", "text", "_tie").drop("_tie")
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "chat-order")
+    task = F.shiftright("_at", 33)
+    shares = placed.groupBy(*keys, task.alias("_task")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = shares.select(*keys, "_task", "_first", before.alias("_before"))
+    out = placed.withColumn("_task", task).join(shares, [*keys, "_task"])
+    return out.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("row"))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """The parts of each piece put together, with spans counted from the start of the piece."""
+    keys = ["conv_id", "participant", "piece"]
+    joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "n_turns", "text", "spans"))).alias("p"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("spans"))
+
+    def step(s: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda y: F.struct((y["start"] + s["at"]).alias("start"), (y["end"] + s["at"]).alias("end")))
+        return F.struct((s["at"] + F.length(x["text"])).alias("at"), F.concat(s["spans"], F.array(moved)).alias("spans"))
+
+    return joined.select(
+        *keys, F.lit(0).cast("long").alias("part"), F.aggregate("p", F.lit(0), lambda s, x: s + x["n_turns"]).alias("n_turns"),
+        F.array_join("p.text", "").alias("text"), F.flatten(F.aggregate("p", start, step)["spans"]).alias("spans"),
+    )
+
+
+def perspectives(turns: DataFrame, *, context_roles: tuple[str, ...] = ("system",), piece: int = PIECE, whole: bool = False) -> DataFrame:
     """(conv_id, participant, piece, part, n_turns, text, spans array<struct<start, end>>) for turns (conv_id, turn, role, text, ...).
 
     A conversation's participants are its roles but for context_roles, which stay what they are. Turns stand in the order of
     turn, role and text, nulls first; a null role is "unknown", a null text is empty, a null turn comes before all others in a
     piece of its own (-1); repeated rows are repeated turns. Rows with a null conv_id are left out, and a conversation without
     a participant has no rows. spans are the code point ranges of a piece's text that the assistant is to learn: its texts with
-    their end marks. part is 0 but in pieces of more than MOST rows. Other columns are ignored."""
+    their end marks. part numbers the runs of MOST rows of a piece in that order, the last of which may be shorter; with whole,
+    the parts are put together, so that each piece is one row. Other columns are ignored."""
     own = turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     own = own.withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-1)).cast("long"))
     crowded = own.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > MOST)
-    if crowded.limit(1).count():
-        # the hash of each row goes with its turn, so parts keep the order of turns as far as it is given
-        at = F.coalesce(F.pmod(F.col("turn"), F.lit(piece)), F.lit(0)) * (1 << 40)
-        own = own.withColumn("_turn", F.coalesce("turn", F.lit(-(1 << 62))))
-        busy = own.groupBy("conv_id", "piece", "_turn").agg(F.count(F.lit(1)).alias("here"))
-        joined = own.hint("merge").join(crowded.hint("merge"), ["conv_id", "piece"], "left").hint("merge").join(busy.hint("merge"), ["conv_id", "piece", "_turn"], "left")
-        part = F.when(F.col("rows").isNull(), F.lit(0)).otherwise(at + 1 + F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("here") / MOST)))
-        own = joined.select("conv_id", "turn", "role", "text", "piece", part.cast("long").alias("part"))
+    many = crowded.limit(1).count() > 0
+    if many:
+        hot = own.hint("merge").join(crowded.select("conv_id", "piece").hint("merge"), ["conv_id", "piece"], "left_semi")
+        cut = _row_numbers(hot).withColumn("part", F.floor(F.col("row") / MOST).cast("long")).select("conv_id", "turn", "role", "text", "piece", "part")
+        rest = own.hint("merge").join(crowded.select("conv_id", "piece").hint("merge"), ["conv_id", "piece"], "left_anti")
+        own = rest.select("conv_id", "turn", "role", "text", "piece", F.lit(0).cast("long").alias("part")).unionByName(cut)
     else:
         own = own.withColumn("part", F.lit(0).cast("long"))
     pieces = own.groupBy("conv_id", "piece", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text"))).alias("turns"))
@@ -63,11 +96,12 @@ def perspectives(turns: DataFrame, *, context_roles: tuple[str, ...] = ("system"
         b = a + F.length(p["body"])
         return F.struct(b.alias("at"), F.when(p["own"], F.concat(s["spans"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(s["spans"]).alias("spans"))
 
-    return rows.select(
+    out = rows.select(
         "conv_id", "participant", "piece", "part", "n_turns",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         F.aggregate("parts", start, step)["spans"].alias("spans"),
     )
+    return _whole(out) if whole and many else out
 
 
 ORACLE = f"""

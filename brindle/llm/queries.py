@@ -26,7 +26,7 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.perspectives(table(spark, sf_dir, "conversations"))
+    rows = chat.perspectives(table(spark, sf_dir, "conversations"), whole=True)
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
     return rows.select("conv_id", "participant", "piece", "n_turns", "text", spans.alias("mask_spans"))
 

@@ -322,6 +322,27 @@ def test_chat(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_crowded_chat_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from brindle.llm.queries import op1_perspective_rotation
+
+    r = random.Random(8)
+    rows = [(1, 3, r.choice(["ann", "bob", None]), f"t{r.randint(0, 900)}") for _ in range(3000)] + [(1, None, "ann", "same")] * 1500 + [(1, k, "bob", None) for k in range(10)]
+    rows += [(1, 70, "bob", "late"), (2, 0, "system", "s"), (2, 1, "ann", "x")]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    cols = ["conv_id", "participant", "piece", "n_turns", "text", "mask_spans"]
+    got = sorted(tuple(x[c] for c in cols) for x in op1_perspective_rotation(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    # the SQL gives the spans of equal rows in any order
+    by_start = lambda x: (*x[:5], " ".join(sorted(x[5].split(), key=lambda y: int(y.split("-")[0]))))
+    assert got == sorted(map(by_start, con.execute(f"SELECT {', '.join(cols)} FROM ({chat.ORACLE})").fetchall()))
+    parts = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1 and piece = 0 and participant = 'ann'").orderBy("part").collect()
+    assert [p.part for p in parts] == [0, 1, 2] and [p.n_turns for p in parts] == [1024, 1024, 962] and "".join(p.text for p in parts) == [g[4] for g in got if g[:3] == (1, "ann", 0)][0]
+
+
 def test_licences(spark):
     m = licences.Matcher()
     assert all(m.best("some words " + t + "\nmore")[0] == n and m.best(t)[1] > 0.99 for n, t in licences.TEMPLATES)
