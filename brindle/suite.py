@@ -78,8 +78,8 @@ def slow_log_window_rollup(spark, sf_dir):
 # ---- records -----------------------------------------------------------------------------------------------------------
 
 
-def _raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as exported records: text fields, some null, empty or zero."""
+def _raw_records(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    """events as exported records: text fields, some null, empty or zero; more: further columns of events."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     s = lambda c: c.cast("string")
@@ -88,7 +88,7 @@ def _raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 7 == 0, F.concat(F.lit("n2 "), "event_type")).alias("normalized"), F.when(n % 3 == 0, F.concat(F.lit("q"), s(n))).alias("query_hash"), F.when(n % 3 == 1, s(n)).when(n % 3 == 2, F.lit("")).alias("id"),
         F.when(n % 4 == 0, F.concat(F.lit("db"), s(n % 5))).alias("database"), F.when(n % 4 == 1, F.lit("src")).alias("source"), F.when(n % 6 == 0, F.lit("0")).when(n % 6 == 1, s(n % 100)).when(n % 6 == 2, F.lit("abc")).alias("duration"),
         F.when(n % 2 == 0, s(n % 50)).alias("execution_time_ms"), F.when(n % 9 == 0, F.lit("0")).when(n % 9 < 5, s(n % 9)).alias("calls"), F.when(n % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(n % 2 == 1, F.lit("bad")).alias("latest_ts"),
-        F.when(n % 2 == 0, F.lit("u")).alias("user"), F.when(n % 3 == 0, s(n % 10 + F.lit(0.7))).alias("rows_sent"),
+        F.when(n % 2 == 0, F.lit("u")).alias("user"), F.when(n % 3 == 0, s(n % 10 + F.lit(0.7))).alias("rows_sent"), *more,
     )
 
 
@@ -111,11 +111,21 @@ def sql_record_projection(spark, sf_dir):
     return _shown(records.from_log_records(_raw_records(spark, sf_dir), F.lit(RUN_TS)))
 
 
-def json_array_records(spark, sf_dir):
-    """The records as JSON arrays of up to some hundreds of records, one array in each file's content."""
-    raw = _raw_records(spark, sf_dir).withColumn("f", F.pmod(F.xxhash64("query", "id", "query_hash"), F.lit(64)))
+#: Records of one JSON file at most, whatever the number of events.
+FILE_RECORDS = 500
+
+
+def _record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(filepath, content) with the records of each FILE_RECORDS event numbers as one JSON array."""
+    raw = _raw_records(spark, sf_dir, F.floor(F.col("event_id") / FILE_RECORDS).alias("f"))
     fields = [c for c in raw.columns if c != "f"]
-    files = raw.groupBy("f").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("content")).select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("filepath"), "content")
+    files = raw.groupBy("f").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("content"))
+    return files.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("filepath"), "content")
+
+
+def json_array_records(spark, sf_dir):
+    """The records as JSON arrays of FILE_RECORDS records at most, one array in each file's content."""
+    files = _record_files(spark, sf_dir)
     broken = spark.createDataFrame([("bad", "no json"), ("object", '{"query": "SELECT 1"}'), ("empty", "[]"), ("blank", "")], "filepath string, content string")
     return _shown(records.from_log_records(records.parse_json_arrays(files.unionByName(broken)).drop("filepath"), F.lit(RUN_TS)))
 

@@ -39,6 +39,16 @@ def test_entry_registers_everything(spark):
     assert e.entry(spark).count() == suite.TOP
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_json_files_stay_bounded(spark):
+    from pyspark.sql import functions as F
+
+    files = suite._record_files(spark, "/root/testdata/sf0.1")
+    size = F.json_array_length("content")
+    most, total = files.agg(F.max(size), F.sum(size)).first()
+    assert most <= 500 and total == spark.read.parquet("/root/testdata/sf0.1/events.parquet").count()
+
+
 def test_ann_recall(spark, tmp_path):
     import numpy as np
     from pyspark.sql import functions as F
