@@ -15,6 +15,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brindle.session import materialize
+
 #: Places that count in a window of SPAN tokens, eight in each mask.
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 4, 6, 9, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11), (0, 1, 2, 3, 5, 7, 9, 11))
 SPAN = 12
@@ -93,8 +95,9 @@ def _best_between_hits(same: Column, share: float) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, least: int = SPAN) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_tokens, n_same): stretches that a document shares with an item.
 
-    docs (doc_id, text, ...), benchmark (item_id, text, ...). A stretch has at least ``least`` tokens, or the whole item
-    if that is shorter, of which at least ``share`` are the same. Of several stretches of one pair the one with most equal
+    docs (doc_id, text, ...), benchmark (item_id, text, ...). A stretch runs from the start of a hit of a seed to the end of
+    that or a later hit of the same shift; it has at least ``least`` tokens, or the whole item if that is shorter, of which
+    at least ``share`` are the same. Of several stretches of one pair the one with most equal
     tokens is returned (then the earliest in the item, then in the document). Rows with a null id, and null or empty texts,
     share nothing; rows that repeat an id are each compared, and count as one document or item. Other columns are ignored."""
     items = _hashed(benchmark, "item_id").distinct()
@@ -109,29 +112,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, l
     n = F.col("n")
     placed = wanted.where(n > 0).select("item_id", "a", "n", F.explode(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0)))).alias("item_pos"))
     each = [
-        F.when((n >= SPAN) if k < len(MASKS) else (n == len(m)), F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *(F.get("a", F.col("item_pos") + o) for o in m)).alias("seed")))
+        F.when(
+            (n >= SPAN) if k < len(MASKS) else (n == len(m)),
+            F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *(F.get("a", F.col("item_pos") + o) for o in m)).alias("seed")),
+        )
         for k, m in enumerate(masks)
     ]
     seeds = placed.select("item_id", "item_pos", F.explode(F.array(*each)).alias("x")).where("x is not null").select("item_id", "item_pos", "x.mask", "x.seed")
     seeds = seeds.select("item_id", "item_pos", "seed", (F.col("item_pos") + span).alias("item_end")).distinct()
+    # an item of n tokens has at least n / SPAN seeds, so few seeds also mean few tokens
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     seeds = F.broadcast(seeds) if few else seeds.hint("merge")
     items = F.broadcast(items) if few else items
 
     hits = _seeds(_hashed(docs, "doc_id"), "doc_id", masks).join(seeds, "seed")
     lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max("item_end").alias("hi"))
-    both = lines.join(_hashed(docs, "doc_id"), "doc_id").join(items.withColumnRenamed("a", "b"), "item_id")
+    lines = materialize(lines, "diagonals")
+    # only documents with a hit are read and shuffled again
+    ids = lines.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else ids.hint("merge")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    both = lines.join(_hashed(texts, "doc_id"), "doc_id").join(items.withColumnRenamed("a", "b"), "item_id")
     equal = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.when(F.get("a", i + F.col("shift")) == F.get("b", i), 1).otherwise(0))
-    whole = both.where("hi <= size(b) and lo + shift >= 0 and hi + shift <= size(a)").select("doc_id", "item_id", "shift", "lo", "hi", F.size("b").alias("n_item"), equal.alias("same"))
+    inside = both.where("hi <= size(b) and lo + shift >= 0 and hi + shift <= size(a)")
+    whole = inside.select("doc_id", "item_id", "shift", "lo", "hi", F.size("b").alias("n_item"), equal.alias("same"))
     passes = lambda n, size: (size >= F.least(F.lit(least), F.col("n_item"))) & (n >= share * size)
     size, n = F.col("hi") - F.col("lo"), F.aggregate("same", F.lit(0), lambda s, x: s + x)
     # a hit of a spaced mask is SPAN long, so a longer stretch holds several
     x = F.when(passes(n, size), F.struct(n.alias("n"), F.lit(0).alias("lo"), size.alias("hi"))).when(size > SPAN, _best_between_hits(F.col("same"), share))
-    found = whole.withColumn("x", x).where("x is not null").select("doc_id", "item_id", "shift", "n_item", (F.col("lo") + F.col("x.lo")).alias("lo"), (F.col("lo") + F.col("x.hi")).alias("hi"), F.col("x.n").alias("n_same"))
+    found = whole.withColumn("x", x).where("x is not null").select(
+        "doc_id", "item_id", "shift", "n_item", (F.col("lo") + F.col("x.lo")).alias("lo"), (F.col("lo") + F.col("x.hi")).alias("hi"), F.col("x.n").alias("n_same")
+    )
     found = found.where((F.col("n_same") >= 0) & passes(F.col("n_same"), F.col("hi") - F.col("lo")))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("lo")).alias("a"), (-F.col("shift")).alias("b"), "hi")).alias("x"))
     return best.select(
-        "doc_id", "item_id", (-F.col("x.a") - F.col("x.b")).alias("doc_start"), (-F.col("x.a")).alias("item_start"), (F.col("x.hi") + F.col("x.a")).alias("n_tokens"), F.col("x.n_same").alias("n_same")
+        "doc_id", "item_id", (-F.col("x.a") - F.col("x.b")).alias("doc_start"), (-F.col("x.a")).alias("item_start"),
+        (F.col("x.hi") + F.col("x.a")).alias("n_tokens"), F.col("x.n_same").alias("n_same"),
     )
 
 
@@ -142,7 +158,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def oracle(documents: str = "documents") -> str:
-    """The same in DuckDB SQL, with the tokens themselves in place of their hashes."""
+    """The definition in DuckDB SQL: every stretch from one hit to another of its diagonal is counted, token by token."""
     masks = ", ".join(f"({k}, {list(m)})" for k, m in enumerate(MASKS))
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
     return f"""
@@ -156,9 +172,10 @@ seeds AS (SELECT DISTINCT item_id, p AS item_pos, p + span AS item_end, mask, ar
   FROM bp, shapes WHERE CASE WHEN mask < 100 THEN len(b) >= {SPAN} ELSE len(b) = span END),
 dp AS (SELECT doc_id, a, unnest(range(0, len(a))) AS p FROM d),
 dseeds AS (SELECT doc_id, p AS pos, mask, array_to_string(list_transform(places, lambda o: a[p + o + 1]), ' ') AS seed FROM dp, shapes WHERE p + span <= len(a)),
-lines AS (SELECT doc_id, item_id, pos - item_pos AS shift, min(item_pos) AS lo, max(item_end) AS hi FROM dseeds JOIN seeds USING (mask, seed) GROUP BY ALL),
+hits AS (SELECT DISTINCT doc_id, item_id, pos - item_pos AS shift, item_pos, item_end FROM dseeds JOIN seeds USING (mask, seed)),
+spans AS (SELECT DISTINCT doc_id, item_id, shift, x.item_pos AS lo, y.item_end AS hi FROM hits x JOIN hits y USING (doc_id, item_id, shift) WHERE y.item_pos >= x.item_pos),
 found AS (SELECT doc_id, item_id, shift, lo, hi, len(b) AS n_item, len(list_filter(range(lo, hi), lambda i: a[i + shift + 1] = b[i + 1])) AS n_same
-  FROM lines JOIN d USING (doc_id) JOIN b USING (item_id)),
+  FROM spans JOIN d USING (doc_id) JOIN b USING (item_id)),
 good AS (SELECT * FROM found WHERE hi - lo >= least({SPAN}, n_item) AND n_same >= 0.8 * (hi - lo))
 SELECT doc_id, item_id, lo + shift AS doc_start, lo AS item_start, hi - lo AS n_tokens, n_same FROM good
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_same DESC, lo, shift, hi DESC) = 1"""
