@@ -75,21 +75,46 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words, and where each text's words begin (one more entry than texts). A-Z count as a-z."""
+    """Starts, ends and hashes of the words, and where each text's words begin (one more entry than texts). A-Z count as a-z.
+
+    Long runs of bytes are worked through in steps of about GROUP_BYTES that end between words, so memory follows the
+    words and not some dozens of bytes for each byte of text."""
+    n, edges = len(raw), np.unique(offsets[(offsets > 0) & (offsets < len(raw))])
+    parts, a = [], 0
+    while a < n or not parts:
+        b = n if n - a <= 2 * GROUP_BYTES else _gap(raw, a + GROUP_BYTES, apart)
+        inner = edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, b)] - a
+        starts, ends, hashes = _words(raw[a:b], inner, apart)
+        parts.append((starts + a, ends + a, hashes))
+        a = b
+    starts, ends, hashes = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
+    return starts, ends, hashes, np.searchsorted(starts, offsets)
+
+
+def _gap(raw: np.ndarray, at: int, apart: np.ndarray, step: int = 1 << 16) -> int:
+    """The first place from at on that is no part of a word, or the end."""
+    while at < len(raw):
+        found = np.flatnonzero(apart[raw[at : at + step]])
+        if len(found):
+            return at + int(found[0])
+        at += step
+    return len(raw)
+
+
+def _words(raw: np.ndarray, edges: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words; a word also ends at each of the edges."""
     n = len(raw)
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = ~apart[raw]
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
-    edges = offsets[(offsets > 0) & (offsets < n)]
     first[edges] |= inside[1:-1][edges]
     last[edges - 1] |= inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[raw]] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -9,7 +9,7 @@ windows, a clean one through its highest window and a random one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +34,16 @@ def windows(n: int) -> list[tuple[int, int]]:
 
 def word_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, and its character trigrams' buckets as a flat array with each word's first place."""
-    padded = np.concatenate((LOWER[raw], [0, 0])).astype(np.uint64)
+    padded = np.concatenate((LOWER[raw], np.zeros(2, np.uint8)))
     lengths = ends - starts
     # a word of n bytes has n trigrams: with the bytes before and behind it taken as 0
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     at = np.repeat(starts, lengths) + place
     last = np.repeat(lengths, lengths) - 1
-    a = np.where(place > 0, padded[at - 1], U(0))
-    c = np.where(place < last, padded[at + 1], U(0))
-    tri = mix((a << U(16)) | (padded[at] << U(8)) | c) & U(CHAR_BUCKETS - 1)
+    a = np.where(place > 0, padded[at - 1], 0).astype(np.uint64)
+    c = np.where(place < last, padded[at + 1], 0).astype(np.uint64)
+    tri = mix((a << U(16)) | (padded[at].astype(np.uint64) << U(8)) | c) & U(CHAR_BUCKETS - 1)
     return hashes, tri.astype(np.int64), first
 
 
@@ -51,6 +51,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
 
+def pick_runs(flat: np.ndarray, first: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs (first, length) of flat that are asked for, one behind the other, and where each begins."""
+    size = length[which]
+    begin = np.cumsum(size) - size
+    return flat[np.repeat(first[which] - begin, size) + np.arange(int(size.sum()))], begin
+
+
 class Network:
     """Parameters, the forward pass, and its gradient."""
 
@@ -162,26 +169,46 @@ class Network:
 
 
 class Texts:
-    """Words and windows of a group of texts, with each distinct word's features once."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    """Words and windows of texts, given as groups (bytes, offsets), with each distinct word's features once.
+
+    A word costs four bytes here, whatever the number of groups; only one group's bytes are worked on at a time."""
+
+    def __init__(self, held: Iterable[tuple[np.ndarray, np.ndarray]]):
+        parts = [self._part(raw, offsets) for raw, offsets in held]
+        hashes, head = np.unique(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)]), return_index=True)
+        self.texts_with = np.zeros(len(hashes), np.int64)
+        kinds, tri, lengths = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for own, own_tri, own_first, at, _, times in parts:
+            place = np.searchsorted(hashes, own).astype(np.int32)
+            kinds.append(place[at])
+            self.texts_with[place] += times
+            tri.append(own_tri), lengths.append(np.diff(np.append(own_first, len(own_tri))))
+        size = np.concatenate(lengths)
+        self.features = hashes, *pick_runs(np.concatenate(tri), np.cumsum(size) - size, size, head)
+        self.kind = np.concatenate(kinds or [np.zeros(0, np.int32)])
+        self.words_of = np.concatenate([p[4] for p in parts] or [np.zeros(0, np.int64)])
+        self.at = np.concatenate(([0], np.cumsum(self.words_of)))
+        count = np.where(self.words_of > 0, -(-np.maximum(self.words_of - STEP, 1) // STEP), 0)
+        self.owner = np.repeat(np.arange(len(count)), count)
+        begin = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * STEP
+        start = self.at[:-1][self.owner]
+        self.spans = np.stack((start + begin, start + np.minimum(begin + WIDTH, self.words_of[self.owner])), axis=1)
+
+    @staticmethod
+    def _part(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct hashes, their features, each word's place among them, words of each text, texts with each distinct word."""
         starts, ends, hashes, at = words(raw, offsets, PUNCT)
-        self.at = at
-        _, head, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
-        self.features = word_features(raw, starts[head], ends[head], hashes[head])
-        spans, owner = [], []
-        for k in range(len(at) - 1):
-            own = windows(int(at[k + 1] - at[k]))
-            spans += [(int(at[k]) + a, int(at[k]) + b) for a, b in own]
-            owner += [k] * len(own)
-        self.owner = np.array(owner, np.int64)
-        self.spans = np.array(spans, np.int64).reshape(-1, 2)
+        own, head, place = np.unique(hashes, return_index=True, return_inverse=True)
+        _, tri, first = word_features(raw, starts[head], ends[head], own)
+        count = np.diff(at)
+        pair = np.unique(place * np.int64(len(count)) + np.repeat(np.arange(len(count)), count))
+        return own, tri.astype(np.int32), first, place.astype(np.int32), count, np.bincount(pair // max(1, len(count)), minlength=len(own))
 
     def rows(self, which: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         spans = self.spans[which]
         at = spans[:, :1] + np.arange(WIDTH)
         mask = (at < spans[:, 1:]).astype(np.float32)
-        return self.kind[np.minimum(at, len(self.kind) - 1)], mask
+        return self.kind[np.minimum(at, len(self.kind) - 1)].astype(np.int64), mask
 
     def scores(self, net: Network, block: int = 4096) -> np.ndarray:
         hashes, tri, first = self.features
@@ -189,22 +216,20 @@ class Texts:
         return np.concatenate([net.score(x, *self.rows(slice(k, k + block))) for k in range(0, len(self.spans), block)] or [np.zeros(0, np.float32)])
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = 10, most: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
-    """Train on texts with 0/1 labels; without both labels the network keeps its low bias."""
+def fit(texts: list[str] | pa.Array, labels: list[int], *, epochs: int = 10, most: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
+    """Train on whole texts with 0/1 labels; without both labels the network keeps its low bias."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         net = Network()
         net.p["bo"][:] = -4 if not len(y) or y.max() == 0 else 4
         return net
-    _, _, raw, offsets = next(groups(pa.array(texts, pa.large_string()), 1 << 60))
-    data = Texts(raw, offsets)
+    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
+    data = Texts((raw, offsets) for _, _, raw, offsets in groups(column))
     if not len(data.spans):
         return Network()
     hashes, tri, first = data.features
-    text_of = np.searchsorted(data.at, np.arange(len(data.kind)), "right") - 1
-    seen = np.unique(data.kind.astype(np.int64) * len(y) + text_of) // len(y)
-    held = np.bincount(seen, minlength=len(hashes))
+    held = data.texts_with
     frequent = np.flatnonzero(held >= MIN_TEXTS)
     net = Network(hashes[frequent[np.argsort(-held[frequent], kind="stable")[:MAX_WORDS]]])
     word = net.places(hashes)
@@ -231,8 +256,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 10, most: int = 25
             index, mask = data.rows(some)
             kinds, local = np.unique(index, return_inverse=True)
             lengths = ends[kinds] - first[kinds]
-            own_first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            own_tri = tri[np.repeat(first[kinds], lengths) + np.arange(lengths.sum()) - np.repeat(own_first, lengths)]
+            own_tri, own_first = pick_runs(tri, first[kinds], lengths, slice(None))
             _, g = net.gradient(word[kinds], own_tri, own_first, local.reshape(index.shape), mask, y_of[some])
             step += 1
             for name, value in g.items():
@@ -248,26 +272,28 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 10, most: int = 25
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, window_words: int = 2048) -> Network:
-    """Train on about per_class labelled texts of each class (the bound), and of each such text on window_words words at most.
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> Network:
+    """Train on the whole texts of about per_class labelled rows of each class (the bound).
 
-    docs (doc_id, text, ...), labels (doc_id, toxic, ...): rows with a null id, text or label are left out. Only training is
-    bounded; scoring reads whole texts. A text for training that is longer gives a stretch chosen by its id."""
+    docs (doc_id, text, ...), labels (doc_id, toxic, ...): rows with a null id, text or label are left out; a doc_id with
+    several labels counts as toxic if one of them is 1, and rows that repeat a doc_id are texts of their own. The sample
+    depends on the ids alone and is sorted by doc_id and text, so that every run trains alike; other columns are ignored."""
     ids = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(ids, "toxic", "doc_id", per_class)
     # at most about two times per_class ids: small enough to broadcast
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    size = window_words * 8
-    at = F.when(F.length("text") > size, F.pmod(F.xxhash64("doc_id"), F.length("text") - size)).otherwise(F.lit(0)).cast("int")
-    found = rows.select("doc_id", "toxic", F.substring(F.col("text"), at + 1, F.lit(size)).alias("part")).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["part"]))
-    return fit([r["part"] for r in found], [r["toxic"] for r in found])
+    found = rows.select("doc_id", F.col("text").cast("string").alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    net = fit(found["text"].combine_chunks().cast(pa.large_string()), found["toxic"].to_pylist())
+    del found
+    pa.default_memory_pool().release_unused()
+    return net
 
 
 def score_texts(docs: DataFrame, net: Network) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5) added, each taking the place of a column of that name.
 
-    Null texts and texts without words score 0."""
+    One row for each input row, whatever its doc_id: null texts and texts without words score 0, texts of any length are
+    scored whole, repeated rows score alike, and an empty table gives an empty result."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.drop("score", "predicted")
@@ -281,7 +307,7 @@ def score_texts(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for a, b, raw, offsets in groups(batch.column(where)):
-                t = Texts(raw, offsets)
+                t = Texts([(raw, offsets)])
                 if len(t.spans):
                     np.maximum.at(out[a:b], t.owner, t.scores(own).astype(np.float64))
             out = np.clip(out, 0, 1)
