@@ -1,20 +1,21 @@
 """Chat formatting with rotating perspectives, in DataFrame functions only.
 
 For each participant of a conversation the dialogue is rendered with that speaker as the assistant and the others as
-named users; what the assistant says is to be learnt, everything else is masked. Long conversations are rendered in
-pieces of PIECE turn numbers, so that no conversation must fit into one row or task; the texts are shuffled once, as
-pieces, and only then meet the participants.
+named users; what the assistant says is to be learnt, everything else is masked. A conversation's rows are numbered in
+their order, and each PIECE of them is rendered as one row, so that no conversation must fit into one row or task; the
+texts are shuffled as pieces, and only then meet the participants.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.session import materialize
+from brindle.llm.skew import row_numbers
 
-PIECE = 64
-#: Rows of one part of a piece.
-MOST = 1024
+#: Rows of a conversation that one row of the result renders; only longer dialogues have a second piece.
+PIECE = 256
+#: Pieces of a conversation that meet its participants under one join key.
+TOGETHER = 64
 END = "<|end|>\n"
 
 
@@ -26,91 +27,58 @@ def head(role: Column, participant: Column, context_roles: tuple[str, ...]) -> C
     )
 
 
-def _row_numbers(rows: DataFrame) -> DataFrame:
-    """rows with row, the number from 0 of each in its piece in the order (turn, role, text).
+def perspectives(turns: DataFrame, *, context_roles: tuple[str, ...] = ("system",), piece: int = PIECE) -> DataFrame:
+    """(conv_id, participant, piece, n_turns, text, spans array<struct<start, end>>) for turns (conv_id, turn, role, text, ...).
 
-    All are sorted together over many tasks, so a piece needs no task of its own; equal rows, which may stand in any order,
-    are dealt out by their place in the input."""
-    keys = ["conv_id", "piece"]
-    placed = rows.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, F.asc_nulls_first("turn"), "role", "text", "_tie").drop("_tie")
-    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "chat-order")
-    task = F.shiftright("_at", 33)
-    shares = placed.groupBy(*keys, task.alias("_task")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shares = shares.select(*keys, "_task", "_first", before.alias("_before"))
-    out = placed.withColumn("_task", task).join(shares, [*keys, "_task"])
-    return out.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("row"))
-
-
-def _whole(rows: DataFrame) -> DataFrame:
-    """The parts of each piece put together, with spans counted from the start of the piece."""
-    keys = ["conv_id", "participant", "piece"]
-    joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "n_turns", "text", "spans"))).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("spans"))
-
-    def step(s: Column, x: Column) -> Column:
-        moved = F.transform(x["spans"], lambda y: F.struct((y["start"] + s["at"]).alias("start"), (y["end"] + s["at"]).alias("end")))
-        return F.struct((s["at"] + F.length(x["text"])).alias("at"), F.concat(s["spans"], F.array(moved)).alias("spans"))
-
-    return joined.select(
-        *keys, F.lit(0).cast("long").alias("part"), F.aggregate("p", F.lit(0), lambda s, x: s + x["n_turns"]).alias("n_turns"),
-        F.array_join("p.text", "").alias("text"), F.flatten(F.aggregate("p", start, step)["spans"]).alias("spans"),
-    )
-
-
-def perspectives(turns: DataFrame, *, context_roles: tuple[str, ...] = ("system",), piece: int = PIECE, whole: bool = False) -> DataFrame:
-    """(conv_id, participant, piece, part, n_turns, text, spans array<struct<start, end>>) for turns (conv_id, turn, role, text, ...).
-
-    A conversation's participants are its roles but for context_roles, which stay what they are. Turns stand in the order of
-    turn, role and text, nulls first; a null role is "unknown", a null text is empty, a null turn comes before all others in a
-    piece of its own (-1); repeated rows are repeated turns. Rows with a null conv_id are left out, and a conversation without
-    a participant has no rows. spans are the code point ranges of a piece's text that the assistant is to learn: its texts with
-    their end marks. part numbers the runs of MOST rows of a piece in that order, the last of which may be shorter; with whole,
-    the parts are put together, so that each piece is one row. Other columns are ignored."""
+    A conversation's participants are its roles but for context_roles, which stay what they are. Its rows stand in the
+    order of turn (nulls first), role and text; piece k holds the rows from k * piece on in that order, at every size, so
+    the texts of pieces 0, 1, ... joined are the whole dialogue. A null role is "unknown", a null text is empty; repeated
+    rows are repeated turns. Rows with a null conv_id are left out, and a conversation without a participant has no rows.
+    spans are the code point ranges of a piece's text that the assistant is to learn: its texts with their end marks.
+    Other columns are ignored; an empty table gives an empty result."""
     own = turns.where("conv_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    own = own.withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-1)).cast("long"))
-    crowded = own.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > MOST)
-    many = crowded.limit(1).count() > 0
-    if many:
-        hot = own.hint("merge").join(crowded.select("conv_id", "piece").hint("merge"), ["conv_id", "piece"], "left_semi")
-        cut = _row_numbers(hot).withColumn("part", F.floor(F.col("row") / MOST).cast("long")).select("conv_id", "turn", "role", "text", "piece", "part")
-        rest = own.hint("merge").join(crowded.select("conv_id", "piece").hint("merge"), ["conv_id", "piece"], "left_anti")
-        own = rest.select("conv_id", "turn", "role", "text", "piece", F.lit(0).cast("long").alias("part")).unionByName(cut)
-    else:
-        own = own.withColumn("part", F.lit(0).cast("long"))
-    pieces = own.groupBy("conv_id", "piece", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text"))).alias("turns"))
-    people = own.where(~F.col("role").isin(*context_roles)).select("conv_id", F.col("role").alias("participant")).distinct()
-    rows = pieces.hint("merge").join(people.hint("merge"), "conv_id")
+    placed = row_numbers(own, ["conv_id"], [F.asc_nulls_first("turn"), "role", "text"], "chat-order")
+    placed = placed.withColumn("piece", F.floor(F.col("row") / piece).cast("long"))
+    pieces = placed.groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list(F.struct("row", "role", "text"))).alias("turns"))
+    # a participant stands once for each TOGETHER pieces, so a long conversation is no single join key
+    people = placed.where(~F.col("role").isin(*context_roles)).groupBy("conv_id", "role").agg(F.lit(None)).select("conv_id", F.col("role").alias("participant"))
+    last = placed.groupBy("conv_id").agg(F.max("piece").alias("last"))
+    people = people.join(last, "conv_id").select("conv_id", "participant", F.explode(F.sequence(F.lit(0), (F.col("last") / TOGETHER).cast("int"))).alias("_group"))
+    grouped = pieces.withColumn("_group", (F.col("piece") / TOGETHER).cast("int"))
+    rows = grouped.hint("merge").join(people.hint("merge"), ["conv_id", "_group"])
     parts = F.transform("turns", lambda t: F.struct(
         head(t["role"], F.col("participant"), context_roles).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"),
         (~t["role"].isin(*context_roles) & (t["role"] == F.col("participant"))).alias("own"),
     ))
-    rows = rows.select("conv_id", "participant", "piece", "part", F.size("turns").alias("n_turns"), parts.alias("parts"))
+    rows = rows.select("conv_id", "participant", "piece", F.size("turns").alias("n_turns"), parts.alias("parts"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(s: Column, p: Column) -> Column:
         a = s["at"] + F.length(p["head"])
         b = a + F.length(p["body"])
-        return F.struct(b.alias("at"), F.when(p["own"], F.concat(s["spans"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(s["spans"]).alias("spans"))
+        span = F.array(F.struct(a.alias("start"), b.alias("end")))
+        return F.struct(b.alias("at"), F.when(p["own"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    out = rows.select(
-        "conv_id", "participant", "piece", "part", "n_turns",
+    return rows.select(
+        "conv_id", "participant", "piece", "n_turns",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         F.aggregate("parts", start, step)["spans"].alias("spans"),
     )
-    return _whole(out) if whole and many else out
 
 
 ORACLE = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(turn // {PIECE}, -1) AS piece FROM conversations WHERE conv_id IS NOT NULL),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS row FROM t),
 people AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
-s AS (SELECT t.*, participant, role = participant AS own,
-    CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = participant THEN '<|assistant|>' || chr(10) ELSE '<|user:' || role || '|>' || chr(10) END AS head,
-    text || '<|end|>' || chr(10) AS body FROM t JOIN people USING (conv_id)),
-o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, piece ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s)
-SELECT conv_id, participant, piece::BIGINT AS piece, count(*)::INTEGER AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg(CASE WHEN own THEN (before + length(head)) || '-' || (before + length(head) + length(body)) END, ' ' ORDER BY turn NULLS FIRST, role, text), '') AS mask_spans
+s AS (SELECT n.*, row // {PIECE} AS piece, participant, role = participant AS own,
+    CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = participant THEN '<|assistant|>' || chr(10)
+      ELSE '<|user:' || role || '|>' || chr(10) END AS head,
+    text || '<|end|>' || chr(10) AS body FROM n JOIN people USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, piece ORDER BY row
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s)
+SELECT conv_id, participant, piece::BIGINT AS piece, count(*)::INTEGER AS n_turns, string_agg(head || body, '' ORDER BY row) AS text,
+  coalesce(string_agg(CASE WHEN own THEN (before + length(head)) || '-' || (before + length(head) + length(body)) END, ' ' ORDER BY row), '') AS mask_spans
 FROM o GROUP BY conv_id, participant, piece"""

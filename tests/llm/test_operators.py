@@ -297,6 +297,8 @@ def test_decontamination_of_parted_copies(spark):
         t = list(items[n])
         t[cuts[0] : cuts[1]] = ["other"] * (cuts[1] - cuts[0])
         rows.append((len(rows), ["so"] * r.randint(0, 9) + t + ["end"]))
+    rows.append((len(rows), items[3][:20] + ["so"] * 80 + items[3][-20:]))
+    rows.append((len(rows), items[3][:20]))
     for _ in range(40):
         t = list(r.choice(items))
         p = r.choice((0.05, 0.15, 0.25, 0.35))
@@ -305,42 +307,42 @@ def test_decontamination_of_parted_copies(spark):
     got = decontaminate.contaminated(docs(spark, [(d, " ".join(t)) for d, t in rows]), b).collect()
     want = brute_stretches(rows, list(enumerate(items)))
     assert {(x.doc_id, x.item_id): (x.doc_start, x.item_start, x.n_tokens, x.n_same) for x in got} == want
-    assert {(0, 0), (1, 1), (2, 0), (3, 2)} <= set(want)
+    assert {(0, 0), (1, 1), (2, 0), (3, 2), (4, 3), (5, 3)} <= set(want)
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo\n"), (1, 3, None, None), (1, 2, "bob", "yo\n"), (1, None, "ann", "first"), (2, 0, "system", "only"), (None, 0, "ann", "x"), (3, 64, "a", "late"), (3, 0, "a", "early")]
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo\n"), (1, 3, None, None), (1, 2, "bob", "yo\n"), (1, None, "ann", "first"), (2, 0, "system", "only")]
+    rows += [(None, 0, "ann", "x"), (3, 640, "a", "late"), (3, -7, "a", "early")]
     df = spark.createDataFrame([(*x, 9) for x in rows], "conv_id long, turn long, role string, text string, piece int")
     got = {(x.conv_id, x.participant, x.piece): x for x in chat.perspectives(df).collect()}
-    assert sorted(got, key=str) == sorted([(1, p, k) for p in ("ann", "bob", "unknown") for k in (-1, 0)] + [(3, "a", 0), (3, "a", 1)], key=str)
+    assert sorted(got, key=str) == sorted([(1, p, 0) for p in ("ann", "bob", "unknown")] + [(3, "a", 0)], key=str)
     x = got[(1, "bob", 0)]
-    assert x.text == "<|system|>\nS<|end|>\n<|user:ann|>\nhi<|end|>\n" + "<|assistant|>\nyo\n<|end|>\n" * 2 + "<|user:unknown|>\n<|end|>\n"
-    assert [x.text[s.start : s.end] for s in x.spans] == ["yo\n<|end|>\n"] * 2 and x.n_turns == 5
-    many = spark.createDataFrame([(1, 0, "a", f"t{k}") for k in range(3000)], "conv_id long, turn long, role string, text string")
-    parts = chat.perspectives(many).collect()
-    assert len(parts) > 1 and sum(p.n_turns for p in parts) == 3000
+    assert x.text == "<|user:ann|>\nfirst<|end|>\n<|system|>\nS<|end|>\n<|user:ann|>\nhi<|end|>\n" + "<|assistant|>\nyo\n<|end|>\n" * 2 + "<|user:unknown|>\n<|end|>\n"
+    assert [x.text[s.start : s.end] for s in x.spans] == ["yo\n<|end|>\n"] * 2 and x.n_turns == 6
+    assert got[(3, "a", 0)].text == "<|assistant|>\nearly<|end|>\n<|assistant|>\nlate<|end|>\n"
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
-def test_crowded_chat_equals_its_sql(spark, tmp_path):
+def test_crowded_chat_equals_its_sql_and_plain_python(spark, tmp_path):
     import duckdb
 
     from brindle.llm.queries import op1_perspective_rotation
 
     r = random.Random(8)
-    rows = [(1, 3, r.choice(["ann", "bob", None]), f"t{r.randint(0, 900)}") for _ in range(3000)] + [(1, None, "ann", "same")] * 1500 + [(1, k, "bob", None) for k in range(10)]
-    rows += [(1, 70, "bob", "late"), (2, 0, "system", "s"), (2, 1, "ann", "x")]
+    rows = [(1, 3, r.choice(["ann", "bob", None]), f"t{r.randint(0, 900)}") for _ in range(3000)] + [(1, None, "ann", "same")] * 1500 + [(1, k, "bob", None) for k in range(-40, 10)]
+    rows += [(1, 70, "bob", "late"), (2, 0, "system", "s"), (2, 1, "ann", "x")] + [(9, k * 1000, "ann", "sparse") for k in range(600)]
     r.shuffle(rows)
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
     cols = ["conv_id", "participant", "piece", "n_turns", "text", "mask_spans"]
     got = sorted(tuple(x[c] for c in cols) for x in op1_perspective_rotation(spark, str(tmp_path)).collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    # the SQL gives the spans of equal rows in any order
-    by_start = lambda x: (*x[:5], " ".join(sorted(x[5].split(), key=lambda y: int(y.split("-")[0]))))
-    assert got == sorted(map(by_start, con.execute(f"SELECT {', '.join(cols)} FROM ({chat.ORACLE})").fetchall()))
-    parts = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1 and piece = 0 and participant = 'ann'").orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2] and [p.n_turns for p in parts] == [1024, 1024, 962] and "".join(p.text for p in parts) == [g[4] for g in got if g[:3] == (1, "ann", 0)][0]
+    assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({chat.ORACLE})").fetchall())
+    ordered = sorted(((t is not None, t or 0, p or "unknown", x or "") for c, t, p, x in rows if c == 1))
+    for person in ("ann", "bob", "unknown"):
+        whole = "".join(("<|assistant|>\n" if p == person else f"<|user:{p}|>\n") + x + "<|end|>\n" for _, _, p, x in ordered)
+        assert "".join(g[4] for g in got if g[:2] == (1, person)) == whole
+    assert [g[2] for g in got if g[:2] == (9, "ann")] == [0, 1, 2] and [g[3] for g in got if g[:2] == (9, "ann")] == [256, 256, 88]
 
 
 def test_licences(spark):
