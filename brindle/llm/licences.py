@@ -1,144 +1,153 @@
 """Licence scans: TF-IDF cosine of stretches of text to licence templates, then inheritance from the nearest directory.
 
-A template is a statement such as files carry, or a licence's opening. Its terms are weighted by their rarity among the
-templates; a term outside them weighs as the rarest. Terms that any stretch above the threshold must hold (by the
-Cauchy-Schwarz inequality the others can't reach it alone) are found in the whole text, and each is laid on its places
-in the templates to give the stretch that is compared. A file without a licence of its own takes that of the nearest
-directory above it which holds a licence file.
+A template is a header, a statement or a licence's body. Terms are weighted by their inverse frequency among the
+templates, a term of none of them as the rarest. A text's score for a template is the greatest cosine of any of its
+stretches of the template's number of terms (or of the whole text, if that is shorter). Templates of whose squared weights
+a text holds too little to reach the threshold (Cauchy-Schwarz) are left out, and of the other stretches those whose
+cosine can't reach it even if no term repeats; what remains is computed in full, so nothing is lost. An
+SPDX-License-Identifier tag names its licence itself. A file without a licence takes that of the nearest directory above
+it which holds a licence file.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brindle.llm.licence_texts import TEMPLATES
+from brindle.llm.skew import salted_join
+from brindle.llm.textvec import groups, words
 from brindle.session import materialize, ship_package
 
-#: (identifier, statement)
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
-    ("CC0-1.0", "Released under CC0 1.0 Universal, dedicated to the public domain"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-)
-TERM = re.compile(r"[a-z0-9]+")
-#: Words of everyday prose weigh little, however few templates hold them.
-COMMON = frozenset("a and any as by either for in into is it of or permitted software terms the this to under use v version with without work".split())
-COMMON_WEIGHT = 0.4
+#: Terms are runs of ASCII letters and digits.
+APART = np.ones(256, bool)
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    APART[_a:_b] = False
+LEAST = 0.75
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+:-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+:-]+)*)", re.I)
+
+
+def term_hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return words(raw, np.array([0, len(raw)]), APART)[2]
 
 
 class Matcher:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.75):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST):
         self.least, self.names = least, [n for n, _ in templates]
-        terms = [TERM.findall(t.lower()) for _, t in templates]
-        held = Counter(w for ts in terms for w in set(ts))
-        self.idf = {w: COMMON_WEIGHT if w in COMMON else math.log((1 + len(terms)) / n) for w, n in held.items()}
-        self.rarest = math.log(1 + len(terms))
-        self.vectors, self.lengths, places = [], [len(t) for t in terms], {}
-        anchors: set[str] = set()
-        for ts in terms:
-            v = {w: n * self.idf[w] for w, n in Counter(ts).items()}
-            size = math.sqrt(sum(x * x for x in v.values()))
-            self.vectors.append({w: x / size for w, x in v.items()})
-            left = 1.0
-            for w, x in sorted(self.vectors[-1].items(), key=lambda kv: (-kv[1], kv[0])):
-                if left < least * least * 0.999:
-                    break
-                anchors.add(w)
-                left -= x * x
-        for k, ts in enumerate(terms):
-            for i, w in enumerate(ts):
-                if w in anchors:
-                    places.setdefault(w, []).append((k, i))
-        self.places = places
-        self.any = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + r")(?![a-z0-9])")
-
-    def cosine(self, k: int, stretch: list[str]) -> float:
-        counts = Counter(stretch)
-        size = math.sqrt(sum((n * self.idf.get(w, self.rarest)) ** 2 for w, n in counts.items()))
-        vector = self.vectors[k]
-        return sum(n * self.idf[w] * vector[w] for w, n in counts.items() if w in vector) / size if size else 0.0
-
-    def best(self, text: str | None) -> tuple[str | None, float, int]:
-        """(identifier, cosine, terms of the text) of the template nearest to any stretch; None below the threshold.
-
-        A tie goes to the template that comes first."""
-        low = (text or "").lower()
-        if not self.any.search(low):
-            return None, 0.0, -1
-        terms = TERM.findall(low)
-        found, seen = (None, 0.0), set()
-        for i, w in enumerate(terms):
-            for k, at in self.places.get(w, ()):
-                a = i - at
-                if (a, k) not in seen:
-                    seen.add((a, k))
-                    score = self.cosine(k, terms[max(0, a) : max(0, a) + self.lengths[k] + min(0, a)])
-                    if score >= self.least and (score > found[1] + 1e-12):
-                        found = (self.names[k], score)
-        return *found, len(terms)
-
-
-def own_licences(files: DataFrame, *, least: float = 0.75, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(path, licence, score, n_terms) for files (path, text, ...), one row each; licence is null where no template is near."""
+        terms = [term_hashes(t) for _, t in templates]
+        self.lengths = np.array([len(t) for t in terms])
+        self.vocabulary, held = np.unique(np.concatenate([np.unique(t) for t in terms]), return_counts=True)
+        # the last place stands for all terms outside the templates
+        self.idf = np.append(np.log((1 + len(terms)) / (1 + held)) + 1, np.log(1 + len(terms)) + 1)
+        self.vectors = np.zeros((len(terms), len(self.idf)))
+        for k, t in enumerate(terms):
+            self.vectors[k] = np.bincount(np.searchsorted(self.vocabulary, t), minlength=len(self.idf)) * self.idf
+        self.vectors /= np.linalg.norm(self.vectors, axis=1)[:, None]
+        self.squares = (self.vectors**2).T
+        # of templates that are equally near the longer one says more
+        self.longest_first = np.argsort(-self.lengths, kind="stable")
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
+
+    def cosine(self, k: int, places: np.ndarray, hashes: np.ndarray) -> float:
+        """Of one stretch, in full: repeated terms count with their number."""
+        _, head, count = np.unique(hashes, return_index=True, return_counts=True)
+        weight = count * self.idf[places[head]]
+        return float(weight @ self.vectors[k][places[head]]) / float(np.sqrt(weight @ weight))
+
+    def nearest(self, k: int, places: np.ndarray, hashes: np.ndarray) -> float:
+        """The greatest cosine to template k of any stretch, or 0 where all are under the threshold."""
+        n, size = len(places), int(self.lengths[k])
+        if n <= size:
+            score = self.cosine(k, places, hashes)
+            return score if score >= self.least else 0.0
+        dots = np.concatenate(([0.0], np.cumsum(self.vectors[k][places] * self.idf[places])))
+        norms = np.concatenate(([0.0], np.cumsum(self.idf[places] ** 2)))
+        most = (dots[size:] - dots[:-size]) / np.sqrt(norms[size:] - norms[:-size])
+        best = 0.0
+        for a in np.argsort(-most, kind="stable"):
+            if most[a] < max(self.least, best) - 1e-9:
+                break
+            score = self.cosine(k, places[a : a + size], hashes[a : a + size])
+            best = max(best, score) if score >= self.least else best
+        return best
+
+    def scan(self, column: pa.Array) -> Iterator[tuple[int, str, float, float]]:
+        """(row, identifier, score, whole) of the texts with a licence; whole: the greatest cosine of the text as one stretch."""
+        for first, last, raw, offsets in groups(column):
+            _, _, hashes, at = words(raw, offsets, APART)
+            places = self.places(hashes)
+            owner = np.repeat(np.arange(last - first), np.diff(at))
+            known = places < len(self.vocabulary)
+            present = np.zeros((last - first, len(self.idf)), np.float32)
+            present[owner[known], places[known]] = 1
+            possible = present @ self.squares >= self.least**2 - 1e-6
+            for row in np.flatnonzero(possible.any(axis=1)):
+                own = slice(at[row], at[row + 1])
+                name, best, whole = None, 0.0, 0.0
+                for k in self.longest_first[possible[row][self.longest_first]]:
+                    score = self.nearest(k, places[own], hashes[own])
+                    if score > best + 1e-12:
+                        name, best = self.names[k], score
+                    if score:
+                        whole = max(whole, self.cosine(k, places[own], hashes[own]))
+                if name is not None:
+                    yield first + int(row), name, min(1.0, best), whole
+
+
+def own_licences(files: DataFrame, *, least: float = LEAST, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """(path, licence, score, whole) for files (path, text, ...), one row each; licence is null and score 0 where no template is near.
+
+    whole is the cosine of the whole text to a template, so it tells licence texts from files that carry a header."""
     ship_package(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, least)
         for batch in batches:
-            rows = [matcher.best(t) for t in batch.column(1).to_pylist()]
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["path", "licence", "score", "n_terms"])
+            texts, n = batch.column(1), batch.num_rows
+            names, score, whole = [None] * n, np.zeros(n), np.zeros(n)
+            for row, name, s, w in matcher.scan(texts):
+                names[row], score[row], whole[row] = name, s, w
+            for row in np.flatnonzero(pc.match_substring(texts, "spdx-license-identifier", ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)):
+                if tag := SPDX.search(texts[row].as_py()):
+                    names[row], score[row] = " ".join(tag[1].split()), 1.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(whole)], names=["path", "licence", "score", "whole"])
 
-    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, licence string, score double, n_terms long")
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string, licence string, score double, whole double")
 
 
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def scan(files: DataFrame, is_licence_file: Column | None = None, *, least: float = 0.75, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, is_licence_file: Column | None = None, *, least: float = LEAST, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(path, licence, score, origin, source_path) for files (path, text, ...), one row for each input row.
 
-    origin: own, inherited or none. is_licence_file is a condition on path, licence and n_terms; by default the file's name
-    begins with licen[cs]e, copying, unlicense or notice. Of several licence files in a directory the path that sorts first counts.
-    A null path has no directory; null and empty texts have no licence of their own. Other columns are ignored."""
+    origin: own, inherited or none. is_licence_file is a condition on path, licence, score and whole; by default the file's
+    name begins with licen[cs]e, copying, unlicense or notice. Of several licence files in a directory the path that sorts
+    first counts. A null path has no directory; null and empty texts have no licence of their own; texts of any length are
+    scanned whole. Other columns are ignored; an empty table gives an empty result."""
     if is_licence_file is None:
         is_licence_file = F.lower(F.regexp_extract("path", "[^/]*$", 0)).rlike("^(licen[cs]e|copying|unlicense|notice)")
     own = materialize(own_licences(files, least=least, templates=templates), "licences")
-    of_dir = own.where(F.col("licence").isNotNull() & F.col("path").isNotNull() & is_licence_file).groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct("path", "licence", "score")).alias("x"))
+    given_out = own.where(F.col("licence").isNotNull() & F.col("path").isNotNull() & is_licence_file)
+    of_dir = given_out.groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct("path", "licence", "score")).alias("x"))
     bare = own.where(F.col("licence").isNull())
     # directories, not files, look for their nearest ancestor
     dirs = bare.where("path is not null").select(parent(F.col("path")).alias("home")).distinct()
     parts = F.split("home", "/")
-    above = dirs.select("home", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))).alias("a"))
-    nearest = (
-        above.select("home", "a.depth", "a.dir").hint("merge").join(of_dir.hint("merge"), "dir")
-        .groupBy("home").agg(F.max_by("x", "depth").alias("x"))
-    )
-    given = bare.withColumn("home", parent(F.col("path"))).hint("merge").join(nearest.hint("merge"), "home", "left").select(
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))
+    above = dirs.select("home", F.explode(up).alias("a")).select("home", "a.depth", "a.dir")
+    nearest = above.hint("merge").join(of_dir.hint("merge"), "dir").groupBy("home").agg(F.max_by("x", "depth").alias("x"))
+    given = salted_join(bare.select("path", parent(F.col("path")).alias("home")), nearest, ["home"], "left").select(
         "path", F.col("x.licence").alias("licence"), F.coalesce("x.score", F.lit(0.0)).alias("score"),
         F.when(F.col("x").isNull(), "none").otherwise("inherited").alias("origin"), F.col("x.path").alias("source_path"),
     )

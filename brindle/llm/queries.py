@@ -65,15 +65,13 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
 
 
-#: documents has no file names: a document of so few terms with a licence statement stands for its directory's licence file.
-LICENCE_FILE_TERMS = 60
-
-
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no file names: a document that is a licence text as a whole stands for its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce("lang", F.lit("unknown")), F.lit("/"), F.col("doc_id").cast("string"))
-    found = licences.scan(docs.select(path.alias("path"), "text"), F.col("n_terms") <= LICENCE_FILE_TERMS)
-    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "origin", "source_path")
+    folder = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce("lang", F.lit("unknown")), F.lit("/"))
+    found = licences.scan(docs.select(F.concat(folder, F.col("doc_id").cast("string")).alias("path"), "text"), F.col("whole") >= licences.LEAST)
+    doc_id = F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id")
+    return found.select(doc_id, "path", "licence", F.round("score", 6).alias("score"), "origin", "source_path")
 
 
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
