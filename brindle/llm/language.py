@@ -22,6 +22,8 @@ DIM = 1024
 UND = "und"
 #: Texts are taken together up to so many characters; a longer one is a group of its own.
 GROUP = 1 << 19
+#: Kinds of trigrams whose vectors are held at once.
+KINDS = 1 << 14
 #: Heads of training texts that stand for short texts, and how floors follow from their cosines.
 HEADS = (4, 8, 16, 32, 64, 128, 256)
 FLOOR_TAIL, FLOOR_SHARE, LONG = 0.001, 0.75, 8
@@ -39,7 +41,7 @@ def letter_table() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1 << 14)
+@lru_cache(maxsize=1 << 15)
 def letter_vector(code: int) -> np.ndarray:
     return (np.random.default_rng(code + 17).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
@@ -76,16 +78,38 @@ def counted_profiles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray
                 u, c = u[1:], c[1:]
             counted.append((u, c))
         kinds = np.unique(np.concatenate([u for u, _ in counted])) if counted else np.zeros(0, np.int64)
-        letters = np.stack([letter_vector(int(c)) for c in alphabet])
-        turned, twice = np.roll(letters, 1, axis=1), np.roll(letters, 2, axis=1)
-        bound = twice[kinds // (n * n)] * turned[kinds // n % n] * letters[kinds % n]
+        shared = bound_vectors(kinds, alphabet) if len(kinds) <= KINDS else None
         for k, (u, c) in enumerate(counted):
-            yield a + k, c.astype(np.float32) @ bound[np.searchsorted(kinds, u)].astype(np.float32) if len(u) else None, int(c.sum())
+            if not len(u):
+                yield a + k, None, 0
+            elif shared is not None:
+                yield a + k, c.astype(np.float32) @ shared[np.searchsorted(kinds, u)].astype(np.float32), int(c.sum())
+            else:
+                total = np.zeros(DIM, np.float32)
+                for at in range(0, len(u), KINDS):
+                    total += c[at : at + KINDS].astype(np.float32) @ bound_vectors(u[at : at + KINDS], alphabet).astype(np.float32)
+                yield a + k, total, int(c.sum())
         a = b
 
 
+def bound_vectors(kinds: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams, numbers to the base of the alphabet's size: their letters' vectors turned and multiplied."""
+    n = len(alphabet)
+    digits = np.stack((kinds // (n * n), kinds // n % n, kinds % n))
+    used, place = np.unique(digits, return_inverse=True)
+    place = place.reshape(digits.shape)
+    letters = np.stack([letter_vector(int(c)) for c in alphabet[used]]) if len(used) else np.zeros((0, DIM), np.int8)
+    out = np.roll(letters, 2, axis=1)[place[0]]
+    out *= np.roll(letters, 1, axis=1)[place[1]]
+    out *= letters[place[2]]
+    return out
+
+
 def learn(docs: DataFrame, *, per_language: int = 1500) -> dict[str, np.ndarray]:
-    """Prototypes, scaled to length 1, from docs (doc_id, text, lang): about per_language texts of each language (the bound)."""
+    """Prototypes, scaled to length 1, from docs (doc_id, text, lang, ...): about per_language texts of each language (the bound).
+
+    Null texts, texts without a letter and rows without a lang teach nothing; repeated rows teach as often as they stand.
+    The sample depends on doc_id alone, so ties don't arise; no labelled rows give no prototypes. Other columns are ignored."""
     ship_package(docs.sparkSession)
     chosen = bounded_sample(docs.where("lang is not null and text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_language)
 
@@ -144,7 +168,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], floors: dict[in
 
     score is the cosine, negative ones as 0. Null texts, texts without a letter, and all texts where nothing was learned
     get und and 0. A tie goes to the language that sorts first. With floors, a text whose cosine is under the floor of its
-    size class gets und and keeps its score."""
+    size class gets und and keeps its score. One row for each input row, whatever its doc_id; repeated rows get the same
+    answer, texts of any length are read whole, and an empty table gives an empty result."""
     ship_package(docs.sparkSession)
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float64) if names else np.zeros((0, DIM))

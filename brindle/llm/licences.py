@@ -28,7 +28,8 @@ from brindle.session import materialize, ship_package
 APART = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     APART[_a:_b] = False
-LEAST = 0.75
+#: Above the weight of any one term in a template, so that one word repeated never passes.
+LEAST = 0.87
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+:-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+:-]+)*)", re.I)
 
 

@@ -3,12 +3,14 @@
 A text becomes words: a run of the space mark with the characters up to the next mark. No piece of the model holds a
 mark behind another character, so no merge crosses words. All distinct new words of a batch lie in one flat symbol
 array. Each round looks up the rank of every neighbouring pair, takes each word's minimum by a segmented reduction,
-merges its leftmost non-overlapping occurrences at once, and compacts the array; words without a pair leave it.
+merges its leftmost non-overlapping occurrences at once, and compacts the array; words without a pair leave it. A round
+costs the length of the words in it, so words above LONG characters, whose rounds are many, take their pairs from a queue.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +25,8 @@ MARK = "▁"
 NONE = np.int64(1 << 40)
 #: Words that a worker remembers before it forgets them all.
 MEMO = 400_000
+#: Words above so many characters are merged one pair at a time and not remembered.
+LONG = 256
 
 
 class PieceCodec:
@@ -69,6 +73,8 @@ class PieceCodec:
         key = np.array(left, np.int64) * (1 << 20) + np.array(right, np.int64)
         by = np.argsort(key)
         self.keys, self.made = key[by], np.array(made, np.int64)[by]
+        # (rank, piece) of each pair, for long words
+        self.pair_of = {(a, b): (rank[i], i) for a, b, i in zip(left, right, made)}
         self.rank = np.full(n, NONE, np.int64)
         self.rank[list(rank)] = list(rank.values())
         self.single = np.zeros(n, bool)
@@ -113,6 +119,35 @@ class PieceCodec:
             todo = todo[~hit & (held != -1)]
         return out
 
+    def encode_long(self, word: str) -> np.ndarray:
+        """Ids of one word: of all neighbouring pairs the one of the best rank, the leftmost at a tie, is merged until none is left."""
+        sym: list = [self.id_of.get(c, c) for c in word]
+        n, pair_of = len(sym), self.pair_of
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue: list[tuple[int, int, int, int]] = []
+        for i in range(n - 1):
+            if (made := pair_of.get((sym[i], sym[i + 1]))) is not None:
+                queue.append((made[0], i, i + 1, made[1]))
+        heapq.heapify(queue)
+        alive = [True] * n
+        while queue:
+            _, i, j, made = heapq.heappop(queue)
+            if not (alive[i] and alive[j]) or after[i] != j or pair_of.get((sym[i], sym[j]), (0, -1))[1] != made:
+                continue
+            sym[i], alive[j] = made, False
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := pair_of.get((made, sym[k]))) is not None:
+                    heapq.heappush(queue, (found[0], i, k, found[1]))
+            if (h := before[i]) >= 0 and (found := pair_of.get((sym[h], made))) is not None:
+                heapq.heappush(queue, (found[0], h, i, found[1]))
+        out: list[int] = []
+        for s, a in zip(sym, alive):
+            if a:
+                out.extend(self.byte_ids[np.frombuffer(s.encode("utf-8", "replace"), np.uint8)].tolist() if isinstance(s, str) else (s,))
+        return np.array(out, np.int32)
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word, whose spaces are marks already."""
         if not words:
@@ -220,10 +255,14 @@ class PieceCodec:
         if len(memo) + len(fresh) > MEMO:
             memo.clear()
             fresh = list({w for ws in split for w in ws})
-        for w, ids in zip(fresh, self.encode_words(fresh)):
+        short = [w for w in fresh if len(w) <= LONG]
+        for w, ids in zip(short, self.encode_words(short)):
             memo[w] = ids
         end = np.array([self.end], np.int32)
-        return [np.concatenate([*map(memo.__getitem__, ws), end]) for ws in split]
+        if len(short) == len(fresh):
+            return [np.concatenate([*map(memo.__getitem__, ws), end]) for ws in split]
+        long = {w: self.encode_long(w) for w in fresh if len(w) > LONG}
+        return [np.concatenate([*(memo[w] if w in memo else long[w] for w in ws), end]) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control ids are silent, byte pieces are joined and read as UTF-8."""

@@ -389,6 +389,7 @@ def test_licences_equal_all_stretches():
     for t in texts:
         want, got = naive_licence(t), own_licence(m, t)
         assert want[0] == got[0] and abs(want[1] - got[1]) < 1e-9, t
+    assert m.vectors.max() < licences.LEAST and own_licence(m, "mit " * 40) == (None, 0.0)
     for n, t in licences.TEMPLATES:
         assert own_licence(m, "/* " + t.replace("\n", "\n * ") + " */") == (n, pytest.approx(1.0))
     assert own_licence(m, "Copyright 2020 A. Author\n" + bodies["BSD-2-Clause"])[0] == "BSD-2-Clause" and own_licence(m, bodies["BSD-3-Clause"])[0] == "BSD-3-Clause"
