@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S)
@@ -29,11 +30,69 @@ _NO_P_INSIDE = frozenset("td th caption button table".split())
 
 
 class Block(NamedTuple):
+    """node: the number of the innermost element around the text in the page's list of elements, or -1."""
+
     text: str
-    path: tuple[str, ...]
+    node: int
     link_chars: int
 
 
+class Element(NamedTuple):
+    """An element that was open when text began: its own names, and the number of the element around it, or -1."""
+
+    parent: int
+    names: tuple[str, ...]
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    elements: list[Element]
+
+    def path(self, block: Block) -> tuple[str, ...]:
+        """The names of all elements around a block, the outermost first."""
+        out, at = [], block.node
+        while at >= 0:
+            out.append(self.elements[at].names)
+            at = self.elements[at].parent
+        return tuple(x for names in reversed(out) for x in names)
+
+
+class _Open:
+    """The open elements, with numbers of each tag, so that asking for one costs nothing where there is none."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.count: Counter[str] = Counter()
+        self.hidden = self.foreign = 0
+        self.elements: list[Element] = []
+        self.node: list[int] = []  # of each open element, its number in elements, for those that have one
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.stack.append((tag, names))
+        self.count[tag] += 1
+        self.hidden += tag in _HIDDEN
+        self.foreign += tag in _FOREIGN
+
+    def cut(self, k: int) -> None:
+        """Close all from the k-th on."""
+        for tag, _ in self.stack[k:]:
+            self.count[tag] -= 1
+            self.hidden -= tag in _HIDDEN
+            self.foreign -= tag in _FOREIGN
+        del self.stack[k:]
+        del self.node[k:]
+
+    def has(self, tags) -> bool:
+        return any(self.count[t] for t in tags)
+
+    def number(self) -> int:
+        """The number of the innermost element; elements get theirs when text stands in them for the first time."""
+        while len(self.node) < len(self.stack):
+            self.elements.append(Element(self.node[-1] if self.node else -1, self.stack[len(self.node)][1]))
+            self.node.append(len(self.elements) - 1)
+        return self.node[-1] if self.node else -1
+
+
 def _names(attributes: str) -> list[str]:
     out = []
     for m in _NAMED.finditer(attributes):
@@ -44,40 +103,51 @@ def _names(attributes: str) -> list[str]:
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, white space collapsed; a null, empty or text-free page has none."""
+    return parse(page).blocks
+
+
+def parse(page: str | None) -> Page:
+    """The leaf blocks of a page and the elements around them, in a time that follows the page's length."""
     out: list[Block] = []
+    open_ = _Open()
     if not page:
-        return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+        return Page(out, open_.elements)
+    stack = open_.stack
     text: list[str] = []
-    state = {"path": (), "link": 0}
+    at_node, link = -1, 0
 
     def flush() -> None:
+        nonlocal link
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, state["path"], min(state["link"], len(joined))))
+                out.append(Block(joined, at_node, min(link, len(joined))))
             text.clear()
-        state["link"] = 0
+        link = 0
 
     def add(piece: str) -> None:
-        if not piece or any(t in _HIDDEN for t, _ in stack):
+        nonlocal at_node, link
+        if not piece or open_.hidden:
             return
         if "&" in piece:
             piece = html.unescape(piece)
-        if not text or (state["path"] == () and piece.strip()):
+        if not text or (at_node == -1 and piece.strip()):
             if not piece.strip():
                 return
-            state["path"] = tuple(x for _, names in stack for x in names)
+            at_node = open_.number()
         text.append(piece)
-        if any(t == "a" for t, _ in stack):
-            state["link"] += len(piece.strip())
+        if open_.count["a"]:
+            link += len(piece.strip())
 
-    def close_p() -> None:
+    def close(tags, bounds) -> None:
+        """Close the innermost element of the tags and all in it, unless one of the bounds lies between."""
+        if not open_.has(tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "p":
-                del stack[k:]
+            if stack[k][0] in tags:
+                open_.cut(k)
                 return
-            if stack[k][0] in _NO_P_INSIDE:
+            if stack[k][0] in bounds:
                 return
 
     at, n = 0, len(page)
@@ -99,22 +169,25 @@ def blocks(page: str | None) -> list[Block]:
         if not inline:
             flush()
         if m[1]:
+            if not open_.count[tag]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    open_.cut(k)
                     break
                 if inline and stack[k][0] not in _INLINE | _HIDDEN:
                     break
             continue
-        if tag in _BREAKS:
+        if tag in _BREAKS and (open_.foreign or open_.count["select"]):
             # page markup can't be inside svg, math or a select that was never closed
             for k in range(len(stack)):
                 if stack[k][0] in _FOREIGN | {"select"}:
                     if not any(t in _HTML_INSIDE for t, _ in stack[k + 1 :]):
-                        del stack[k:]
+                        open_.cut(k)
                     break
+        closes_itself = m[3].rstrip().endswith("/")
         if tag in _RAW:
-            if m[3].rstrip().endswith("/") and any(t in _FOREIGN for t, _ in stack):
+            if closes_itself and open_.foreign:
                 continue
             end = re.compile(rf"</{tag}\s*+/?>?", re.I).search(page, at)
             at = end.end() if end else n
@@ -123,20 +196,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if not inline:
             if tag not in ("html", "body"):
-                close_p()
+                close(("p",), _NO_P_INSIDE)
             if tag in _CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _CLOSES[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _BOUNDS:
-                        break
-        if m[3].rstrip().endswith("/") and ("-" in tag or tag in _FOREIGN or any(t in _FOREIGN for t, _ in stack)):
+                close(_CLOSES[tag], _BOUNDS)
+        if closes_itself and ("-" in tag or tag in _FOREIGN or open_.foreign):
             continue
-        stack.append((tag, (tag, *_names(m[3]))))
+        open_.push(tag, (tag, *_names(m[3])))
         if tag == "head":
             end = re.compile(r"</head\s*+>|<body", re.I).search(page, at)
             if end:
                 at = end.start()
     flush()
-    return out
+    return Page(out, open_.elements)

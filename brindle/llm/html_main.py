@@ -13,14 +13,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.llm.html_blocks import Block, blocks
+from brindle.llm.html_blocks import Page, parse
 from brindle.llm.textvec import PUNCT, groups, words
 from brindle.session import ship_package
 
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, SIZES, HIDDEN = 1 << 13, 1 << 12, 16, 6, 6, 16
 INPUT = PATH_DIM + WORD_DIM + SIZES
+#: Places of pages of like length that run together, the empty ones behind shorter pages included; a longer page runs alone.
+PADDED = 1 << 13
+#: Code points of html that are worked on together; a longer page is worked on alone.
+TOGETHER = 1 << 20
 
 
 @lru_cache(maxsize=1 << 16)
@@ -28,19 +33,30 @@ def path_bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % PATH_BUCKETS
 
 
-class Page:
-    """Features of a list of pages' blocks: flat arrays over all blocks."""
-
-    def __init__(self, pages: list[list[Block]]):
-        flat = [b for p in pages for b in p]
-        self.lengths = np.array([len(p) for p in pages], np.int64)
-        paths = [[path_bucket(x) for x in b.path] or [path_bucket("")] for b in flat]
-        self.path_first = np.concatenate(([0], np.cumsum([len(p) for p in paths])))[:-1].astype(np.int64)
-        self.path = np.array([x for p in paths for x in p], np.int64)
-        self.path_block = np.repeat(np.arange(len(flat)), [len(p) for p in paths])
+class Features:
+    """Features of a list of pages' blocks: flat arrays over all blocks.
+
+    A block's path is summed along the tree of elements, so that deep pages cost no more than their tags."""
+
+    def __init__(self, pages: list[Page]):
+        flat = [b for p in pages for b in p.blocks]
+        self.lengths = np.array([len(p.blocks) for p in pages], np.int64)
+        # element 0 stands for blocks outside all elements
+        names, parents, node, base = [[path_bucket("")]], [-1], [], 1
+        for p in pages:
+            for e in p.elements:
+                names.append([path_bucket(x) for x in e.names])
+                parents.append(e.parent + base if e.parent >= 0 else -1)
+            node += [b.node + base if b.node >= 0 else 0 for b in p.blocks]
+            base += len(p.elements)
+        size = np.array([len(x) for x in names], np.int64)
+        self.name = np.array([x for own in names for x in own], np.int64)
+        self.name_first = np.cumsum(size) - size
+        self.name_element = np.repeat(np.arange(len(names)), size)
+        self.parents, self.node = np.array(parents, np.int64), np.array(node, np.int64)
         kinds, owners = [], []
         if flat:
-            for a, b, raw, offsets in groups(pa.array([x.text for x in flat], pa.large_string()), 1 << 22):
+            for a, b, raw, offsets in groups(pa.array([x.text for x in flat], pa.large_string())):
                 _, _, h, at = words(raw, offsets, PUNCT)
                 kinds.append((h % np.uint64(WORD_BUCKETS)).astype(np.int64))
                 owners.append(np.repeat(np.arange(a, b), np.diff(at)))
@@ -52,7 +68,24 @@ class Page:
         place = np.concatenate([np.arange(k) / max(k, 1) for k in self.lengths]) if flat else np.zeros(0)
         ends = np.array([b.text[-1:] in ".!?:;…。" for b in flat], np.float32)
         link = np.array([b.link_chars for b in flat], np.float32) / np.maximum(n, 1)
-        self.sizes = np.stack([np.log1p(n) / 5, np.log1p(count) / 4, link, ends, place.astype(np.float32), np.ones(len(flat), np.float32)], axis=1).astype(np.float32) if flat else np.zeros((0, SIZES), np.float32)
+        columns = (np.log1p(n) / 5, np.log1p(count) / 4, link, ends, place.astype(np.float32), np.ones(len(flat), np.float32))
+        self.sizes = np.stack(columns, axis=1).astype(np.float32) if flat else np.zeros((0, SIZES), np.float32)
+
+    def along_paths(self, own: np.ndarray) -> np.ndarray:
+        """For each block the sum of a row for each element over all elements around it."""
+        total = own.astype(np.float64)
+        for k, up in enumerate(self.parents.tolist()):
+            if up >= 0:
+                total[k] += total[up]
+        return total[self.node]
+
+    def back_along_paths(self, of_block: np.ndarray) -> np.ndarray:
+        """For each element the sum of a row for each block over all blocks in it: the transpose of along_paths."""
+        total = np.stack([np.bincount(self.node, of_block[:, j], len(self.parents)) for j in range(of_block.shape[1])], axis=1)
+        for k in range(len(self.parents) - 1, -1, -1):
+            if self.parents[k] >= 0:
+                total[self.parents[k]] += total[k]
+        return total
 
     def index(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(time, page) places into the flat blocks, and where a block stands."""
@@ -75,11 +108,13 @@ class Labeller:
         for d in "fb":
             self.p |= {f"w{d}": f(INPUT, 4 * HIDDEN), f"u{d}": f(HIDDEN, 4 * HIDDEN), f"b{d}": np.concatenate((np.ones(HIDDEN), np.zeros(3 * HIDDEN))).astype(np.float32)}
 
-    def inputs(self, page: Page) -> np.ndarray:
+    def inputs(self, page: Features) -> np.ndarray:
         n = len(page.sizes)
-        path = np.add.reduceat(self.p["path"][page.path], page.path_first, axis=0) if n else np.zeros((0, PATH_DIM), np.float32)
-        word = np.stack([np.bincount(page.word_block, self.p["word"][page.word, j], n) for j in range(WORD_DIM)], axis=1) / page.word_count[:, None] if n else np.zeros((0, WORD_DIM))
-        return np.concatenate((path, word.astype(np.float32), page.sizes), axis=1)
+        if not n:
+            return np.zeros((0, INPUT), np.float32)
+        path = page.along_paths(np.add.reduceat(self.p["path"][page.name], page.name_first, axis=0))
+        word = np.stack([np.bincount(page.word_block, self.p["word"][page.word, j], n) for j in range(WORD_DIM)], axis=1) / page.word_count[:, None]
+        return np.concatenate((path.astype(np.float32), word.astype(np.float32), page.sizes), axis=1)
 
     def run(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Probability of main text for each (time, page)."""
@@ -87,7 +122,7 @@ class Labeller:
         states = np.zeros((steps, n, 2 * H), np.float32)
         for k, d in enumerate("fb"):
             gates = x @ p[f"w{d}"] + p[f"b{d}"]
-            h, c, held = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32), [None] * steps
+            h, c, held = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32), [None] * steps if keep is not None else None
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 g = gates[index[t]] + h @ p[f"u{d}"]
                 s = sigmoid(g[:, : 3 * H])
@@ -95,7 +130,8 @@ class Labeller:
                 m = mask[t][:, None]
                 c_new = s[:, :H] * c + s[:, H : 2 * H] * v
                 q = np.tanh(c_new)
-                held[t] = (h, c, s, v, q)
+                if held is not None:  # only a gradient reads them
+                    held[t] = (h, c, s, v, q)
                 h = m * (s[:, 2 * H :] * q) + (1 - m) * h
                 c = m * c_new + (1 - m) * c
                 states[t, :, k * H : (k + 1) * H] = h
@@ -105,7 +141,7 @@ class Labeller:
             keep["states"] = states
         return sigmoid(states @ p["wo"][: 2 * H] + (x @ p["wo"][2 * H :])[index] + p["bo"])
 
-    def gradient(self, page: Page, which: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, page: Features, which: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
         p, H = self.p, HIDDEN
         index, mask = page.index(which)
         keep: dict = {}
@@ -138,24 +174,30 @@ class Labeller:
             gates[at[live]] = rows[live]  # each block stands in one place
             g[f"u{d}"], g[f"b{d}"], g[f"w{d}"] = du, gates.sum(axis=0), x.T @ gates
             dx += gates @ p[f"w{d}"].T
-        g["path"] = np.stack([np.bincount(page.path, dx[page.path_block, j], PATH_BUCKETS) for j in range(PATH_DIM)], axis=1).astype(np.float32)
+        of_element = page.back_along_paths(dx[:, :PATH_DIM])
+        g["path"] = np.stack([np.bincount(page.name, of_element[page.name_element, j], PATH_BUCKETS) for j in range(PATH_DIM)], axis=1).astype(np.float32)
         spread = dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / page.word_count[:, None]
         g["word"] = np.stack([np.bincount(page.word, spread[page.word_block, j], WORD_BUCKETS) for j in range(WORD_DIM)], axis=1).astype(np.float32)
         return g
 
-    def labels(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """For each page, which of its blocks are main text. Pages of like length run together."""
+    def labels(self, pages: list[Page]) -> list[np.ndarray]:
+        """For each page, which of its blocks are main text. Pages of like length run together, PADDED places at once."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        page = Page(pages)
+        page = Features(pages)
         x = self.inputs(page)
         order = np.argsort(page.lengths, kind="stable")
         order = order[page.lengths[order] > 0]
-        for k in range(0, len(order), 64):
-            which = order[k : k + 64]
+        k = 0
+        while k < len(order):
+            end = k + 1
+            while end < len(order) and page.lengths[order[end]] * (end + 1 - k) <= PADDED:
+                end += 1
+            which = order[k:end]
             index, mask = page.index(which)
             q = self.run(x, index, mask) >= 0.5
             for j, w in enumerate(which):
                 out[w] = q[: page.lengths[w], j]
+            k = end
         return out
 
 
@@ -167,7 +209,7 @@ _LEGAL = "copyright all rights reserved cookies we use this site accept privacy
 
 
 def _word(r) -> str:
-    return "".join(r.choice(_SYLLABLES, r.integers(1, 5)))
+    return "".join([_SYLLABLES[k] for k in r.integers(0, len(_SYLLABLES), r.integers(1, 5)).tolist()])
 
 
 def _sentence(r, low: int = 1, high: int = 18) -> str:
@@ -265,18 +307,22 @@ def make_page(r: np.random.Generator) -> str:
     return f"<html><head><title>{_word(r)}</title></head><body>{body}</body></html>"
 
 
+def unmarked(page: Page) -> tuple[Page, list[bool]]:
+    """A generated page without its marks, and the labels that they give."""
+    plain = [b._replace(text=b.text.replace("\ue000", "").replace("\ue001", "") or "x") for b in page.blocks]
+    return page._replace(blocks=plain), [b.text.startswith("\ue001") for b in page.blocks]
+
+
 @lru_cache(maxsize=1)
 def trained(pages: int = 1500, epochs: int = 5, batch: int = 50, seed: int = 77) -> Labeller:
     """A network trained on generated pages; the same one in every run."""
     r = np.random.default_rng(seed)
     data, y = [], []
     for _ in range(pages):
-        own = []
-        for b in blocks(make_page(r)):
-            y.append(b.text.startswith("\ue001"))
-            own.append(b._replace(text=b.text.replace("\ue000", "").replace("\ue001", "") or "x"))
+        own, marks = unmarked(parse(make_page(r)))
+        y += marks
         data.append(own)
-    page, target = Page(data), np.array(y, np.float32)
+    page, target = Features(data), np.array(y, np.float32)
     net, step = Labeller(), 0
     m, v = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}
     starts = np.concatenate(([0], np.cumsum(page.lengths)))
@@ -284,7 +330,7 @@ def trained(pages: int = 1500, epochs: int = 5, batch: int = 50, seed: int = 77)
         order = r.permutation(pages)
         for k in range(0, pages, batch):
             which = np.sort(order[k : k + batch])
-            sub = Page([data[w] for w in which])
+            sub = Features([data[w] for w in which])
             own_y = np.concatenate([target[starts[w] : starts[w + 1]] for w in which])
             g = net.gradient(sub, np.arange(len(which)), own_y, net.inputs(sub))
             step += 1
@@ -296,10 +342,11 @@ def trained(pages: int = 1500, epochs: int = 5, batch: int = 50, seed: int = 77)
     return net
 
 
-def main_text(pages: DataFrame, net: Labeller | None = None, *, group: int = 128) -> DataFrame:
+def main_text(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for pages (page_id, url, html, ...): the blocks labelled main text, joined by line feeds.
 
-    One row for each input row. Null and empty pages, and pages without main text, have an empty text. Other columns are ignored."""
+    One row for each input row, repeated ones included. Null and empty pages, and pages without main text, have an empty
+    text; pages of any length and depth are read whole. Other columns are ignored; an empty table gives an empty result."""
     spark = pages.sparkSession
     ship_package(spark)
     held = spark.sparkContext.broadcast((net or trained()).p)  # under 1 MB, whatever the data
@@ -309,10 +356,16 @@ def main_text(pages: DataFrame, net: Labeller | None = None, *, group: int = 128
         own = Labeller.__new__(Labeller)
         own.p = held.value
         for whole in batches:
-            for k in range(0, whole.num_rows, group):
-                batch = whole.slice(k, group)
-                found = [blocks(x) for x in batch.column(2).to_pylist()]
-                texts = ["\n".join(b.text for b, keep in zip(p, main) if keep) for p, main in zip(found, own.labels(found))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            size = np.cumsum(pc.fill_null(pc.utf8_length(whole.column(2)), 0).to_numpy(zero_copy_only=False))
+            k = 0
+            while k < whole.num_rows:
+                before = size[k - 1] if k else 0
+                end = max(k + 1, int(np.searchsorted(size, before + TOGETHER, "right")))
+                batch = whole.slice(k, end - k)
+                k = end
+                found = [parse(x) for x in batch.column(2).to_pylist()]
+                texts = ["\n".join(b.text for b, keep in zip(p.blocks, main) if keep) for p, main in zip(found, own.labels(found))]
+                columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema)

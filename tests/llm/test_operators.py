@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -412,7 +413,8 @@ def test_blocks_of_html():
     got = [b.text for b in html_blocks.blocks("<body><p><b>One&amp;two<br>x<p>A <i>b</i>\n c&nbsp;d<div>E<script>var t='</p>';</script></div><!-- no --><ul><li>f<li>g</ul>tail &lt;i&gt;")]
     assert got == ["One&two x", "A b c d", "E", "f", "g", "tail <i>"]
     assert html_blocks.blocks(None) == html_blocks.blocks("") == html_blocks.blocks("<p> </p><style>x") == [] and html_blocks.blocks("plain")[0].text == "plain"
-    assert html_blocks.blocks('<p title="a>b" class="x">t')[0].path == ("p", ".x") and [b.text for b in html_blocks.blocks("a < b <")] == ["a < b <"]
+    page = html_blocks.parse('<div id=k><p title="a>b" class="x">t')
+    assert page.path(page.blocks[0]) == ("div", "#k", "p", ".x") and [b.text for b in html_blocks.blocks("a < b <")] == ["a < b <"]
 
 
 def test_hidden_elements_of_html_end():
@@ -429,9 +431,8 @@ def test_main_text(spark):
     net, r = html_main.trained(), np.random.default_rng(123)
     right = total = 0
     for _ in range(60):
-        page = html_blocks.blocks(html_main.make_page(r))
-        y = [b.text.startswith("") for b in page]
-        q = net.labels([[b._replace(text=b.text.strip("") or "x") for b in page]])[0]
+        page, y = html_main.unmarked(html_blocks.parse(html_main.make_page(r)))
+        q = net.labels([page])[0]
         right, total = right + int((q == np.array(y)).sum()), total + len(y)
     assert right > 0.98 * total
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Head</h1><p>Some   prose &amp; more.</p></article><footer>&copy; x</footer></body></html>"
@@ -440,6 +441,64 @@ def test_main_text(spark):
     assert sorted((x.page_id or 0, x.text, x.n_chars) for x in got) == [(0, "Head\nSome prose & more.", 23)] + [(1, "Head\nSome prose & more.", 23)] * 2 + [(2, "", 0), (3, "", 0)]
 
 
+def plain_labels(net, page):
+    """One page through the network, one block after the other, in double precision."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    H, s = html_main.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    xs = []
+    for k, b in enumerate(page.blocks):
+        names = page.path(b) or ("",)
+        ws = [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", b.text.encode()) if w]
+        hashed = [int(html_main.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), html_main.PUNCT)[2][0]) % html_main.WORD_BUCKETS for w in ws]
+        sizes = [math.log1p(len(b.text)) / 5, math.log1p(len(ws)) / 4, b.link_chars / max(1, len(b.text)), b.text[-1:] in ".!?:;…。", k / len(page.blocks), 1]
+        word = p["word"][hashed].mean(axis=0) if ws else np.zeros(html_main.WORD_DIM)
+        xs.append(np.concatenate((p["path"][[html_main.path_bucket(x) for x in names]].sum(axis=0), word, sizes)))
+    states = np.zeros((len(xs), 2 * H))
+    for d, order, part in (("f", range(len(xs)), slice(0, H)), ("b", range(len(xs) - 1, -1, -1), slice(H, 2 * H))):
+        h, c = np.zeros(H), np.zeros(H)
+        for t in order:
+            g = xs[t] @ p[f"w{d}"] + h @ p[f"u{d}"] + p[f"b{d}"]
+            c = s(g[:H]) * c + s(g[H : 2 * H]) * np.tanh(g[3 * H :])
+            h = s(g[2 * H : 3 * H]) * np.tanh(c)
+            states[t, part] = h
+    return s(states @ p["wo"][: 2 * H] + np.array(xs) @ p["wo"][2 * H :] + p["bo"])
+
+
+def test_main_text_equals_a_plain_network_and_bounds_long_pages():
+    net, r = html_main.trained(), np.random.default_rng(321)
+    for _ in range(25):
+        page = html_main.unmarked(html_blocks.parse(html_main.make_page(r)))[0]
+        want = plain_labels(net, page)
+        sure = np.abs(want - 0.5) > 1e-3
+        assert ((net.labels([page])[0] == (want >= 0.5)) | ~sure).all()
+    # the gradient is the slope
+    pages = [html_main.unmarked(html_blocks.parse(html_main.make_page(r))) for _ in range(3)]
+    f, y = html_main.Features([p for p, _ in pages]), np.array([v for _, ys in pages for v in ys], np.float32)
+
+    def loss():
+        index, mask = f.index(np.arange(3))
+        q = net.run(net.inputs(f), index, mask).astype(float)
+        return float(-(mask * (y[index] * np.log(q + 1e-9) + (1 - y[index]) * np.log(1 - q + 1e-9))).sum() / mask.sum())
+
+    own = html_main.Labeller()
+    net = own
+    g = net.gradient(f, np.arange(3), y, net.inputs(f))
+    for name, at in (("uf", (1, 2)), ("wb", (3, 20)), ("wo", (4,)), ("path", (html_main.path_bucket("p"), 3))):
+        keep, slope = net.p[name][at], []
+        for step in (0.01, -0.01):
+            net.p[name][at] = keep + step
+            slope.append(loss())
+        net.p[name][at] = keep
+        assert abs((slope[0] - slope[1]) / 0.02 - g[name][at]) < 3e-3, name
+    net = html_main.trained()
+    began = time.time()
+    flat = html_blocks.parse("<body><main>" + "<ul><li>item one two</ul>" * 20_000 + "</main>")
+    deep = html_blocks.parse("<div class='a'>text</b>" * 20_000)
+    assert len(flat.blocks) == len(deep.blocks) == 20_000 and len(deep.elements) == 20_000
+    labels = net.labels([flat, deep, html_blocks.parse("<p>x")])
+    assert [len(x) for x in labels] == [20_000, 20_000, 1] and time.time() - began < 40
+
+
 def test_pipeline_against_its_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
