@@ -2,9 +2,11 @@
 
 Vectors with the same components fall together first and count with their number. Each table's sign bits make buckets;
 a bucket above BLOCK vectors is dealt into blocks, and every pair of blocks is one group of bounded size, so that no
-pair of a bucket is left out and no group is unbounded. In a group all cosines come from one matrix product in double
-precision. A pair that meets in several tables is counted in the first of them only. Groups return numbers of links
-and, of each connected part, a star to its smallest id: rows in proportion to the vectors, not to the pairs.
+pair of a bucket is left out and no group is unbounded. A vector goes to each of its groups once, in the precision that it
+was given in, with its packed signs; groups are large and tables few, as what is shuffled follows the tables. In a group
+all cosines come from matrix products in double precision, STRIP rows at a time. A pair that meets in several tables is
+counted in the first of them only. Groups return numbers of links and, of each connected part, a star to its smallest id:
+rows in proportion to the vectors, not to the pairs.
 """
 
 from __future__ import annotations
@@ -17,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm.components import connected_components
+from brindle.llm.skew import salted_join
 from brindle.session import discard, materialize, ship_package
 
-BLOCK = 1536
+BLOCK = 8192
 #: Vectors that a bucket holds on average, if they were spread evenly.
-BUCKET = 768
+BUCKET = 4096
+#: Rows whose cosines to a whole group are held at once.
+STRIP = 256
+#: Up to so many crowded buckets (some numbers each) are broadcast.
+BROADCAST_BUCKETS = 500_000
 
 
 def plan(n: int, cosine: float, miss: float = 1e-4) -> tuple[int, int]:
@@ -53,40 +60,49 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def block_links(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, signs: np.ndarray, table: int, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_links(
+    ids: np.ndarray, weights: np.ndarray, x: np.ndarray, signs: np.ndarray, table: int, side: np.ndarray | None, cosine: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, links, smallest id of its connected part) of the rows with links in one group.
 
-    side: None for all pairs of the rows, else pairs between the two sides only. links: weights of linked rows of pairs that no earlier table has."""
+    signs: (rows, tables) numbers. side: None for all pairs of the rows, else pairs between the two sides only. links: weights
+    of linked rows of pairs that no earlier table has."""
     a = np.arange(len(ids)) if side is None else np.flatnonzero(~side)
     b = a if side is None else np.flatnonzero(side)
-    near = x[a] @ x[b].T >= cosine
-    if side is None:
-        np.fill_diagonal(near, False)
-    p, q = np.nonzero(near)
-    rows = np.unique(np.concatenate((a[p], b[q]))) if len(p) else np.zeros(0, np.int64)
-    if not len(rows):
-        return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh = near
-    pa_, pb_ = np.unique(p), np.unique(q)
-    if table:
-        sub = near[np.ix_(pa_, pb_)]
-        for t in range(table):
-            sub &= signs[a[pa_], t][:, None] != signs[b[pb_], t][None, :]
-        fresh = np.zeros_like(near)
-        fresh[np.ix_(pa_, pb_)] = sub
-    links = np.zeros(len(ids), np.int64)
-    links[a] += fresh.astype(np.float64).dot(weights[b].astype(np.float64)).astype(np.int64)
-    if side is not None:
-        links[b] += fresh.T.astype(np.float64).dot(weights[a].astype(np.float64)).astype(np.int64)
-    label = ids.copy()
-    u, v = a[p], b[q]
-    while True:
-        before = label.copy()
-        np.minimum.at(label, u, before[v])
-        np.minimum.at(label, v, before[u])
-        if (label == before).all():
-            break
-    return rows, links[rows], label[rows]
+    links, linked = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    # roots by rank of the id, so that the smallest rank of a part is that of its smallest id
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    root, other = np.arange(len(ids)), x[b].T
+    for k in range(0, len(a), STRIP):
+        rows = a[k : k + STRIP]
+        near = x[rows] @ other >= cosine
+        if side is None:
+            near[np.arange(len(rows)), k + np.arange(len(rows))] = False
+        p, q = np.nonzero(near)
+        if not len(p):
+            continue
+        u, v = rows[p], b[q]
+        linked[u] = linked[v] = True
+        fresh = np.flatnonzero(signs[u, 0] != signs[v, 0]) if table else np.arange(len(u))
+        for t in range(1, table):
+            fresh = fresh[signs[u[fresh], t] != signs[v[fresh], t]]
+        links += np.bincount(u[fresh], weights[v[fresh]], len(ids)).astype(np.int64)
+        if side is not None:
+            links += np.bincount(v[fresh], weights[u[fresh]], len(ids)).astype(np.int64)
+        low, high = rank[u], rank[v]
+        while True:
+            low, high = root[low], root[high]
+            apart = low != high
+            if not apart.any():
+                break
+            low, high = low[apart], high[apart]
+            np.minimum.at(root, np.maximum(low, high), np.minimum(low, high))
+            while (root[root] != root).any():
+                root = root[root]
+    at = np.flatnonzero(linked)
+    return at, links[at], ids[order[root[rank[at]]]]
 
 
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, miss: float = 1e-4) -> DataFrame:
@@ -97,24 +113,25 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, miss: float = 1e-4)
     Rows that repeat a vec_id count as one, with the embedding that sorts first; a null vec_id is left out. Other columns are ignored."""
     spark = vectors.sparkSession
     ship_package(spark)
-    base = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kept_as = "array<float>" if single else "array<double>"
+    base = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept_as).alias("embedding"))
     base = base.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    fine = (F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-            & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))) & F.exists("embedding", lambda e: e != 0))
+    bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
+    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda e: e != 0)
     # -0.0 counts as 0.0
     keyed = base.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("embedding", F.transform("embedding", lambda e: e + F.lit(0.0)))
     keyed = keyed.withColumn("a", F.xxhash64("embedding")).withColumn("b", F.xxhash64(F.lit(7), "embedding"))
     groups = keyed.where("fine").groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    of = materialize(
-        keyed.select("vec_id", "fine", "a", "b").hint("merge").join(groups.hint("merge"), ["a", "b"], "left")
-        .select("vec_id", F.when(F.col("fine"), F.col("rep")).otherwise(F.col("vec_id")).alias("rep"), F.when(F.col("fine"), F.col("weight")).otherwise(F.lit(1)).alias("weight"), "fine"),
-        "vecs",
-    )
+    fine_rows = salted_join(keyed.where("fine").select("vec_id", "a", "b"), groups, ["a", "b"]).select("vec_id", "rep", "weight", F.lit(True).alias("fine"))
+    odd = keyed.where(~F.col("fine")).select("vec_id", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("weight"), F.lit(False).alias("fine"))
+    of = materialize(fine_rows.unionByName(odd), "vecs")
     reps = materialize(
-        of.where("fine and vec_id = rep").select("vec_id", "weight").hint("merge").join(base.hint("merge"), "vec_id")
-        .select("vec_id", "weight", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("width")), "distinct",
+        of.where("fine and vec_id = rep").select("vec_id", "weight").hint("merge").join(base.hint("merge"), "vec_id").select("vec_id", "weight", "embedding", F.size("embedding").alias("width")),
+        "distinct",
     )
-    widths = [r[0] for r in reps.groupBy("width").count().orderBy("width").collect()]  # one row for each width
+    # one row for each width, of which embedders give few
+    widths = [r[0] for r in reps.groupBy("width").count().orderBy("width").collect()]
     parts = [_of_width(reps.where(F.col("width") == w).drop("width"), w, cosine, miss) for w in widths]
     if not parts:
         return of.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -125,7 +142,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, miss: float = 1e-4)
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("id").alias("u"), F.col("label").alias("v")))
     known = counts.hint("merge").join(labels.hint("merge"), "id", "left").withColumnRenamed("id", "rep")
-    out = of.hint("merge").join(known.hint("merge"), "rep", "left")
+    out = salted_join(of, known, ["rep"], "left")
     return out.select(
         "vec_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "rep")).alias("kept"),
@@ -135,36 +152,45 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, miss: float = 1e-4)
 def _of_width(reps: DataFrame, dim: int, cosine: float, miss: float) -> DataFrame:
     """(id, links, label) rows, several for an id, of distinct vectors (vec_id, weight, embedding) of one width."""
     bits, tables = plan(reps.count(), cosine, miss)
-    schema = "vec_id long, weight long, x binary, signs array<int>"
+    single = reps.schema["embedding"].dataType.elementType.typeName() == "float"
+    held_as = np.dtype("<f4" if single else "<f8")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes, powers = hyperplanes(dim, bits * tables), 1 << np.arange(bits)
         for batch in batches:
             x, _ = unit_rows(batch.column(2), dim)
-            signs = ((x @ planes > 0).reshape(-1, tables, bits) * powers).sum(axis=2).astype(np.int32)
+            up = x @ planes > 0
+            slots = (up.reshape(-1, tables, bits) * powers).sum(axis=2).astype(np.int32)
             at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables)
-            raw = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(at, pa.array(signs.ravel()))], names=["vec_id", "weight", "x", "signs"])
-
-    signed = materialize(reps.mapInArrow(sign, schema), "signed")
-    slots = signed.select("vec_id", F.posexplode("signs").alias("t", "s"))
-    sizes = slots.groupBy("t", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = signed.select("vec_id", "weight", "x", "signs", F.posexplode("signs").alias("t", "s")).hint("merge").join(sizes.hint("merge"), ["t", "s"])
-    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), own.alias("mine")))
-    dealt = rows.select("vec_id", "weight", "x", "signs", "t", "s", F.explode(pair).alias("p")).select("vec_id", "weight", "x", "signs", "t", "s", "p.i", "p.j", "p.mine")
+            given = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(held_as).reshape(len(x), dim)
+            columns = [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in given], pa.binary()), pa.array([r.tobytes() for r in np.packbits(up, axis=1)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(at, pa.array(slots.ravel()))], names=["vec_id", "weight", "x", "bits", "slots"])
+
+    signed = materialize(reps.mapInArrow(sign, "vec_id long, weight long, x binary, bits binary, slots array<int>"), "signed")
+    slots = signed.select("vec_id", F.posexplode("slots").alias("t", "s"))
+    crowded = slots.groupBy("t", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    crowded = materialize(crowded, "crowded")
+    few = crowded.count() <= BROADCAST_BUCKETS
+    rows = signed.select("vec_id", "weight", "x", "bits", F.posexplode("slots").alias("t", "s")).join(F.broadcast(crowded) if few else crowded.hint("merge"), ["t", "s"], "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), own.alias("mine")))
+    dealt = rows.select("vec_id", "weight", "x", "bits", "t", "s", F.explode(pair).alias("p")).select("vec_id", "weight", "x", "bits", "t", "s", "p.i", "p.j", "p.mine")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            if held:
+            if len(held) > 1 or (held and held[0].num_rows > 1):
                 whole = pa.Table.from_batches(held).combine_chunks()
                 t, _, i, j = key
                 ids, weights = whole["vec_id"].to_numpy(), whole["weight"].to_numpy()
-                x = np.frombuffer(b"".join(whole["x"].to_pylist()), np.float64).reshape(len(ids), dim)
-                signs = whole["signs"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+                x = np.frombuffer(b"".join(whole["x"].to_pylist()), held_as).astype(np.float64).reshape(len(ids), dim)
+                x /= np.abs(x).max(axis=1)[:, None]
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                packed = np.frombuffer(b"".join(whole["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
+                signs = np.unpackbits(packed, axis=1, count=bits * tables).reshape(len(ids), tables, bits)[:, :t] @ (1 << np.arange(bits))
                 side = None if i == j else whole["mine"].to_numpy() == j
                 at, links, label = block_links(ids, weights, x, signs, t, side, cosine)
                 if len(at):

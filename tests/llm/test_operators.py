@@ -115,6 +115,21 @@ def test_vectors_equal_brute_force(spark):
     assert vector_dup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_doubles_in_crowded_buckets(spark, monkeypatch):
+    for name, value in (("BLOCK", 20), ("BUCKET", 30), ("STRIP", 7)):
+        monkeypatch.setattr(vector_dup, name, value)
+    r = np.random.default_rng(9)
+    x = np.concatenate([c + 0.2 * r.standard_normal((n, 12)) for n in (150, 30, 5, 1) for c in [r.standard_normal(12)]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(500, x[0].tolist())] * 3, "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vector_dup.near_vectors(df).collect()}
+    ids = [*range(len(x)), 500]
+    u = np.concatenate((x, x[:1]))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    want = brute_components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    assert got == {i: (int(near[k].sum()), want[i]) for k, i in enumerate(ids)}
+
+
 def test_blocks_count_pairs_once():
     r = np.random.default_rng(6)
     x = r.standard_normal((60, 8))
