@@ -10,7 +10,10 @@ buckets that still hold several components. Where such a bucket has at most FEW
 like edges; larger ones are dealt into blocks, each pair of blocks is one group of bounded size, and the sizes of all its
 intersections come from one product of incidence matrices; a group returns a star for each linked part, so the rows
 follow the members and not their pairs. Blocks hold either members of the bucket's largest component or others, and two
-blocks of the former, which are joined already, are never paired. So no link is lost to the stars.
+blocks of the former, which are joined already, are never paired. (6) Where a bucket holds more than a block of others,
+its members are grouped anew by rare shingles: two sets at the threshold share one of the first few of their shingles in
+any fixed order (a prefix filter), and in an order from rare to common these groups are small. So no link is lost to the
+stars, and members that have only common passages in common are never compared.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm.components import connected_components
+from brindle.llm.skew import salted_join
 from brindle.llm.textvec import U, mix, shingle_sets
 from brindle.session import discard, materialize, ship_package
 
@@ -32,6 +36,8 @@ BLOCK = 128
 FEW = 4
 #: Members of a block of a larger bucket; a group has two blocks.
 DEALT = 256
+#: Counters over which shingles are spread to tell rare from common ones (2 MB, whatever the data).
+COUNTERS = 1 << 18
 
 
 def bands_for(percent: int, rows: int = 6, miss: float = 1e-6) -> int:
@@ -148,7 +154,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         signed = materialize(signatures(base, shingle=shingle, percent=percent, rows=rows), "signatures")
     key = ["n_shingles", "set_a", "set_b"]
     groups = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    of = materialize(signed.drop("bands").hint("merge").join(groups.hint("merge"), key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "reps")
+    # thousands of copies have one key
+    with_rep = salted_join(signed.drop("bands"), groups, key, "left", spread=["doc_id"])
+    of = materialize(with_rep.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "reps")
 
     # buckets of representatives; those with one member are gone at once
     reps = of.where("doc_id = rep").select("doc_id")
@@ -169,10 +177,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     pairs = few.hint("merge").join(other.hint("merge"), "bucket").where("doc_id < other and component_id <> other_component").select(F.col("doc_id").alias("pivot"), F.col("other").alias("member")).distinct()
     fresh = pairs.hint("merge").join(done.select("pivot", "member").hint("merge"), ["pivot", "member"], "left_anti")
     one_by_one = materialize(confirm(fresh, base, shingle=shingle, percent=percent), "compared")
-    in_blocks = materialize(compare_blocks(open_.where(F.col("n") > FEW), base, shingle=shingle, percent=percent), "blocks")
+    larger = materialize(with_largest(open_.where(F.col("n") > FEW)), "larger")
+    many = F.col("n") - F.col("size") > DEALT
+    grouped = larger.where(~many)
+    rare = None
+    if larger.where(many).limit(1).count():
+        rare = materialize(rare_groups(larger.where(many), base, shingle=shingle, percent=percent), "rare")
+        grouped = grouped.unionByName(with_largest(rare))
+    in_blocks = materialize(compare_blocks(grouped, base, shingle=shingle, percent=percent), "blocks")
     more = one_by_one.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")).unionByName(in_blocks)
     stars_so_far = labels.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-    return _finish(of, connected_components(stars_so_far.unionByName(more)))
+    final = connected_components(stars_so_far.unionByName(more))
+    discard(buckets, done, labels, open_, larger, one_by_one, in_blocks, *([rare] if rare else []))
+    return _finish(of, final)
 
 
 def _finish(of: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -219,12 +236,60 @@ def linked_parts(ids: np.ndarray, sets: list[np.ndarray], percent: int, chunk: i
     return ids[tied], label[tied]
 
 
+def with_largest(members: DataFrame) -> DataFrame:
+    """members (bucket, doc_id, component_id, n) with top, the component with most rows of the bucket, and size, its rows."""
+    parts = members.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component_id")).alias("top")).select("bucket", F.col("top.component_id").alias("top"), F.col("top.size").alias("size"))
+    return members.hint("merge").join(largest.hint("merge"), "bucket")
+
+
+def prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which two sets at the threshold share one: the rarest of it, by counts of hashed shingles."""
+    size = len(found) - -(-percent * len(found) // 100) + 1
+    return found[np.lexsort((found, counts[(found % U(len(counts))).astype(np.int64)]))[:size]]
+
+
+def rare_groups(members: DataFrame, docs: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """(bucket, doc_id, component_id, n): members by their prefix shingles, where several components share one.
+
+    The order of shingles is by counters over all members, which any hash collision leaves a fixed order."""
+    ids = members.select("doc_id", "component_id").distinct()
+    rows = materialize(ids.hint("merge").join(docs.hint("merge"), "doc_id").select("doc_id", "component_id", "text"), "crowded")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, found in shingle_sets(batch.column(0), shingle):
+                held += np.bincount((found % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["at", "n"])
+
+    total = rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[total["at"].to_numpy()] = total["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    pct = int(percent)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            keys, sizes = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int64)
+            for k, found in shingle_sets(batch.column(2), shingle):
+                keys.append(prefix(found, order, pct) if len(found) else found)
+                sizes[k] = len(keys[-1])
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            ids_, component = (batch.column(k).to_numpy()[owner] for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(ids_), pa.array(component)], names=["bucket", "doc_id", "component_id"])
+
+    keyed = materialize(rows.mapInArrow(split, "bucket long, doc_id long, component_id long"), "prefixes")
+    mixed = keyed.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("bucket", "n")
+    return keyed.hint("merge").join(mixed.hint("merge"), "bucket").select("bucket", "doc_id", "component_id", "n")
+
+
 def deal(members: DataFrame) -> DataFrame:
-    """(bucket, i, j, doc_id): the groups of members (bucket, doc_id, component_id, n: rows of the bucket), of at most about 2 * DEALT rows each.
+    """(bucket, i, j, doc_id): the groups of members, as with_largest() gives them, of at most about 2 * DEALT rows each.
 
     Every two members of a bucket meet in a group, but for those that are both of its largest component."""
-    parts = members.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("size"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component_id")).alias("top")).select("bucket", F.col("top.component_id").alias("top"), F.col("top.size").alias("size"))
     whole = F.col("n") <= 2 * DEALT
     few = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("size")) / DEALT)).cast("int")
     many = F.when(whole, 0).otherwise(F.ceil(F.col("size") / DEALT)).cast("int")
@@ -234,8 +299,8 @@ def deal(members: DataFrame) -> DataFrame:
     # a block of others meets every block but itself, whose pairs are in its other groups; a block of the largest component meets those of others
     meets = F.filter(F.sequence(F.lit(0), F.when(inner, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1), lambda k: (k != F.col("own")) | (F.col("few") + F.col("many") == 1))
     pair = F.transform(meets, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    with_top = members.hint("merge").join(largest.hint("merge"), "bucket").withColumn("few", few).withColumn("many", many).withColumn("own", own)
-    return with_top.select("bucket", "doc_id", F.explode(pair).alias("p")).select("bucket", "p.i", "p.j", "doc_id")
+    placed = members.withColumn("few", few).withColumn("many", many).withColumn("own", own)
+    return placed.select("bucket", "doc_id", F.explode(pair).alias("p")).select("bucket", "p.i", "p.j", "doc_id")
 
 
 def compare_blocks(members: DataFrame, docs: DataFrame, *, shingle: int, percent: int) -> DataFrame:

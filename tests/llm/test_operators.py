@@ -76,6 +76,34 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_near_duplicates_in_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    """Most texts share a common passage and so buckets, but few of them link: they meet by rare shingles."""
+    monkeypatch.setattr(near_dup, "DEALT", 3)
+    r = random.Random(17)
+    passage, rows = prose(r, 60), []
+    for k in range(90):
+        own = [f"own{r.randint(0, 10**6)}" for _ in range(r.choice([8, 14, 25]))]
+        for c in range(r.choice([1, 1, 1, 4])):
+            w = list(own)
+            if c:
+                w[r.randrange(len(w))] = "edit"
+            rows.append((len(rows), passage + " " + " ".join(w)))
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs(spark, rows), shingle=3, percent=85).collect()}
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    assert got == brute_components(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+
+
+def test_rare_groups_of_a_bucket_of_single_members_stay_small(spark):
+    r = random.Random(18)
+    passage, n = prose(r, 60), 20_000
+    rows = [(k, passage + " " + " ".join(f"own{k}x{j}" for j in range(40))) for k in range(n)]
+    d = docs(spark, rows + [(n, rows[0][1] + " more")])
+    members = d.select(F.lit(1).cast("long").alias("bucket"), "doc_id", F.col("doc_id").alias("component_id"), F.lit(n + 1).cast("long").alias("n"))
+    groups = near_dup.rare_groups(members, d.select("doc_id", "text"), shingle=3, percent=85)
+    dealt = near_dup.deal(near_dup.with_largest(groups)).groupBy("bucket").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).collect()
+    assert {tuple(x.ids) for x in dealt} == {(0, n)}
+
+
 def test_near_duplicates_of_repeats_and_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
     got = near_dup.near_duplicates(docs(spark, [(1, "b c"), (1, "a b"), (2, "a b"), (None, "a b")])).collect()
@@ -537,7 +565,7 @@ def test_dealt_blocks_meet_in_every_pair_across_components(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "DEALT", 4)
     rows = [(1, k, 0 if k < 30 else k, 41) for k in range(41)] + [(2, k, k // 2, 6) for k in range(6)] + [(3, k, k, 19) for k in range(100, 119)]
     groups: dict[tuple, list[int]] = {}
-    for r in near_dup.deal(spark.createDataFrame(rows, "bucket long, doc_id long, component_id long, n long")).collect():
+    for r in near_dup.deal(near_dup.with_largest(spark.createDataFrame(rows, "bucket long, doc_id long, component_id long, n long"))).collect():
         groups.setdefault((r.bucket, r.i, r.j), []).append(r.doc_id)
     met = {(key[0], a, b) for key, ids in groups.items() for a in ids for b in ids if a < b}
     assert all(len(ids) == len(set(ids)) for ids in groups.values())
