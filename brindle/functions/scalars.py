@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
-UNICODE_SPACE = r"(?U)^\s+|\s+$"
+#: White space as Python's str.strip has it (fixed values): the code points, as a class of a regular expression.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def nz(c: Column) -> Column:
@@ -24,7 +27,7 @@ def first_of(*cols: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, UNICODE_SPACE, "")
+    return F.regexp_replace(c, rf"\A{WHITE}+|{WHITE}+\z", "")
 
 
 def content_hash(text: Column) -> Column:
@@ -63,9 +66,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine in double precision; null for a zero vector."""
-    return F.lit(1.0) - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def cosine_distance(a: Column, b: list[float]) -> Column:
+    """1 - cosine to a given vector in double precision; null for a zero vector, on either side."""
+    norm = math.sqrt(math.fsum(float(x) * float(x) for x in b))
+    given = F.array(*[F.lit(float(x)) for x in b])
+    return F.lit(1.0) - F.try_divide(dot(a, given), F.sqrt(dot(a, a)) * F.lit(norm))
 
 
 def terms(text: Column) -> Column:

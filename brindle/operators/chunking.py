@@ -8,34 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.scalars import strip
+from brindle.session import ship_package
 
 MAX_CHARS, LEAST = 1000, 5
-#: Above so many paragraphs a document is packed in a Python worker, where appending costs no copies.
-FOLD_LIMIT = 2000
-
-
-def pack_paragraphs(parts: Column, max_chars: int) -> Column:
-    """Greedy packing of text parts, a blank line between them; the joiner isn't counted, and no part is split."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def step(s: Column, p: Column) -> Column:
-        over = (F.length(s["cur"]) + F.length(p) > max_chars) & (s["cur"] != "")
-        joined = F.when(s["cur"] != "", F.concat(s["cur"], F.lit("\n\n"), p)).otherwise(p)
-        return F.struct(F.when(over, F.concat(s["done"], F.array(strip(s["cur"])))).otherwise(s["done"]).alias("done"), F.when(over, p).otherwise(joined).alias("cur"))
-
-    return F.aggregate(parts, start, step, lambda s: F.when(strip(s["cur"]) != "", F.concat(s["done"], F.array(strip(s["cur"])))).otherwise(s["done"]))
 
 
 def pack_text(text: str, max_chars: int) -> list[str]:
-    """pack_paragraphs for one text, in Python."""
-    out, cur = [], ""
+    """Greedy packing of paragraphs, a blank line between them; the joiner isn't counted, and no paragraph is split.
+
+    A loop in a worker costs the length of the text; an array fold in the JVM would copy what it has at every step."""
+    out, held, size = [], [], 0
     for part in text.split("\n\n"):
-        if cur and len(cur) + len(part) > max_chars:
-            out.append(cur.strip())
-            cur = part
-        else:
-            cur = f"{cur}\n\n{part}" if cur else part
-    return out + ([cur.strip()] if cur.strip() else [])
+        if size and size + len(part) > max_chars:
+            out.append("\n\n".join(held).strip())
+            held, size = [], 0
+        if size or part:  # an empty paragraph at the start of a chunk leaves nothing
+            held.append(part)
+            size += len(part) + (2 if size else 0)
+    last = "\n\n".join(held).strip()
+    return out + [last] * bool(last)
 
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
@@ -168,17 +159,12 @@ def number(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def chunk_text(docs: DataFrame, max_chars: int = MAX_CHARS, *, least: int = LEAST) -> DataFrame:
     """Chunks of documents (filepath, content, content_hash) by paragraphs."""
-    max_chars = max_chars or MAX_CHARS
-    parts = F.split("content", "\n\n")
-    few = number(docs.where(F.size(parts) <= FOLD_LIMIT).withColumn("texts", pack_paragraphs(parts, max_chars)), least)
-    many = number(docs.where(F.size(parts) > FOLD_LIMIT).withColumn("texts", _packer(pack_text, max_chars)("content")), least)
-    return few.unionByName(many)
+    ship_package(docs.sparkSession)
+    return number(docs.withColumn("texts", _packer(pack_text, max_chars or MAX_CHARS)("content")), least)
 
 
 def chunk_markdown(docs: DataFrame, max_chars: int = MAX_CHARS, *, least: int = LEAST) -> DataFrame:
     """Chunks of Markdown documents; code fences are never split or joined."""
-    from brindle.session import ship_package
-
     ship_package(docs.sparkSession)
     return number(docs.withColumn("texts", _packer(pack_markdown, max_chars or MAX_CHARS)("content")), least)
 

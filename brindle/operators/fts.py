@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.scalars import terms
 
@@ -12,11 +14,10 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf, length): one row for each term of each text."""
-    rows = docs.select(F.col(id_).alias("id"), F.explode(terms(F.col(text))).alias("term"))
-    tf = rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select(F.col(id_).alias("id"), F.size(terms(F.col(text))).alias("length"))
-    return tf.join(lengths, "id")
+    """(id, term, tf, length): one row for each term of each text, split once."""
+    rows = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("ts"))
+    found = rows.select("id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    return found.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "length")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -32,16 +33,28 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
-def bm25(docs: DataFrame, query: str, *, id_: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(id, relevance) of the texts with a term of the query, from one pass: only the query's terms are exploded.
+def _places(column: str, term: str) -> Column:
+    """How often a list holds a term."""
+    return F.size(F.filter(column, lambda x: x == F.lit(term)))
+
 
-    Statistics cover all of docs; use bm25_indexed where postings are stored."""
-    wanted = F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")
-    ts = terms(F.col(text))
-    rows = docs.select(F.col(id_).alias("id"), F.size(ts).alias("length"), F.filter(ts, lambda t: F.array_contains(wanted, t)).alias("hits"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("length", F.lit(0))).alias("avg_length"))
-    tf = rows.where(F.size("hits") > 0).select("id", "length", F.explode("hits").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return _score(tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, k1, b)
+def bm25(docs: DataFrame, query: str, *, id_: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(id, relevance) of the texts with a term of the query, one row for each such text.
+
+    One aggregate over all of docs gives number, average length and each term's frequency; the scores then are an
+    expression on each row, so no text is shuffled. Use bm25_indexed where postings are stored."""
+    wanted = query_terms(query)
+    rows = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("ts"))
+    tf = [_places("ts", t) for t in wanted]
+    if not wanted:
+        return rows.select("id", F.lit(0.0).alias("relevance")).where(F.lit(False))
+    counted = rows.select("id", F.coalesce(F.size("ts"), F.lit(0)).alias("length"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)])
+    df = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]
+    # one row
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *df)
+    hits = rows.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted]))).select("id", F.size("ts").alias("length"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)])
+    parts = [_weight(F.col(f"tf{k}"), F.col(f"df{k}"), k1, b) for k in range(len(wanted))]
+    return hits.crossJoin(F.broadcast(stats)).select("id", reduce(add, parts).alias("relevance"))
 
 
 def bm25_indexed(postings_: DataFrame, stats: DataFrame, query: str, *, k1: float = K1, b: float = B) -> DataFrame:
@@ -49,9 +62,12 @@ def bm25_indexed(postings_: DataFrame, stats: DataFrame, query: str, *, k1: floa
     return _score(tf, document_frequencies(tf), stats, k1, b)
 
 
+def _weight(tf: Column, df: Column, k1: float, b: float) -> Column:
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+
+
 def _score(tf: DataFrame, df: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
     # one row for each query term, and one row of statistics
-    rows = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return rows.groupBy("id").agg(F.sum(weight).alias("relevance"))
+    rows = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    return rows.groupBy("id").agg(F.sum(_weight(F.col("tf"), F.col("df"), k1, b)).alias("relevance"))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brindle.session import ship_package
 
 THRESHOLD = 256
 #: Rows that the centroids and codebooks are fitted on, at most (about).
 SAMPLE = 50_000
+#: Cells that a search reads, and how many times k rows of each partition's part of a cell get exact distances.
+NPROBES, RERANK = 20, 10
 
 
 def sizing(n: int, dim: int) -> tuple[int, int] | None:
@@ -40,8 +42,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector", sample: int = SAMPLE, codes: int = 256) -> bool:
-    """Index every row; centroids and codebooks come from a sample of bounded size. False if there are too few rows."""
+def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector", keep: tuple[str, ...] = (), sample: int = SAMPLE, codes: int = 256) -> bool:
+    """Index every row, with the columns to keep for filters; centroids and codebooks come from a sample of bounded size. False if there are too few rows."""
     spark = rows.sparkSession
     ship_package(spark)
     first = rows.where(F.col(column).isNotNull()).select(F.size(column)).limit(1).collect()
@@ -67,33 +69,96 @@ def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector"
             at = np.argmax(v @ centroids.T, axis=1)
             r = v - centroids[at]
             code = np.stack([np.argmin((bk * bk).sum(1)[None] - 2 * r[:, a:b] @ bk.T, axis=1) for bk, a, b in zip(books, edges[:-1], edges[1:])], axis=1)
-            yield pd.DataFrame({"id": pdf["i"], "vector": pdf["v"], "pq_code": list(code.astype(np.int16)), "ivf_cell": at.astype(np.int32)})
-
-    coded = rows.where(F.col(column).isNotNull()).select(F.col(id_).alias("i"), F.col(column).cast("array<float>").alias("v"))
-    id_type = rows.schema[id_].dataType.simpleString()
-    coded.mapInPandas(encode, f"id {id_type}, vector array<float>, pq_code array<smallint>, ivf_cell int").repartition("ivf_cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("ivf_cell").parquet(f"{path}/rows")
+            named = {"id": pdf["i"], "vector": pdf["v"], "pq_code": list(code.astype(np.int16)), "ivf_cell": at.astype(np.int32)}
+            yield pd.DataFrame(named | {c: pdf[c] for c in keep})
+
+    coded = rows.where(F.col(column).isNotNull()).select(F.col(id_).alias("i"), F.col(column).cast("array<float>").alias("v"), *keep)
+    types = {c: rows.schema[c].dataType.simpleString() for c in (id_, *keep)}
+    schema = f"id {types[id_]}, vector array<float>, pq_code array<smallint>, ivf_cell int" + "".join(f", `{c}` {types[c]}" for c in keep)
+    placed = coded.mapInPandas(encode, schema).repartition("ivf_cell", F.pmod(F.xxhash64("id"), F.lit(8)))
+    placed.write.mode("overwrite").partitionBy("ivf_cell").parquet(f"{path}/rows")
     meta = [("centroids", k, c.tolist()) for k, c in enumerate(centroids)] + [(f"book{j}", k, c.tolist()) for j, bk in enumerate(books) for k, c in enumerate(bk)]
     spark.createDataFrame(meta, "part string, k int, v array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return True
 
 
-def search(spark: SparkSession, path: str, vector: list[float], k: int = 5, *, nprobes: int = 20, rerank: int = 10) -> DataFrame:
-    """(id, distance): the nprobes nearest cells are read, codes rank their rows, and the best rerank * k get exact distances."""
-    meta = spark.read.parquet(f"{path}/meta").toPandas()  # at most 256 + 16 * 256 rows
-    get = lambda part: np.stack(meta[meta["part"] == part].sort_values("k")["v"].to_numpy())
-    q = _unit(np.array([vector], np.float32))[0]
-    centroids = get("centroids")
-    near = np.argsort(-(centroids @ q), kind="stable")[:nprobes]
-    subs = len({p for p in meta["part"] if p.startswith("book")})
-    books = [get(f"book{j}") for j in range(subs)]
-    edges = np.linspace(0, len(q), subs + 1).astype(int)
-    tables = [(bk @ q[a:b]) for bk, a, b in zip(books, edges[:-1], edges[1:])]
-    base = centroids @ q
-    rows = spark.read.parquet(f"{path}/rows").where(F.col("ivf_cell").isin([int(c) for c in near]))
-    lookup = F.array(*[F.array(*[F.lit(float(v)) for v in t]) for t in tables])
-    start = F.element_at(F.array(*[F.lit(float(v)) for v in base]), F.col("ivf_cell") + 1)
-    approx = F.aggregate(F.zip_with("pq_code", lookup, lambda c, t: F.get(t, c.cast("int"))), start, lambda s, x: s + x)
-    from brindle.operators.search import knn
-
-    best = rows.withColumn("approx", approx).orderBy(F.desc("approx"), "id").limit(rerank * k)
-    return knn(best.select("id", "vector"), vector, k).select("id", F.round("distance", 6).alias("distance"))
+class Index:
+    """Centroids and codebooks of a built index: at most 256 + 16 * 256 vectors, whatever the number of rows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        meta = spark.read.parquet(f"{path}/meta").toPandas()
+        get = lambda part: np.stack(meta[meta["part"] == part].sort_values("k")["v"].to_numpy())
+        self.centroids = get("centroids")
+        self.books = [get(f"book{j}") for j in range(len({p for p in meta["part"] if p.startswith("book")}))]
+        self.edges = np.linspace(0, self.centroids.shape[1], len(self.books) + 1).astype(int)
+        self.rows = spark.read.parquet(f"{path}/rows")
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each sub-vector, (query, code) parts of the dot product."""
+        return [q[:, a:b] @ bk.T for bk, a, b in zip(self.books, self.edges[:-1], self.edges[1:])]
+
+
+def search(
+    spark: SparkSession, path: str, vector: list[float], k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, source: str | None = None, min_time: float | None = None
+) -> DataFrame:
+    """(id, distance) of one query: filters hold before ranking."""
+    from brindle.operators.search import prefilter
+
+    query = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, query_vector array<double>")
+    found = search_many(spark, path, query, k, nprobes=nprobes, rerank=rerank, rows=lambda r: prefilter(r, source, min_time))
+    return found.select("id", F.round("distance", 6).alias("distance")).orderBy("distance", "id")
+
+
+def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, rows: Callable[[DataFrame], DataFrame] = lambda r: r) -> DataFrame:
+    """(query_id, id, distance, rank) for queries (query_id, query_vector), in blocks of bounded size.
+
+    Each query's nprobes nearest cells are read; in every partition codes rank a cell's rows, the best rerank * k of them
+    get exact distances in double precision, and the k best go on. rows filters the index's rows before that."""
+    from brindle.operators.search import query_blocks
+
+    ship_package(spark)
+    index = Index(spark, path)
+    found = None
+    for qid, q in query_blocks(queries):
+        one = _search_block(index, rows(index.rows), qid, q, k, nprobes, rerank)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return index.rows.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where(F.lit(False))
+    return found
+
+
+def _search_block(index: Index, rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, nprobes: int, rerank: int) -> DataFrame:
+    near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :nprobes]
+    asks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+    tables, base, top = index.tables(q), q @ index.centroids.T, rerank * k
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for cell, own in pdf.groupby("ivf_cell"):
+                who, codes = asks.get(int(cell), np.zeros(0, np.int64)), np.stack(own["pq_code"].to_numpy())
+                if not len(who):
+                    continue
+                approx = base[who, cell][:, None] + sum(t[who][:, codes[:, j]] for j, t in enumerate(tables))
+                few = min(top, approx.shape[1])
+                best = np.argpartition(-approx, few - 1, axis=1)[:, :few]
+                x = np.stack(own["vector"].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(x, axis=1)
+                x /= np.where(norms > 0, norms, 1)[:, None]
+                ids = own["id"].to_numpy()
+                for j, w in enumerate(who):
+                    at = best[j][norms[best[j]] > 0]
+                    d = 1 - x[at] @ q[w]
+                    order = np.lexsort((ids[at], d))[:k]
+                    yield pd.DataFrame({"query_id": np.full(len(order), qid[w]), "id": ids[at[order]], "distance": d[order]})
+
+    # cells that no query asks for are not read
+    asked = rows.where(F.col("ivf_cell").isin(sorted(asks))).select("id", "vector", "pq_code", "ivf_cell")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return asked.mapInPandas(run, f"query_id long, id {id_type}, distance double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n_wanted, n_found, recall): of the exact neighbours (query_id, id), how many were found. One row."""
+    hits = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("n_wanted"), F.count("hit").alias("n_found")).withColumn("recall", F.col("n_found") / F.col("n_wanted"))

@@ -13,6 +13,14 @@ def latest(column: str, order: Column) -> Column:
     return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), order))
 
 
+#: What a fingerprint's latest execution gives: result column and log column.
+LATEST = {
+    "text": "sanitized_sql", "raw_query": "sample_sql", "source": "db", "tables": "tables", "user": "user", "host": "host",
+    "rows_sent": "rows_sent", "rows_examined": "rows_examined", "lock_time_sec": "lock_time_sec",
+}
+RESULT = ["id", "text", "raw_query", "source", "execution_time_ms", "calls", "tables", "latest_ts", "user", "host", "rows_sent", "rows_examined", "lock_time_sec"]
+
+
 def fingerprint_rollup(logs: DataFrame, as_of: Column, *, days: int = DAYS, cap: int | None = CAP, batch_id: str | None = None, tiebreak: str | None = None) -> DataFrame:
     """One row for each fingerprint of executions later than as_of - days, the costliest first.
 
@@ -21,11 +29,8 @@ def fingerprint_rollup(logs: DataFrame, as_of: Column, *, days: int = DAYS, cap:
     if batch_id is not None:
         rows = rows.where(F.col("batch_id") == F.lit(batch_id))
     order = F.struct("ts", tiebreak) if tiebreak else F.col("ts")
-    picked = [("text", "sanitized_sql"), ("raw_query", "sample_sql"), ("source", "db"), ("tables", "tables"), ("user", "user"), ("host", "host"), ("rows_sent", "rows_sent"), ("rows_examined", "rows_examined"), ("lock_time_sec", "lock_time_sec")]
-    out = rows.groupBy(F.col("fingerprint_id").alias("id")).agg(
-        (F.sum("query_time_sec") * 1000).alias("execution_time_ms"), F.count(F.lit(1)).alias("calls"), F.max("ts").alias("latest_ts"), *[latest(c, order).alias(a) for a, c in picked]
-    )
-    out = out.select("id", "text", "raw_query", "source", "execution_time_ms", "calls", "tables", "latest_ts", "user", "host", "rows_sent", "rows_examined", "lock_time_sec")
+    totals = [(F.sum("query_time_sec") * 1000).alias("execution_time_ms"), F.count(F.lit(1)).alias("calls"), F.max("ts").alias("latest_ts")]
+    out = rows.groupBy(F.col("fingerprint_id").alias("id")).agg(*totals, *[latest(c, order).alias(a) for a, c in LATEST.items()]).select(RESULT)
     ordered = out.orderBy(F.desc("execution_time_ms"), "id")
     return ordered.limit(cap) if cap else ordered
 

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Window, functions as F
 
 from brindle.functions.scalars import cosine_distance
 from brindle.operators.fts import bm25
+from brindle.session import materialize, ship_package
 
 log = logging.getLogger("brindle.search")
 RRF_K, CANDIDATES = 60, 50
@@ -22,37 +29,54 @@ def prefilter(rows: DataFrame, source: str | None = None, min_time: float | None
     return rows
 
 
-def literal_vector(v: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
-
-
 def knn(rows: DataFrame, vector: list[float], k: int = 5, *, column: str = "vector", id_: str = "id") -> DataFrame:
     """The k rows nearest by cosine, ties by id; rows with a zero vector come last, without a distance."""
-    with_distance = rows.withColumn("distance", cosine_distance(F.col(column), literal_vector(vector)))
+    with_distance = rows.withColumn("distance", cosine_distance(F.col(column), vector))
     return with_distance.orderBy(F.asc_nulls_last("distance"), id_).limit(k)
 
 
-def knn_many(rows: DataFrame, queries: DataFrame, k: int = 5, *, column: str = "vector", id_: str = "id") -> DataFrame:
-    """(query_id, id, distance, rank) for a bounded set of queries (query_id, query_vector) against all rows.
+#: Queries that are laid against all rows in one pass.
+QUERY_BLOCK = 2048
+
+
+def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors scaled to length 1) of queries (query_id, query_vector), ``size`` at a time; zero vectors stay zero."""
+    rows = queries.where("query_vector is not null").select("query_id", "query_vector").toLocalIterator(prefetchPartitions=False)
+    while held := list(islice(rows, size)):
+        q = np.array([r["query_vector"] for r in held], np.float64)
+        yield np.array([r["query_id"] for r in held]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+
+def knn_many(rows: DataFrame, queries: DataFrame, k: int = 5, *, column: str = "vector", id_: str = "id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, distance, rank) for queries (query_id, query_vector) against all rows, ties by id.
+
+    Queries pass the driver in blocks; each block is one pass over the rows, in which each partition keeps its k best of
+    each query before anything is shuffled. Rows and queries with a null or zero vector have no neighbours."""
+    ship_package(rows.sparkSession)
+    ids = rows.where(F.col(column).isNotNull()).select(F.col(id_).cast("long").alias("i"), F.col(column).alias("v"))
+    found = [_knn_block(ids, qid, q, k) for qid, q in query_blocks(queries, block)]
+    if not found:
+        return rows.select(F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where(F.lit(False))
+    if len(found) > 1:
+        # a plan of bounded size, however many the blocks
+        found = [materialize(x, "knn-block") for x in found]
+    return reduce(DataFrame.unionByName, found)
+
 
-    Each partition of rows keeps its k best of each query before anything is shuffled."""
-    import numpy as np
+def _knn_block(ids: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     import pandas as pd
 
-    held = [(r["query_id"], [float(x) for x in r["query_vector"]]) for r in queries.select("query_id", "query_vector").toLocalIterator()]
-    if not held:
-        return rows.select(F.lit(None).cast("long").alias("query_id"), F.col(id_).cast("long").alias("id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-    qid, q = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    held = ids.sparkSession.sparkContext.broadcast((qid, q))  # at most QUERY_BLOCK vectors
 
     def run(frames):
+        qid, q = held.value
         best_d, best_i = np.full((len(qid), 0), np.inf), np.zeros((len(qid), 0), np.int64)
         for pdf in frames:
             if not len(pdf):
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
             norms = np.linalg.norm(x, axis=1)
-            d = np.where(norms > 0, 1 - (q @ x.T) / np.where(norms > 0, norms, 1), np.inf)
+            d = np.where((norms > 0) & (q != 0).any(axis=1)[:, None], 1 - (q @ x.T) / np.where(norms > 0, norms, 1), np.inf)
             best_d = np.concatenate((best_d, d), axis=1)
             best_i = np.concatenate((best_i, np.broadcast_to(pdf["i"].to_numpy(np.int64), d.shape)), axis=1)
             order = np.lexsort((best_i, best_d), axis=1)[:, :k]
@@ -61,17 +85,13 @@ def knn_many(rows: DataFrame, queries: DataFrame, k: int = 5, *, column: str = "
         out = pd.DataFrame({"query_id": np.repeat(qid, n), "id": best_i.ravel(), "distance": best_d.ravel()})
         yield out[np.isfinite(out["distance"])]
 
-    near = rows.where(F.col(column).isNotNull()).select(F.col(id_).alias("i"), F.col(column).alias("v")).mapInPandas(run, "query_id long, id long, distance double")
+    near = ids.mapInPandas(run, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hybrid(rows: DataFrame, query: str, vector: list[float], k: int = 5, *, id_: str = "id", column: str = "vector", text: str = "text", candidates: int = CANDIDATES, rrf_k: int = RRF_K, lexical: DataFrame | None = None) -> DataFrame:
-    """The k best (id, distance, relevance, fused) of the vector and the text candidates; distance is null for a hit by text alone.
-
-    lexical: (id, relevance) from a stored index, else BM25 over rows. Each list has ``candidates`` rows at most, so ranks and fusion are small."""
-    near = knn(rows.select(F.col(id_).alias("id"), F.col(column).alias("v")), vector, candidates, column="v").where("distance is not null").select("id", F.round("distance", 6).alias("distance"))
-    words = (bm25(rows, query, id_=id_, text=text) if lexical is None else lexical).select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(candidates)
+def fuse(near: DataFrame, words: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """Candidates (id, distance) and (id, relevance), each list bounded, fused by reciprocal ranks: (id, distance, relevance, fused)."""
     near = near.withColumn("rank_v", F.row_number().over(Window.orderBy("distance", "id")))
     words = words.withColumn("rank_t", F.row_number().over(Window.orderBy(F.desc("relevance"), "id")))
     part = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
@@ -79,12 +99,38 @@ def hybrid(rows: DataFrame, query: str, vector: list[float], k: int = 5, *, id_:
     return fused.select("id", "distance", "relevance", "fused").orderBy(F.desc("fused"), "id").limit(k)
 
 
-def search(rows: DataFrame, query: str, vector: list[float], k: int = 5, **how) -> DataFrame:
-    """hybrid(), or vectors alone where the text branch can't be planned."""
+def hybrid(
+    rows: DataFrame, query: str, vector: list[float], k: int = 5, *, id_: str = "id", column: str = "vector", text: str = "text",
+    candidates: int = CANDIDATES, rrf_k: int = RRF_K, lexical: DataFrame | None = None, nearest: DataFrame | None = None,
+) -> DataFrame:
+    """The k best (id, distance, relevance, fused) of the vector and the text candidates; distance is null for a hit by text alone.
+
+    lexical: (id, relevance) and nearest: (id, distance) from stored indexes, else BM25 and exact cosines over rows. Each
+    list has ``candidates`` rows at most, so ranks and fusion are small."""
+    if nearest is None:
+        nearest = knn(rows.select(F.col(id_).alias("id"), F.col(column).alias("v")), vector, candidates, column="v")
+    near = nearest.where("distance is not null").select("id", F.round("distance", 6).alias("distance")).orderBy("distance", "id").limit(candidates)
+    words = bm25(rows, query, id_=id_, text=text) if lexical is None else lexical
+    words = words.select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(candidates)
+    return fuse(near, words, k, rrf_k)
+
+
+def search(rows: DataFrame, query: str, vector: list[float], k: int = 5, *, lexical: DataFrame | None = None, nearest: DataFrame | None = None, **how) -> DataFrame:
+    """hybrid(), or vectors alone where the text index can't be read.
+
+    The text candidates, a bounded list, are fetched here, so that what goes wrong with them shows here; errors of any
+    other kind than a missing or unreadable index are raised."""
+    id_, column = how.get("id_", "id"), how.get("column", "vector")
+    spark, most = rows.sparkSession, how.get("candidates", CANDIDATES)
+    words = bm25(rows, query, id_=id_, text=how.get("text", "text")) if lexical is None else lexical
     try:
-        return hybrid(rows, query, vector, k, **how)
-    except Exception as e:  # noqa: BLE001
-        log.warning("no text search, vectors only: %s", e)
-        id_, column = how.get("id_", "id"), how.get("column", "vector")
-        near = knn(rows, vector, k, column=column, id_=id_)
-        return near.select(F.col(id_).alias("id"), F.round("distance", 6).alias("distance"), F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("double").alias("fused"))
+        top = words.select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(most).collect()
+    except (PySparkException, Py4JJavaError) as e:  # the latter where a task fails on the index's files
+        if lexical is None:
+            raise
+        log.warning("no text search, vectors only: %s", str(e).splitlines()[0])
+        near = (knn(rows, vector, k, column=column, id_=id_).select(F.col(id_).alias("id"), "distance") if nearest is None else nearest.orderBy("distance", "id").limit(k))
+        return near.select("id", F.round("distance", 6).alias("distance"), F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("double").alias("fused"))
+    id_type = rows.schema[id_].dataType.simpleString()
+    held = spark.createDataFrame([tuple(r) for r in top], f"id {id_type}, relevance double")
+    return hybrid(rows, query, vector, k, lexical=held, nearest=nearest, **how)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,10 @@ from brindle.plans.schema import VAULTS
 from brindle.session import remove
 
 
+#: Seconds for which a version stays after a newer one took its place.
+RETAIN = 3600
+
+
 class SchemaMismatch(ValueError):
     """The stored table has other columns; it must be rebuilt."""
 
@@ -54,12 +59,30 @@ class Vault:
         name = f"v-{uuid.uuid4().hex}"
         (df.coalesce(files) if files else df).write.parquet(f"{self.path}/{name}")
         old = self._data() if self._exists(f"{self.path}/CURRENT") else None
-        path, fs = self._fs(f"{self.path}/CURRENT")
-        stream = fs.create(path, True)
+        # the pointer is written aside and renamed over the old one, so that it is whole at every moment
+        aside, fs = self._fs(f"{self.path}/CURRENT-{uuid.uuid4().hex}")
+        stream = fs.create(aside, True)
         stream.write(bytearray(name.encode()))
         stream.close()
+        files_ = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(files_.Options.Rename, 1)
+        options[0] = files_.Options.Rename.OVERWRITE
+        context = files_.FileContext.getFileContext(aside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(aside, self._fs(f"{self.path}/CURRENT")[0], options)
         if old:
-            remove(self.spark, old)
+            self._sweep(keep={name, old.rsplit("/", 1)[1]})
+
+    def _sweep(self, keep: set[str]) -> None:
+        """Delete versions that RETAIN seconds have passed over: readers that began before a switch can end."""
+        path, fs = self._fs(self.path)
+        for s in fs.listStatus(path):
+            name = s.getPath().getName()
+            if name.startswith("v-") and name not in keep and time.time() - s.getModificationTime() / 1000 > RETAIN:
+                remove(self.spark, f"{self.path}/{name}")
+
+    def files(self) -> int:
+        path, fs = self._fs(self._data())
+        return sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(path))
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self._data())
@@ -78,8 +101,11 @@ class Vault:
     def clear(self) -> None:
         self._switch(self.spark.createDataFrame([], self.schema))
 
-    def compact(self, rows_per_file: int = 250_000) -> None:
+    def compact(self, rows_per_file: int = 250_000, *, slack: int = 64) -> None:
+        """Rewrite the vault into files of rows_per_file rows, but only where it has more than ``slack`` files above that."""
         n = self.read().count()
+        if self.files() <= slack + n // rows_per_file:
+            return
         self._switch(self.read(), max(1, -(-n // rows_per_file)))
 
     def hashes(self) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.functions.embedding import Embedder, embed_passages, embed_query, hashing_embedder
 from brindle.operators import chunking, fts, ivfpq, records, store
-from brindle.operators.search import hybrid, knn, prefilter
+from brindle.operators.search import CANDIDATES, prefilter, search as retrieve
 from brindle.plans.config import Engine, Settings
-from brindle.session import materialize, discard
+from brindle.session import discard, materialize, remove
 from brindle.sources import files
 from brindle.sources.duckfile import read_duckfile
 from brindle.sources.http_api import read_http
@@ -33,14 +35,18 @@ class RetrievalEngine:
         """Chunks of a directory, glob, file or URL, by the engine's chunker."""
         kind = self.spec.chunker_type
         now = F.lit((run_ts or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
-        options = self.spec.source_options(query, path if files.is_url(path) else None)
+        options = self.spec.source_options()
         if kind == "api":
-            return records.project_sql_chunks(records.with_required(read_http(self.spark, options.pop("base_url"), **options)), now)
+            url = path if files.is_url(path) else options.pop("base_url", "")
+            # a key in the environment goes before one in the file
+            given = {"api_key": os.environ.get("BRINDLE_API_KEY"), "query": query}
+            merged = {k: v for k, v in options.items() if k != "base_url"} | {k: v for k, v in given.items() if v}
+            return records.project_sql_chunks(records.with_required(read_http(self.spark, url, **merged)), now)
         if kind == "duckdb":
             out = None
             for p in files.find(path, files.EXTENSIONS["duckdb"]):
                 try:
-                    rows = read_duckfile(self.spark, p, options["query"])
+                    rows = read_duckfile(self.spark, p, query or options.get("query"))
                     missing = {"id", "text", "raw_query", "source", "execution_time_ms", "calls"} - set(rows.columns)
                 except Exception as e:  # noqa: BLE001
                     log.error("%s can't be queried: %s", p, e)
@@ -61,6 +67,8 @@ class RetrievalEngine:
         """Rows added. What the vault holds is told by content hash from a snapshot at the start; repeats within a run stay unless distinct."""
         if rebuild:
             self.vault.clear()
+            for name in ("ivfpq", "postings", "statistics"):
+                remove(self.spark, f"{self.root}/{name}")
         chunks = self.chunks(path, query)
         if distinct:
             chunks = chunks.dropDuplicates(["content_hash", "id"])
@@ -70,36 +78,51 @@ class RetrievalEngine:
         added = ready.count()
         if added:
             ready.write.mode("append").parquet(self.vault._data())
-            self.index()
             self.vault.compact()
+            self.index()
         discard(ready)
         return added
 
     def index(self) -> None:
         """Vector index over enough rows, postings and statistics; a failure of either is logged, and search does without."""
-        rows = self.vault.read()
-        for name, make in (("vectors", lambda: ivfpq.build(rows.withColumn("_key", F.concat_ws("\x1f", "id", "content_hash")), f"{self.root}/ivfpq", id_="_key")), ("text", self._index_text)):
+        rows = self._keyed()
+        filters = tuple(c for c in ("source", "execution_time_ms") if c in rows.columns)
+        for name, make in (("vectors", lambda: ivfpq.build(rows, f"{self.root}/ivfpq", id_="_key", keep=filters)), ("text", lambda: self._index_text(rows))):
             try:
                 make()
-            except Exception as e:  # noqa: BLE001
+            except PySparkException as e:
                 log.warning("no index over %s: %s", name, e)
 
-    def _index_text(self) -> None:
-        rows = self.vault.read()
-        fts.postings(rows).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.root}/postings")
+    def _index_text(self, rows: DataFrame) -> None:
+        fts.postings(rows, "_key").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.root}/postings")
         fts.statistics(rows).write.mode("overwrite").parquet(f"{self.root}/statistics")
 
+    def _keyed(self) -> DataFrame:
+        """The vault with _key: ids may repeat in it, and a row is told by id and content."""
+        return self.vault.read().withColumn("_key", F.concat_ws("\x1f", "id", "content_hash"))
+
+    def _has(self, name: str) -> bool:
+        return self.vault._exists(f"{self.root}/{name}/_SUCCESS")
+
     def search(self, query: str, k: int = 5, *, source: str | None = None, min_time: float | None = None) -> list[dict]:
-        """At most k rows as dictionaries: the vault's columns but the vector, with score, distance and is_fts_match."""
+        """At most k rows as dictionaries: the vault's columns but the vector, with score, distance and is_fts_match.
+
+        Vectors come from the index where there is one, text hits from the stored postings; filters hold before ranking."""
         vector = embed_query(self.make(), query, self.spec.vector_dimension, self.spec.query_prefix)
-        rows = prefilter(self.vault.read(), source, min_time if self.spec.mapper_type == "sql" else None)
-        # ids may repeat in a vault; the row is told by id and content
-        keyed = rows.withColumn("_key", F.concat_ws("\x1f", "id", "content_hash"))
-        try:
-            found = hybrid(keyed, query, vector, k, id_="_key")
-        except Exception as e:  # noqa: BLE001
-            log.warning("no text search, vectors only: %s", e)
-            found = knn(keyed, vector, k, id_="_key").select(F.col("_key").alias("id"), F.round("distance", 6).alias("distance"), F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("double").alias("fused"))
+        low = min_time if self.spec.mapper_type == "sql" else None
+        keyed = prefilter(self._keyed(), source, low)
+        nearest = lexical = None
+        if self._has("ivfpq/rows"):
+            nearest = ivfpq.search(self.spark, f"{self.root}/ivfpq", vector, CANDIDATES, nprobes=self.settings.nprobes, source=source, min_time=low)
+        if self._has("postings"):
+            try:
+                stored = [self.spark.read.parquet(f"{self.root}/{x}") for x in ("postings", "statistics")]
+                lexical = fts.bm25_indexed(*stored, query)
+                if source or low is not None:
+                    lexical = lexical.join(keyed.select(F.col("_key").alias("id")), "id", "left_semi")
+            except PySparkException as e:
+                log.warning("the text index can't be read, texts are searched themselves: %s", e)
+        found = retrieve(keyed, query, vector, k, id_="_key", lexical=lexical, nearest=nearest)
         # at most k rows
         joined = keyed.join(F.broadcast(found.withColumnRenamed("id", "_key")), "_key").dropDuplicates(["_key"])
         ordered = store.results(joined.drop("vector")).orderBy(F.desc_nulls_last("fused"), F.asc_nulls_last("distance"), "_key").drop("_key")

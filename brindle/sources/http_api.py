@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from brindle.session import ship_package
+
 log = logging.getLogger("brindle.http")
 FIELDS = ("id", "text", "raw_query", "source", "execution_time_ms", "calls", "latest_ts", "user", "host", "rows_sent", "rows_examined", "lock_time_sec")
 RECORDS = StructType([*(StructField(f, StringType()) for f in FIELDS), StructField("tables", ArrayType(StringType()))])
@@ -93,6 +95,7 @@ class HttpRecordSource(DataSource):
 
 def read_http(spark: SparkSession, base_url: str, **options) -> DataFrame:
     """Records of a server, all fields text; an error ends the rows with a log message, or raises with strict="true"."""
+    ship_package(spark)
     spark.dataSource.register(HttpRecordSource)
     reader = spark.read.format("httprecords")
     for k, v in options.items():

@@ -8,7 +8,7 @@ from brindle.functions.embedding import embed_passages, hashing_embedder
 from brindle.functions.scalars import content_hash
 from brindle.operators import chunking, fts, ivfpq, records, rollup, store
 from brindle.operators import search as retrieval
-from brindle.session import scratch
+from brindle.session import materialize, scratch
 
 AS_OF = "2024-01-31"
 RUN_TS = "2024-02-01 00:00:00"
@@ -36,9 +36,7 @@ def slow_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rolled(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    out = rollup.fingerprint_rollup(slow_logs(spark, sf_dir), F.lit(AS_OF).cast("date"), tiebreak="id", **how)
-    rounded = {c: F.round(c, 4) for c in ("execution_time_ms", "lock_time_sec")}
-    return out.withColumns(rounded).withColumn("tables", F.array_join("tables", ","))
+    return _readable(rollup.fingerprint_rollup(slow_logs(spark, sf_dir), F.lit(AS_OF).cast("date"), tiebreak="id", **how))
 
 
 _LOGS = """slow_logs AS (SELECT event_id AS id, 'fp' || (user_id % 50) AS fingerprint_id, 'SELECT ' || event_type AS sanitized_sql, props AS sample_sql, 'db' || (user_id % 5) AS db,
@@ -233,7 +231,7 @@ def knn_both_filters(spark, sf_dir):
 
 def knn_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.knn_many(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
@@ -286,7 +284,11 @@ def hybrid_result_shape(spark, sf_dir):
 
 
 def vector_fallback(spark, sf_dir):
-    return retrieval.knn(vault_rows(spark, sf_dir), query_vector(spark, sf_dir), TOP).select("id", F.round("distance", 6).alias("distance"), F.lit(None).cast("double").alias("relevance"))
+    """A search whose text index is damaged: vectors alone answer."""
+    path = scratch(spark, "damaged")
+    spark.createDataFrame([("no postings",)], "value string").write.text(path)
+    damaged = spark.read.schema("id long, relevance double").parquet(path)
+    return retrieval.search(vault_rows(spark, sf_dir), QUERY, query_vector(spark, sf_dir), TOP, lexical=damaged).select("id", "distance", "relevance")
 
 
 def _hybrid_sql(select: str) -> str:
@@ -308,30 +310,159 @@ def index_sizing(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, n long, cells int, subvectors int")
 
 
-def ivf_pq_search(spark, sf_dir):
+def _vector_queries(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _indexed(spark, sf_dir, k: int):
+    """The k neighbours of every query from an index over all vectors, or exact ones where there are too few for an index."""
     path = scratch(spark, "ivfpq")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    if not ivfpq.build(rows, path):
-        return retrieval.knn(rows, query_vector(spark, sf_dir), TOP).select("id", F.round("distance", 6).alias("distance"))
-    return ivfpq.search(spark, path, query_vector(spark, sf_dir), TOP)
+    queries = _vector_queries(spark, sf_dir)
+    found = ivfpq.search_many(spark, path, queries, k, nprobes=PROBES) if ivfpq.build(rows, path) else retrieval.knn_many(rows, queries, k)
+    return found, retrieval.knn_many(rows, queries, k)
 
 
-def duckdb_file_scan(spark, sf_dir):
-    """The rollup by the embedded engine, over a file made of the whole log, in the shared folder (executors must see its path)."""
-    import os
+#: Cells that the registered index searches read; their recall is measured by ivf_pq_recall.
+PROBES = 32
 
-    import duckdb
 
+def ivf_pq_search(spark, sf_dir):
+    return _indexed(spark, sf_dir, TOP)[0].withColumn("distance", F.round("distance", 6))
+
+
+def ivf_pq_recall(spark, sf_dir):
+    """Whether the index finds nine tenths of the exact neighbours of all queries."""
+    found, exact = _indexed(spark, sf_dir, TOP)
+    return ivfpq.recall(found, exact).select("n_wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def duckdb_file_scan(spark, sf_dir):
+    """The rollup over embedded files that tasks write to the shared folder, each from its part of the log."""
     from brindle.sources.duckfile import read_duckfile
 
-    folder = scratch(spark, "duckfile").removeprefix("file:")
-    folder = "/" + folder.lstrip("/")
-    os.makedirs(folder)
-    logs = slow_logs(spark, sf_dir).toArrow()  # noqa: F841  an embedded file is made by one process
-    con = duckdb.connect(f"{folder}/logs.duckdb")
-    con.execute("CREATE TABLE slow_logs AS SELECT * FROM logs ORDER BY id")
-    con.close()
-    return read_duckfile(spark, f"{folder}/logs.duckdb", as_of=AS_OF).withColumns({"execution_time_ms": F.round("execution_time_ms", 4), "lock_time_sec": F.round("lock_time_sec", 4), "tables": F.array_join("tables", ",")})
+    folder = "/" + scratch(spark, "duckfile").removeprefix("file:").lstrip("/")
+    logs = slow_logs(spark, sf_dir)
+
+    def write(batches):
+        import os
+        import uuid
+
+        import duckdb
+        import pyarrow as pa
+
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}.duckdb"
+        con, made = duckdb.connect(path), False
+        for batch in batches:
+            part = pa.Table.from_batches([batch])  # noqa: F841
+            con.execute("INSERT INTO slow_logs SELECT * FROM part" if made else "CREATE TABLE slow_logs AS SELECT * FROM part")
+            made = True
+        con.close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    # one path for each task that had rows; a task that is tried again writes a file of its own, and only paths told are read
+    paths = [r.path for r in logs.repartition(4, "id").mapInArrow(write, "path string").collect()]
+    return _readable(read_duckfile(spark, sorted(paths), as_of=AS_OF, tiebreak="id"))
+
+
+def _readable(out: DataFrame) -> DataFrame:
+    rounded = {c: F.round(c, 4) for c in ("execution_time_ms", "lock_time_sec")}
+    return out.withColumns(rounded).withColumn("tables", F.array_join("tables", ","))
+
+
+# ---- files, vaults and ingest ------------------------------------------------------------------------------------------------
+
+
+def _thread_files(spark: SparkSession, sf_dir: str) -> str:
+    """The threads as text files below one folder, a folder for each."""
+    path = scratch(spark, "files")
+    docs = _threads(spark, sf_dir)
+    docs.select(F.regexp_replace("filepath", r"\.txt$", "").alias("name"), "content").write.partitionBy("name").text(path)
+    return path
+
+
+def file_scan(spark, sf_dir):
+    """Text files found, decoded and hashed."""
+    from brindle.sources import files
+
+    docs = files.read_documents(spark, _thread_files(spark, sf_dir), (".txt",))
+    return docs.select(F.regexp_extract("filepath", "name=([^/]*)/", 1).alias("name"), "content_hash", F.length("content").cast("long").alias("n_chars"))
+
+
+def ingest_twice(spark, sf_dir):
+    """Chunks that two ingests of the same files add, and how many the vault then holds."""
+    from brindle.plans.config import Engine, Settings
+    from brindle.plans.engine import RetrievalEngine
+
+    path = _thread_files(spark, sf_dir)
+    engine = RetrievalEngine(spark, Engine(table_name="t", vector_dimension=16, chunk_max_chars=1000), Settings(db_path=scratch(spark, "db")))
+    added = [engine.ingest(path) for _ in range(2)]
+    return engine.vault.read().agg(F.count(F.lit(1)).alias("held")).select(F.lit(added[0]).cast("long").alias("first"), F.lit(added[1]).cast("long").alias("second"), "held")
+
+
+def _document_vault(spark: SparkSession, sf_dir: str) -> store.Vault:
+    vault = store.Vault(spark, scratch(spark, "vault"), "document", 64)
+    rows = vault_rows(spark, sf_dir).where("text is not null").withColumn("content_hash", content_hash(F.col("text")))
+    vault.append(rows.select(F.col("id").cast("string").alias("id"), "vector", "text", "source", "content_hash"), "w1")
+    return vault
+
+
+def vault_round_trip(spark, sf_dir):
+    """Documents and vectors through a vault: appended, rewritten into few files and read."""
+    vault = _document_vault(spark, sf_dir)
+    vault.compact(1000, slack=0)
+    shown = vault.read().withColumn("first", F.round(F.get("vector", F.lit(0)).cast("double"), 5)).withColumn("width", F.size("vector"))
+    return shown.select("id", "source", "content_hash", "workflow", "width", "first", F.length("text").cast("long").alias("n_chars"), "node_type")
+
+
+def vault_clear(spark, sf_dir):
+    """What a vault holds before and after it is cleared and filled again with other rows."""
+    vault = _document_vault(spark, sf_dir)
+    before = vault.read().groupBy(F.lit("before").alias("at"), "workflow").count().collect()
+    kept = materialize(vault.read().where("cast(id as long) % 2 = 0").drop("workflow"), "half")
+    vault.clear()
+    vault.append(kept, "w2")
+    after = vault.read().groupBy(F.lit("after").alias("at"), "workflow").count()
+    return after.unionByName(spark.createDataFrame([tuple(r) for r in before], after.schema))
+
+
+def vault_hashes(spark, sf_dir):
+    return _document_vault(spark, sf_dir).hashes()
+
+
+def vault_unseen(spark, sf_dir):
+    """Documents whose content a vault filled from source src0 does not hold."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source", content_hash(F.col("text")).alias("content_hash"))
+    vault = store.Vault(spark, scratch(spark, "vault"), "document", 2)
+    held = docs.where("source = 'src0' and text is not null")
+    vault.append(held.withColumn("vector", F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>")))
+    return vault.unseen(docs.where("source <> 'src0'")).select(F.col("id").cast("long").alias("doc_id"), "content_hash")
+
+
+def sql_vault_round_trip(spark, sf_dir):
+    """Records through a vault of the other layout."""
+    vault = store.Vault(spark, scratch(spark, "vault"), "sql", 2)
+    chunks = records.from_log_records(_raw_records(spark, sf_dir), F.lit(RUN_TS))
+    vault.append(chunks.withColumn("vector", F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>")))
+    return _shown(vault.read())
+
+
+def _letters(texts: list[str]):
+    """An embedder that SQL can tell: code points, and how many of them are e and a."""
+    import numpy as np
+
+    return np.array([[len(t), t.count("e"), t.count("a")] for t in texts], np.float32).reshape(-1, 3)
+
+
+def embed_with_prefix(spark, sf_dir):
+    """Passages are embedded with a prefix that isn't stored."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    out = embed_passages(docs, lambda: _letters, ("letters", 3), 3, prefix="passage: ")
+    at = lambda k: F.get("vector", F.lit(k)).cast("long")
+    return out.select("doc_id", at(0).alias("n_chars"), at(1).alias("n_e"), at(2).alias("n_a"), F.length("text").cast("long").alias("stored"))
 
 
 QUERIES = {
@@ -339,7 +470,8 @@ QUERIES = {
     for f in (
         slow_log_rollup, slow_log_rollup_by_batch, slow_log_keyset_page, slow_log_window_rollup, sql_record_projection, json_array_records, required_fields, content_hashes, distinct_hashes, dedup_anti_join,
         text_chunks, text_chunks_noise_filtered, markdown_chunks, embed_documents, knn_cosine, knn_source_filter, knn_min_time_filter, knn_both_filters, knn_batch, fts_bm25, fts_index_bm25, fts_stats,
-        hybrid_rrf, hybrid_result_shape, vector_fallback, result_report, index_sizing, ivf_pq_search, duckdb_file_scan,
+        hybrid_rrf, hybrid_result_shape, vector_fallback, result_report, index_sizing, ivf_pq_search, ivf_pq_recall, duckdb_file_scan,
+        file_scan, ingest_twice, vault_round_trip, vault_clear, vault_hashes, vault_unseen, sql_vault_round_trip, embed_with_prefix,
     )
 }
 _DOCS = "corpus AS (SELECT doc_id AS id, text FROM documents)"
@@ -361,7 +493,7 @@ ORACLES = {
     "knn_source_filter": _knn_sql("source = 'src3'"),
     "knn_min_time_filter": _knn_sql("execution_time_ms >= 2000"),
     "knn_both_filters": _knn_sql("source = 'src3' AND execution_time_ms >= 1000"),
-    "knn_batch": "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 20 QUALIFY rank <= 5",
+    "knn_batch": "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5",
     "fts_bm25": f"WITH {_DOCS}, {_BM25} SELECT id, relevance FROM bm",
     "fts_index_bm25": f"WITH {_DOCS}, {_BM25} SELECT id, relevance FROM bm",
     "fts_stats": f"WITH {_DOCS}, tok AS (SELECT DISTINCT id, unnest({_TERMS}) AS term FROM corpus), st AS (SELECT count(*) AS n, round(avg(coalesce(len({_TERMS}), 0)), 6) AS avg_length FROM corpus) SELECT term, count(*) AS df, any_value(n) AS n, any_value(avg_length) AS avg_length FROM tok, st GROUP BY term",
@@ -369,5 +501,18 @@ ORACLES = {
     "hybrid_result_shape": _hybrid_sql("id, distance AS score, distance, distance IS NULL AS is_fts_match"),
     "vector_fallback": f"WITH {_VAULT} SELECT id, round(list_cosine_distance(v, {_Q}), 6) AS distance, NULL::DOUBLE AS relevance FROM vault ORDER BY list_cosine_distance(v, {_Q}), id LIMIT {TOP}",
     "result_report": f"WITH {_VAULT}, k AS (SELECT id, round(list_cosine_distance(v, {_Q}), 6) AS d, text FROM vault ORDER BY list_cosine_distance(v, {_Q}), id LIMIT {TOP}) SELECT id, printf('%.4f', d) AS shown, replace(left(text, 100), chr(10), ' ') AS snippet FROM k",
+    "ivf_pq_recall": "SELECT sum(least(10, n))::BIGINT AS n_wanted, TRUE AS enough FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 20 = 0",
+    "file_scan": f"""WITH d AS (SELECT 'conv' || conv_id AS name, string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS content FROM conversations GROUP BY conv_id)
+SELECT name, left(sha256(content), 16) AS content_hash, length(content) AS n_chars FROM d""",
+    "ingest_twice": f"SELECT count(*) AS first, 0::BIGINT AS second, count(*) AS held FROM ({_chunk_sql(1000, 5)})",
+    "vault_round_trip": """SELECT doc_id::VARCHAR AS id, source, left(sha256(text), 16) AS content_hash, 'w1' AS workflow, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 5) AS first,
+  length(text) AS n_chars, NULL::VARCHAR AS node_type FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL""",
+    "vault_clear": """WITH v AS (SELECT doc_id FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL)
+SELECT 'before' AS at, 'w1' AS workflow, count(*) AS count FROM v UNION ALL SELECT 'after', 'w2', count(*) FROM v WHERE doc_id % 2 = 0""",
+    "vault_hashes": "SELECT DISTINCT left(sha256(text), 16) AS content_hash FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL",
+    "sql_vault_round_trip": _RECORD_SQL,
+    "embed_with_prefix": """SELECT doc_id, length(text) + 9 AS n_chars, length(text) - length(replace(text, 'e', '')) + 1 AS n_e, length(text) - length(replace(text, 'a', '')) + 2 AS n_a,
+  length(text) AS stored FROM documents WHERE text IS NOT NULL""",
     "index_sizing": "SELECT name, n, CASE WHEN n > 256 THEN least(256, floor(sqrt(n)))::INTEGER ELSE 0 END AS cells, CASE WHEN n > 256 THEN 8 ELSE 0 END AS subvectors FROM (SELECT 'embeddings' AS name, count(*) AS n FROM embeddings UNION ALL SELECT 'documents', count(*) FROM documents)",
 }
+ORACLES["vault_unseen"] = ORACLES["dedup_anti_join"]

@@ -1,7 +1,6 @@
 import random
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from brindle.operators import chunking as c
 
@@ -10,12 +9,27 @@ def docs(spark, *rows):
     return spark.createDataFrame([(p, t, "h") for p, t in rows], "filepath string, content string, content_hash string")
 
 
+def plain_packing(text, most):
+    """The packing of paragraphs as one string that grows."""
+    out, cur = [], ""
+    for part in text.split("\n\n"):
+        if cur and len(cur) + len(part) > most:
+            out.append(cur.strip())
+            cur = part
+        else:
+            cur = f"{cur}\n\n{part}" if cur else part
+    return out + ([cur.strip()] if cur.strip() else [])
+
+
 def test_text_packing_equals_the_plain_model(spark):
     r = random.Random(1)
-    texts = ["\n\n".join("".join(r.choice("ab \n") for _ in range(r.randint(0, 20))) for _ in range(r.randint(0, 12))) for _ in range(200)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", c.pack_paragraphs(F.split("t", "\n\n"), 25).alias("x"))
-    for row in df.collect():
-        assert row.x == c.pack_text(texts[row.i], 25)
+    texts = ["\n\n".join("".join(r.choice("ab \n\x1c\u2003") for _ in range(r.randint(0, 20))) for _ in range(r.randint(0, 12))) for _ in range(200)]
+    texts += ["x" * 9 + "\x1c", "\n\n".join(["word "] * 5000) + "\x1c\x85", ""]
+    for t in texts:
+        assert c.pack_text(t, 25) == plain_packing(t, 25)
+    got = c.chunk_text(docs(spark, *[(f"d{k}.txt", t) for k, t in enumerate(texts)]), 25, least=3).collect()
+    want = {f"d{k}.txt_chunk_{j}": p for k, t in enumerate(texts) for j, p in enumerate(x for x in plain_packing(t, 25) if len(x) >= 3)}
+    assert {r.id: r.text for r in got} == want
 
 
 def test_ids_noise_and_fences(spark):
