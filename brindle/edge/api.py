@@ -76,13 +76,18 @@ def handler(engines: dict) -> type[BaseHTTPRequestHandler]:
             self._answer(*(health(engines) if self.path == "/health" else (404, {"detail": "not found"})))
 
         def do_POST(self) -> None:  # noqa: N802
-            kind = {"/search/md": "document", "/search/sql": "sql"}.get(self.path)
+            kind = {"/search/md": "document", "/search/sql": "sql", "/mcp": "mcp"}.get(self.path)
             if kind is None:
                 return self._answer(404, {"detail": "not found"})
             try:
                 request = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
             except ValueError:
                 return self._answer(422, {"detail": "the body is no JSON"})
+            if kind == "mcp":
+                from brindle.edge import mcp
+
+                found = mcp.answer(engines, request)
+                return self._answer(202 if found is None else 200, found or {})
             self._answer(*search(engines, kind, request))
 
         def log_message(self, text: str, *args) -> None:

@@ -1,4 +1,4 @@
-"""python -m brindle.edge.cli ingest|search|serve|tool"""
+"""python -m brindle.edge.cli ingest|search|serve|tool|mcp"""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from brindle.edge import api, report
+from brindle.edge import api, mcp, report
 from brindle.plans.config import Settings, load
 
 VERSION = "0.1.0"
@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("serve")
     a.add_argument("--host", default="127.0.0.1")
     a.add_argument("--port", type=int, default=8000)
+    sub.add_parser("mcp", help="the search tools over the Model Context Protocol on standard input and output")
     sub.add_parser("tool", help="one JSON request a line on standard input, one text answer each")
     return p
 
@@ -66,6 +67,8 @@ def main(argv: list[str] | None = None, ask=input, out=print, spark=None) -> int
         engines = {k: build(settings, k, spark) for k in settings.engines}
         if args.command == "serve":
             api.serve(engines, args.host, args.port).serve_forever()
+        for line in mcp.talk(engines, sys.stdin) if args.command == "mcp" else ():
+            print(line, flush=True)
         for line in sys.stdin if args.command == "tool" else ():
             r = json.loads(line)
             out(api.tool_search(engines, r.get("kind", "document"), r["query"], r.get("limit", 5), r.get("source_filter"), r.get("min_time")))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brindle.functions.scalars import terms
 
 K1, B = 1.2, 0.75
+#: Columns of stored postings of string ids, and of the statistics beside them.
+POSTINGS, STATISTICS = "id string, term string, tf long, length int", "n long, avg_length double"
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:

@@ -115,13 +115,10 @@ class RetrievalEngine:
         if self._has("ivfpq/rows"):
             nearest = ivfpq.search(self.spark, f"{self.root}/ivfpq", vector, CANDIDATES, nprobes=self.settings.nprobes, source=source, min_time=low)
         if self._has("postings"):
-            try:
-                stored = [self.spark.read.parquet(f"{self.root}/{x}") for x in ("postings", "statistics")]
-                lexical = fts.bm25_indexed(*stored, query)
-                if source or low is not None:
-                    lexical = lexical.join(keyed.select(F.col("_key").alias("id")), "id", "left_semi")
-            except PySparkException as e:
-                log.warning("the text index can't be read, texts are searched themselves: %s", e)
+            stored = [self.spark.read.schema(schema).parquet(f"{self.root}/{x}") for x, schema in (("postings", fts.POSTINGS), ("statistics", fts.STATISTICS))]
+            lexical = fts.bm25_indexed(*stored, query)
+            if source or low is not None:
+                lexical = lexical.join(keyed.select(F.col("_key").alias("id")), "id", "left_semi")
         found = retrieve(keyed, query, vector, k, id_="_key", lexical=lexical, nearest=nearest)
         # at most k rows
         joined = keyed.join(F.broadcast(found.withColumnRenamed("id", "_key")), "_key").dropDuplicates(["_key"])

@@ -194,3 +194,46 @@ def test_stream(spark, tmp_path):
 def test_find(tmp_path):
     (tmp_path / "x.log").write_text("1")
     assert files.find(str(tmp_path), (".md",)) == [] and len(files.find(str(tmp_path / "*.log"), (".md",))) == 1
+
+
+def test_mcp(engine, tmp_path):
+    import json
+
+    from brindle.edge import mcp
+
+    (tmp_path / "m.txt").write_text("otters swim in rivers all day")
+    engine.ingest(str(tmp_path / "m.txt"))
+    ask = lambda method, **p: json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": p})
+    lines = [ask("initialize", protocolVersion="2024-11-05"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask("tools/list"), "no json", ask("nothing"),
+             ask("tools/call", name="search_documents", arguments={"query": "otters", "limit": 1}), ask("tools/call", name="search_sql_logs", arguments={"query": "x"}),
+             ask("tools/call", name="search_documents", arguments={"query": "x", "limit": 0}), ask("tools/call", name="other")]
+    got = [json.loads(x) for x in mcp.talk({"md": engine}, lines)]
+    assert got[0]["result"]["protocolVersion"] == "2024-11-05" and {t["name"] for t in got[1]["result"]["tools"]} == {"search_documents", "search_sql_logs"}
+    assert [x["error"]["code"] for x in (got[2], got[3], got[6], got[7])] == [mcp.PARSE, mcp.NO_METHOD, mcp.BAD_PARAMS, mcp.BAD_PARAMS]
+    assert "otters swim" in got[4]["result"]["content"][0]["text"] and not got[4]["result"]["isError"] and got[5]["result"]["isError"]
+
+
+def test_search_reads_the_indexes(spark, tmp_path):
+    """Above the index's threshold vectors and texts come from it, filters hold before ranking, and a damaged text index leaves vectors."""
+    import os
+    import shutil
+
+    from brindle.plans.config import Engine, Settings
+    from brindle.plans.engine import RetrievalEngine
+
+    os.makedirs(tmp_path / "in")
+    for k in range(300):
+        (tmp_path / "in" / f"f{k}.txt").write_text(f"topic{k % 30} words{k} common filler text")
+    e = RetrievalEngine(spark, Engine(table_name="v", vector_dimension=32), Settings(db_path=str(tmp_path / "db")))
+    assert e.ingest(str(tmp_path / "in")) == 300 and e._has("ivfpq/rows") and e._has("postings")
+    found = e.search("words77", 3)
+    assert found[0]["source"].endswith("f77.txt")
+    own = found[0]["source"].replace("f77.txt", "f5.txt")
+    assert [r["source"] for r in e.search("words77 topic5", 5, source=own)] == [own]
+    for f in (tmp_path / "db" / "v" / "postings").glob("*.parquet"):
+        f.write_text("damaged")
+    for f in (tmp_path / "db" / "v" / "postings").glob(".*.crc"):
+        f.unlink()
+    assert e.search("words77", 3) and all(r["distance"] is not None for r in e.search("words77", 3))
+    assert e.ingest(str(tmp_path / "in"), rebuild=True) == 300 and e.search("words77", 1)[0]["source"].endswith("f77.txt")
+    shutil.rmtree(tmp_path / "db")
