@@ -1,13 +1,15 @@
 """Connected components by alternating large-star and small-star rounds on DataFrames (Kiveris et al., 2014).
 
 Every round keeps at most one row per edge, a vertex's neighbours are only ever reduced to their minimum (so map-side
-aggregation flattens hubs), and each round's edges are written to the shared folder, which ends their lineage.
+aggregation flattens hubs), a hub's edges are dealt over many tasks where they meet that minimum, and each round's edges
+are written to the shared folder, which ends their lineage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.llm.skew import hot_keys, salted_join
 from brindle.session import discard, materialize
 
 
@@ -16,6 +18,11 @@ def _state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _to_least(edges: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): edges with the least neighbour of u; low (u, m, n) has it, and with n > rows / 500 edges u is a hub."""
+    return salted_join(edges, low.select("u", "m"), ["u"], spread=["v"], hot=hot_keys(low, ["u"], rows, "n"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (u, v) in any direction -> (id, component_id): the smallest id reachable, for every vertex with an edge to another.
 
@@ -29,12 +36,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _to_least(both.where("v > u"), low, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc")
         # small star: u and its smaller neighbours are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _to_least(large, low, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         discard(now, large)
         now, before, state = after, state, _state(after)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm.components import connected_components
-from brindle.llm.skew import salted_join
+from brindle.llm.skew import hot_keys, salted_join
 from brindle.llm.textvec import U, mix, shingle_sets
 from brindle.session import discard, materialize, ship_package
 
@@ -165,25 +165,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     buckets = materialize(keyed.hint("merge").join(full.hint("merge"), "bucket").select("bucket", "doc_id"), "buckets")
     discard(signed)
 
-    low = buckets.groupBy("bucket").agg(F.min("doc_id").alias("pivot"))
-    stars = buckets.hint("merge").join(low.hint("merge"), "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
+    n_rows = buckets.count()
+    low = buckets.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    starred = salted_join(buckets, low.select("bucket", "pivot"), ["bucket"], spread=["doc_id"], hot=hot_keys(low, ["bucket"], n_rows, "n"))
+    stars = starred.where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
     done = materialize(confirm(stars, base, shingle=shingle, percent=percent), "compared")
     links = done.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v"))
     labels = materialize(connected_components(links), "labels")
 
-    open_ = materialize(_unsettled(buckets, labels), "unsettled")
+    open_ = materialize(_unsettled(buckets, labels, n_rows), "unsettled")
     few = open_.where(F.col("n") <= FEW).select("bucket", "doc_id", "component_id")
     other = few.select("bucket", F.col("doc_id").alias("other"), F.col("component_id").alias("other_component"))
     pairs = few.hint("merge").join(other.hint("merge"), "bucket").where("doc_id < other and component_id <> other_component").select(F.col("doc_id").alias("pivot"), F.col("other").alias("member")).distinct()
     fresh = pairs.hint("merge").join(done.select("pivot", "member").hint("merge"), ["pivot", "member"], "left_anti")
     one_by_one = materialize(confirm(fresh, base, shingle=shingle, percent=percent), "compared")
-    larger = materialize(with_largest(open_.where(F.col("n") > FEW)), "larger")
+    larger = materialize(with_largest(open_.where(F.col("n") > FEW), n_rows), "larger")
     many = F.col("n") - F.col("size") > DEALT
     grouped = larger.where(~many)
     rare = None
     if larger.where(many).limit(1).count():
         rare = materialize(rare_groups(larger.where(many), base, shingle=shingle, percent=percent), "rare")
-        grouped = grouped.unionByName(with_largest(rare))
+        grouped = grouped.unionByName(with_largest(rare, rare.count()))
     in_blocks = materialize(compare_blocks(grouped, base, shingle=shingle, percent=percent), "blocks")
     more = one_by_one.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")).unionByName(in_blocks)
     stars_so_far = labels.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
@@ -200,11 +202,12 @@ def _finish(of: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, doc_id, component_id, n) of the buckets of n members that hold several components."""
+def _unsettled(buckets: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
+    """(bucket, doc_id, component_id, n) of the buckets of n members that hold several components; buckets has n_rows rows."""
     named = buckets.hint("merge").join(labels.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     mixed = named.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("bucket", "n")
-    return named.hint("merge").join(mixed.hint("merge"), "bucket").select("bucket", "doc_id", "component_id", "n")
+    hot = hot_keys(mixed, ["bucket"], n_rows, "n")
+    return salted_join(named, mixed, ["bucket"], spread=["doc_id"], hot=hot).select("bucket", "doc_id", "component_id", "n")
 
 
 def linked_parts(ids: np.ndarray, sets: list[np.ndarray], percent: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -236,11 +239,14 @@ def linked_parts(ids: np.ndarray, sets: list[np.ndarray], percent: int, chunk: i
     return ids[tied], label[tied]
 
 
-def with_largest(members: DataFrame) -> DataFrame:
-    """members (bucket, doc_id, component_id, n) with top, the component with most rows of the bucket, and size, its rows."""
+def with_largest(members: DataFrame, rows: int | None = None) -> DataFrame:
+    """members (bucket, doc_id, component_id, n) with top, the component with most rows of the bucket, and size, its rows.
+
+    rows: no less than the rows of members, where that is known."""
     parts = members.groupBy("bucket", "component_id").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component_id")).alias("top")).select("bucket", F.col("top.component_id").alias("top"), F.col("top.size").alias("size"))
-    return members.hint("merge").join(largest.hint("merge"), "bucket")
+    hot = None if rows is None else hot_keys(parts.groupBy("bucket").agg(F.sum("size").alias("_n")), ["bucket"], rows)
+    return salted_join(members, largest, ["bucket"], spread=["doc_id"], hot=hot)
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:

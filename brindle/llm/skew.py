@@ -10,20 +10,30 @@ from brindle.session import materialize
 
 #: A key is hot above this share of the rows; there are at most so many hot keys as the share's inverse.
 HOT_SHARE = 1 / 500
+#: With fewer rows no key is hot.
+LEAST_HOT = 500
 SALTS = 64
 #: Up to so many rows of some numbers each are broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", *, salts: int = SALTS, spread: list[str] | None = None) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "_n") -> DataFrame:
+    """Those of counts (keys, n) above HOT_SHARE of total rows, so at most 1 / HOT_SHARE of them; total must be no less than the sum of n."""
+    return counts.where(F.col(n) > max(LEAST_HOT, int(total * HOT_SHARE))).select(*keys, F.lit(True).alias("_hot"))
+
+
+def salted_join(
+    many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", *, salts: int = SALTS, spread: list[str] | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """many joined to one on keys, the rows of many with a hot key being dealt over ``salts`` keys by a hash of ``spread``.
 
-    one has few rows for each key; those of hot keys are repeated for each salt. how: inner or left. Hot keys are found by
-    a pre-aggregated count, so at most 1 / HOT_SHARE of them are broadcast. Rows of many with a null key match nothing."""
-    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") > max(1000, int(total * HOT_SHARE))).select(*keys, F.lit(True).alias("_hot"))
-    hot = materialize(hot.coalesce(1), "hot-keys")
+    one has few rows for each key; those of hot keys are repeated for each salt. how: inner or left. Hot keys are given as
+    hot_keys() tells them, or are found by a pre-aggregated count, so at most 1 / HOT_SHARE of them are broadcast. Rows of
+    many with a null key match nothing."""
+    if hot is None:
+        counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        hot = materialize(hot_keys(counts, keys, total).coalesce(1), "hot-keys")
     no_key = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     dealt = F.pmod(F.xxhash64(*(spread or [c for c in many.columns if c not in keys])), F.lit(salts)).cast("int")
     left = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot") | no_key, dealt).otherwise(0)).drop("_hot")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, components, decontaminate, html_blocks, html_main, idstore, language, licences, near_dup, pieces, toxicity, vector_dup
+from brindle.llm import chat, components, decontaminate, html_blocks, html_main, idstore, language, licences, near_dup, pieces, skew, toxicity, vector_dup
 from brindle.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, score string, rep long, n long"
@@ -57,6 +57,16 @@ def shingle_set(text, k):
     return ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}) if w else set()
 
 
+def test_components_with_hubs_are_dealt_and_equal(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 20)
+    monkeypatch.setattr(skew, "HOT_SHARE", 1 / 20)
+    edges = [(500, k) for k in range(400, 480)] + [(k, 500) for k in range(501, 560)] + [(700, 401), (700, 3), (900, 901), (None, 4), (5, 5)]
+    got = {x.id: x.component_id for x in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 3 for k in [3, 700, *range(400, 480), *range(500, 560)]} | {900: 900, 901: 900}
+    low = spark.createDataFrame([(500, 400, 139), (700, 3, 2)], "u long, m long, n long")
+    assert [r.u for r in skew.hot_keys(low, ["u"], 200, "n").collect()] == [500]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = random.Random(7)
     rows = list(ODD)
