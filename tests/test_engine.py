@@ -80,32 +80,38 @@ def test_duckfile(spark, tmp_path):
 
 
 class Server(BaseHTTPRequestHandler):
-    rows = [{"id": f"q{i}", "text": f"SELECT {i}", "source": f"d{i % 2}", "execution_time_ms": 100.0 - i, "latest_ts": "2024-01-01T00:00:00Z", "tables": ["t"]} for i in range(5)]
+    rows = [{"id": f"q{i}", "text": f"SELECT {i}", "source": f"d{i % 2}", "execution_time_ms": 100.0 - i, "calls": 1, "latest_ts": "2024-01-01T00:00:00Z", "tables": ["t"]} for i in range(5)]
 
     def send(self, status, body):
         raw = json.dumps(body).encode()
         self.send_response(status)
         self.send_header("Content-Length", str(len(raw)))
+        self.send_header("Content-Type", "application/json")
+        self.send_header("X-Request-Id", "r1")
         self.end_headers()
         self.wfile.write(raw)
 
     def allowed(self):
         if self.headers.get("Authorization") == "Bearer k":
             return True
-        self.send(401, {"detail": "no"})
+        self.send(401, {"error": "invalid_token", "message": "no"})
 
     def do_GET(self):  # noqa: N802
         from urllib.parse import parse_qs, urlparse
 
         q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        if self.path == "/health":
+            return self.send(200, {"status": "ok", "version": "1", "databases": ["d0", "d1"]})
         if not self.allowed():
             return
+        if self.path == "/sql/databases":
+            return self.send(200, {"databases": ["d1", "d0"]})
         if not 1 <= int(q["limit"]) <= 1000:
             return self.send(422, {"detail": "limit"})
         rows = [r for r in self.rows if r["execution_time_ms"] >= float(q.get("min_execution_ms", 0)) and q.get("database", r["source"]) == r["source"] and q.get("since", "") < "2900"]
         a = int(q.get("cursor", 0))
         b = a + int(q["limit"])
-        self.send(200, {"data": rows[a:b], "has_more": b < len(rows)} | ({"next_cursor": str(b)} if b < len(rows) else {}))
+        self.send(200, {"data": rows[a:b], "has_more": b < len(rows), "total_count": len(rows)} | ({"next_cursor": str(b)} if b < len(rows) else {}))
 
     def do_POST(self):  # noqa: N802
         if not self.allowed():
@@ -113,7 +119,7 @@ class Server(BaseHTTPRequestHandler):
         sql = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["query"]
         if ";" in sql or not sql.upper().startswith("SELECT"):
             return self.send(422, {"error": "unsafe_query"})
-        self.send(200, {"columns": ["id", "text", "source"], "rows": [["a", "b", "c"], [None, "x", "y"]]})
+        self.send(200, {"columns": ["id", "text", "source"], "rows": [["a", "b", "c"], [None, "x", "y"]], "row_count": 2, "truncated": False, "execution_time_ms": 1.5})
 
     def log_message(self, *a):
         pass
@@ -131,7 +137,9 @@ def test_http(spark, server):
     assert read_http(spark, server, api_key="k", page_size=2).count() == 5
     assert records.with_required(read_http(spark, server, api_key="k", query="SELECT 1")).count() == 1
     assert read_http(spark, server, api_key="wrong").count() == 0
-    assert all(ok for _, ok, _ in conformance.run(server, "k"))
+    found = conformance.run(server, "k")
+    assert [name for name, ok, _ in found if not ok] == [] and len({name for name, _, _ in found}) == len(found) > 45
+    assert not all(ok for _, ok, _ in conformance.run(server, "wrong"))
 
 
 def test_config_and_cli(tmp_path, monkeypatch, spark):
