@@ -17,9 +17,14 @@ SALTS = 64
 BROADCAST_ROWS = 500_000
 
 
+def hot_above(total: int) -> int:
+    """The rows above which a key is hot among total rows."""
+    return max(LEAST_HOT, int(total * HOT_SHARE))
+
+
 def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "_n") -> DataFrame:
     """Those of counts (keys, n) above HOT_SHARE of total rows, so at most 1 / HOT_SHARE of them; total must be no less than the sum of n."""
-    return counts.where(F.col(n) > max(LEAST_HOT, int(total * HOT_SHARE))).select(*keys, F.lit(True).alias("_hot"))
+    return counts.where(F.col(n) > hot_above(total)).select(*keys, F.lit(True).alias("_hot"))
 
 
 def salted_join(

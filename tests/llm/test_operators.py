@@ -63,6 +63,8 @@ def test_components_with_hubs_are_dealt_and_equal(spark, monkeypatch):
     edges = [(500, k) for k in range(400, 480)] + [(k, 500) for k in range(501, 560)] + [(700, 401), (700, 3), (900, 901), (None, 4), (5, 5)]
     got = {x.id: x.component_id for x in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 3 for k in [3, 700, *range(400, 480), *range(500, 560)]} | {900: 900, 901: 900}
+    assert components._shape(spark.createDataFrame([(9, 1), (8, 1), (7, 2)], "u long, v long")) == (3, 0, 2)
+    assert components._shape(spark.createDataFrame([(9, 1), (9, 2), (10, 9)], "u long, v long")) == (3, 1, 3)
     low = spark.createDataFrame([(500, 400, 139), (700, 3, 2)], "u long, m long, n long")
     assert [r.u for r in skew.hot_keys(low, ["u"], 200, "n").collect()] == [500]
 
