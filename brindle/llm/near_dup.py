@@ -289,7 +289,8 @@ def rare_groups(members: DataFrame, docs: DataFrame, *, shingle: int, percent: i
 
     keyed = materialize(rows.mapInArrow(split, "bucket long, doc_id long, component_id long"), "prefixes")
     mixed = keyed.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("bucket", "n")
-    return keyed.hint("merge").join(mixed.hint("merge"), "bucket").select("bucket", "doc_id", "component_id", "n")
+    hot = hot_keys(mixed, ["bucket"], keyed.count(), "n")
+    return salted_join(keyed, mixed, ["bucket"], spread=["doc_id"], hot=hot).select("bucket", "doc_id", "component_id", "n")
 
 
 def deal(members: DataFrame) -> DataFrame:
