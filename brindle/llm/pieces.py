@@ -2,15 +2,12 @@
 
 A text becomes words: a run of the space mark with the characters up to the next mark. No piece of the model holds a
 mark behind another character, so no merge crosses words. All distinct new words of a batch lie in one flat symbol
-array. Each round looks up the rank of every neighbouring pair, takes each word's minimum by a segmented reduction,
-merges its leftmost non-overlapping occurrences at once, and compacts the array; words without a pair leave it. A round
-costs the length of the words in it, so words above LONG characters, whose rounds are many, take their pairs from a queue.
+array, whatever their length, and are merged together by brindle.llm.merging.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,14 +16,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.llm.merging import PairTable, merge_words
 from brindle.session import ship_package
 
 MARK = "▁"
-NONE = np.int64(1 << 40)
-#: Words that a worker remembers before it forgets them all.
-MEMO = 400_000
-#: Words above so many characters are merged one pair at a time and not remembered.
-LONG = 256
+#: Words that a worker remembers before it forgets them all, and the characters above which it remembers none.
+MEMO, MEMO_LENGTH = 400_000, 256
 
 
 class PieceCodec:
@@ -70,150 +65,20 @@ class PieceCodec:
                     left.append(a), right.append(b), made.append(i)
                     # a merge that makes way for a better one must be made one at a time
                     unsafe.update(x for x in (a, b) if rank[i] <= rank[x])
-        key = np.array(left, np.int64) * (1 << 20) + np.array(right, np.int64)
-        by = np.argsort(key)
-        self.keys, self.made = key[by], np.array(made, np.int64)[by]
-        # (rank, piece) of each pair, for long words
-        self.pair_of = {(a, b): (rank[i], i) for a, b, i in zip(left, right, made)}
-        self.rank = np.full(n, NONE, np.int64)
-        self.rank[list(rank)] = list(rank.values())
-        self.single = np.zeros(n, bool)
-        self.single[list(unsafe)] = True
-        # an open-addressing table for pair lookups
-        bits = max(4, int(len(key) * 4).bit_length())
-        self.mask = np.uint64((1 << bits) - 1)
-        self.shift = np.uint64(64 - bits)
-        self.slot_key = np.full(1 << bits, -1, np.int64)
-        self.slot_made = np.zeros(1 << bits, np.int64)
-        todo, probe = np.arange(len(self.keys)), 0
-        while len(todo):
-            at = self._slot(self.keys[todo], probe)
-            free = self.slot_key[at] == -1
-            first = np.zeros(len(todo), bool)
-            first[np.unique(at, return_index=True)[1]] = True
-            put = free & first
-            self.slot_key[at[put]], self.slot_made[at[put]] = self.keys[todo[put]], self.made[todo[put]]
-            todo, probe = todo[~put], probe + 1
-        self.probes = probe
+        self.table = PairTable(left, right, made, [rank[i] for i in made], {k for k, i in enumerate(made) if i in unsafe})
         self.memo: dict[str, np.ndarray] = {}
 
-    def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
-        return ((((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift) + np.uint64(probe)) & self.mask).astype(np.int64)
-
-    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The piece that each pair makes, or -1."""
-        key = a * (1 << 20) + b
-        out = np.full(len(key), -1, np.int64)
-        at = self._slot(key, 0)
-        held = self.slot_key[at]
-        hit = held == key
-        out[hit] = self.slot_made[at[hit]]
-        todo = np.flatnonzero(~hit & (held != -1))
-        for probe in range(1, self.probes):
-            if not len(todo):
-                break
-            at = self._slot(key[todo], probe)
-            held = self.slot_key[at]
-            hit = held == key[todo]
-            out[todo[hit]] = self.slot_made[at[hit]]
-            todo = todo[~hit & (held != -1)]
-        return out
-
-    def encode_long(self, word: str) -> np.ndarray:
-        """Ids of one word: of all neighbouring pairs the one of the best rank, the leftmost at a tie, is merged until none is left."""
-        sym: list = [self.id_of.get(c, c) for c in word]
-        n, pair_of = len(sym), self.pair_of
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue: list[tuple[int, int, int, int]] = []
-        for i in range(n - 1):
-            if (made := pair_of.get((sym[i], sym[i + 1]))) is not None:
-                queue.append((made[0], i, i + 1, made[1]))
-        heapq.heapify(queue)
-        alive = [True] * n
-        while queue:
-            _, i, j, made = heapq.heappop(queue)
-            if not (alive[i] and alive[j]) or after[i] != j or pair_of.get((sym[i], sym[j]), (0, -1))[1] != made:
-                continue
-            sym[i], alive[j] = made, False
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (found := pair_of.get((made, sym[k]))) is not None:
-                    heapq.heappush(queue, (found[0], i, k, found[1]))
-            if (h := before[i]) >= 0 and (found := pair_of.get((sym[h], made))) is not None:
-                heapq.heappush(queue, (found[0], h, i, found[1]))
-        out: list[int] = []
-        for s, a in zip(sym, alive):
-            if a:
-                out.extend(self.byte_ids[np.frombuffer(s.encode("utf-8", "replace"), np.uint8)].tolist() if isinstance(s, str) else (s,))
-        return np.array(out, np.int32)
-
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word, whose spaces are marks already."""
         if not words:
             return []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        joined = "".join(words)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         kinds, sym = np.unique(codes, return_inverse=True)
         n = len(self.pieces)
         number = np.array([self.id_of.get(chr(c), n + k) for k, c in enumerate(kinds)], np.int64)
-        sym = number[sym]
-        word = np.repeat(np.arange(len(words)), lengths)
-        ended: list[tuple[np.ndarray, np.ndarray]] = []
-        pair = self._pairs(sym[:-1], sym[1:])
-        pair[word[1:] != word[:-1]] = -1
-        while len(sym):
-            rank = np.where(pair >= 0, self.rank[pair], NONE)
-            rank = np.append(rank, NONE)  # one entry for each symbol: the pair that begins there
-            heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            low = np.minimum.reduceat(rank, heads)
-            size = np.diff(np.append(heads, len(sym)))
-            over = low == NONE
-            if over.any():
-                gone = np.repeat(over, size)
-                ended.append((word[gone], sym[gone]))
-                keep = ~gone
-                sym, word, rank = sym[keep], word[keep], rank[keep]
-                pair = np.append(pair, -1)[keep][:-1]
-                if not len(sym):
-                    break
-                low, size = low[~over], size[~over]
-                heads = np.concatenate(([0], np.cumsum(size)[:-1]))
-            best = rank == np.repeat(low, size)
-            at = np.flatnonzero(best)
-            # of occurrences that overlap in a run, every other one counts from the left
-            start = np.concatenate(([True], at[1:] != at[:-1] + 1))
-            run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - run) % 2 == 0
-            at = at[take]
-            alone = self.single[pair[at]]
-            if alone.any():
-                first = np.concatenate(([True], word[at][1:] != word[at][:-1]))
-                # where a word's pairs at the minimum are not safe together, only the leftmost is merged
-                of = np.cumsum(first) - 1
-                careful = np.zeros(of[-1] + 1, bool)
-                careful[of[alone]] = True
-                at = at[first | ~careful[of]]
-            sym[at] = pair[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            moved = np.zeros(len(sym), bool)
-            moved[at] = True
-            sym, word, moved = sym[keep], word[keep], moved[keep]
-            old = np.append(pair, -1)[keep]
-            fresh = moved.copy()
-            fresh[:-1] |= moved[1:]
-            where = np.flatnonzero(fresh[:-1])
-            old[where] = self._pairs(sym[where], sym[where + 1])
-            old[where[word[where] != word[where + 1]]] = -1
-            pair = old[:-1]
-        owner = np.concatenate([w for w, _ in ended])
-        ids = np.concatenate([s for _, s in ended])
-        by = np.argsort(owner, kind="stable")
-        owner, ids = owner[by], ids[by]
-        strange = ids >= n
-        if strange.any():
+        ids, owner = merge_words(number[sym], np.repeat(np.arange(len(words)), lengths), self.table)
+        if (ids >= n).any():
             ids, owner = self._as_bytes(ids, owner, kinds, n)
         at = np.searchsorted(owner, np.arange(len(words) + 1))
         ids = ids.astype(np.int32)
@@ -221,14 +86,16 @@ class PieceCodec:
 
     def _as_bytes(self, ids: np.ndarray, owner: np.ndarray, kinds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become the pieces of their bytes."""
-        spelled = {int(x): self.byte_ids[np.frombuffer(chr(kinds[x - n]).encode("utf-8", "replace"), np.uint8)] for x in np.unique(ids[ids >= n])}
+        spelled = [self.byte_ids[np.frombuffer(chr(c).encode("utf-8", "replace"), np.uint8)] for c in kinds]
+        size = np.array([len(x) for x in spelled])
+        strange = np.flatnonzero(ids >= n)
+        kind = ids[strange] - n
         count = np.ones(len(ids), np.int64)
-        for x, s in spelled.items():
-            count[ids == x] = len(s)
+        count[strange] = size[kind]
         out, at = np.repeat(ids, count), np.concatenate(([0], np.cumsum(count)[:-1]))
-        for x, s in spelled.items():
-            for k, v in enumerate(s):
-                out[at[ids == x] + k] = v
+        flat, begin = np.concatenate(spelled), np.concatenate(([0], np.cumsum(size)[:-1]))
+        step = np.arange(count[strange].sum()) - np.repeat(np.cumsum(size[kind]) - size[kind], size[kind])
+        out[np.repeat(at[strange], size[kind]) + step] = flat[np.repeat(begin[kind], size[kind]) + step]
         return out, np.repeat(owner, count)
 
     @staticmethod
@@ -255,14 +122,10 @@ class PieceCodec:
         if len(memo) + len(fresh) > MEMO:
             memo.clear()
             fresh = list({w for ws in split for w in ws})
-        short = [w for w in fresh if len(w) <= LONG]
-        for w, ids in zip(short, self.encode_words(short)):
-            memo[w] = ids
+        found = dict(zip(fresh, self.encode_words(fresh)))
+        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_LENGTH)
         end = np.array([self.end], np.int32)
-        if len(short) == len(fresh):
-            return [np.concatenate([*map(memo.__getitem__, ws), end]) for ws in split]
-        long = {w: self.encode_long(w) for w in fresh if len(w) > LONG}
-        return [np.concatenate([*(memo[w] if w in memo else long[w] for w in ws), end]) for ws in split]
+        return [np.concatenate([*((memo[w] if w in memo else found[w]) for w in ws), end]) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control ids are silent, byte pieces are joined and read as UTF-8."""
@@ -282,8 +145,10 @@ def codec(model_file: str) -> PieceCodec:
 def encode_decode(docs: DataFrame, model_file: str, *, keep_ids: bool = False, group: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded with keep_ids) for docs (doc_id, text, ...).
 
-    One row for each input row, in any order; null text is encoded as the empty one, which has the end id alone.
-    model_file must exist on every executor. Other columns are ignored."""
+    One row for each input row, rows that repeat a doc_id or have a null one included, in any order; no rows give none. Null
+    text is encoded as the empty one, which has the end id alone. Texts of any length are encoded whole, and their words in
+    merge rounds of any length; a batch holds its texts' symbols in memory. model_file must exist on every executor.
+    Other columns are ignored."""
     ship_package(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
