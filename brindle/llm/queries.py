@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import bpe, chat, decontaminate, html_main, idstore, language, licences, near_dup, pieces, toxicity, vector_dup
+from brindle.llm import bpe, chat, decontaminate, html_main, idstore, language, licences, near_dup, pieces, resample, sort_means, toxicity, vector_dup
 from brindle.llm.sampling import id_hash
 from brindle.session import scratch
 
@@ -78,11 +78,20 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_automaton_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, file = table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")
     return bpe.encode_decode(docs, file, lexicon=bpe.build_lexicon(docs, file))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample.resample(docs.select("doc_id", "text"), items.select("text"))
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_content_store": op2_content_store,
@@ -94,9 +103,12 @@ QUERIES = {
     "op8_sentencepiece_codec": op8_sentencepiece_codec,
     "op9_licence_scan": op9_licence_scan,
     "op10_html_main_text": op10_html_main_text,
+    "op11_sort_means": op11_sort_means,
     "op12_automaton_bpe_codec": op12_automaton_bpe_codec,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": chat.ORACLE,
     "op6_spaced_seed_decontamination": decontaminate.oracle(),
+    "op11_sort_means": sort_means.oracle(),
 }

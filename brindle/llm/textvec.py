@@ -82,7 +82,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tu
     n, edges = len(raw), np.unique(offsets[(offsets > 0) & (offsets < len(raw))])
     parts, a = [], 0
     while a < n or not parts:
-        b = n if n - a <= 2 * GROUP_BYTES else _gap(raw, a + GROUP_BYTES, apart)
+        b = n if n - a <= 2 * GROUP_BYTES else gap(raw, a + GROUP_BYTES, apart)
         inner = edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, b)] - a
         starts, ends, hashes = _words(raw[a:b], inner, apart)
         parts.append((starts + a, ends + a, hashes))
@@ -91,7 +91,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tu
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
-def _gap(raw: np.ndarray, at: int, apart: np.ndarray, step: int = 1 << 16) -> int:
+def gap(raw: np.ndarray, at: int, apart: np.ndarray, step: int = 1 << 16) -> int:
     """The first place from at on that is no part of a word, or the end."""
     while at < len(raw):
         found = np.flatnonzero(apart[raw[at : at + step]])
