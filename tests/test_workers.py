@@ -29,6 +29,8 @@ PARTS = {
 def test_the_package_reaches_workers_in_another_folder(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     (tmp_path / "run.py").write_text(SCRIPT + "\n".join(PARTS.values()) + "\nprint('done')\n")
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    # only entries that hold the repository go, as the libraries may come from others
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not os.path.isdir(os.path.join(p, "brindle"))]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(paths), "PYSPARK_PYTHON": sys.executable}
     out = subprocess.run([sys.executable, "run.py", root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0 and out.stdout.strip().endswith("done"), out.stderr[-3000:]
