@@ -272,8 +272,9 @@ def fit(texts: list[str] | pa.Array, labels: list[int], *, epochs: int = 10, mos
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> Network:
-    """Train on the whole texts of about per_class labelled rows of each class (the bound).
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, most_chars: int = 48_000_000) -> Network:
+    """Train on the whole texts of about per_class labelled rows of each class, fewer where they hold more than most_chars
+    characters together (the two bounds of what reaches the driver).
 
     docs (doc_id, text, ...), labels (doc_id, toxic, ...): rows with a null id, text or label are left out; a doc_id with
     several labels counts as toxic if one of them is 1, and rows that repeat a doc_id are texts of their own. The sample
@@ -282,6 +283,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> Netwo
     chosen = bounded_sample(ids, "toxic", "doc_id", per_class)
     # at most about two times per_class ids: small enough to broadcast
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total > most_chars:
+        # by a hash, so that about most_chars are kept; a text that alone holds more than a tenth of that is left out
+        share = int((1 << 30) * most_chars / total)
+        rows = rows.where((F.length("text") <= most_chars // 10) & (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) < share))
     found = rows.select("doc_id", F.col("text").cast("string").alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     net = fit(found["text"].combine_chunks().cast(pa.large_string()), found["toxic"].to_pylist())
     del found

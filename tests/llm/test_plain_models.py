@@ -120,3 +120,18 @@ def test_pipeline_stages_on_odd_tables(spark):
     empty = df.where(F.lit(False))
     for stage in (corpus_pipeline.drop_unidentified, corpus_pipeline.drop_near_duplicates, corpus_pipeline.encode):
         assert stage(spark, empty, "").count() == 0
+
+
+def test_training_texts_are_bounded_by_characters(spark, monkeypatch):
+    """Long training texts: fewer of them reach the driver, whole ones; a text beyond a tenth of the bound teaches nothing."""
+    from brindle.llm import toxicity
+
+    texts = [(k, ("bad " if k % 2 else "good ") * 100) for k in range(400)] + [(1000, "bad " * 5000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(t.startswith("bad"))) for k, t in texts], "doc_id long, toxic int")
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda column, y, **how: got.append((column.to_pylist(), y)))
+    toxicity.learn(docs, labels, most_chars=50_000)
+    toxicity.learn(docs, labels)
+    (some, y), (every, _) = got
+    assert 50 < len(some) < 170 and len(set(y)) == 2 and all(t in {x for _, x in texts[:400]} for t in some) and len(every) == 401
