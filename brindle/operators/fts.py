@@ -1,18 +1,33 @@
-"""Full-text search: postings, corpus statistics and BM25 (Robertson & Zaragoza, 2009)."""
+"""Full-text search: postings, corpus statistics and BM25 (Robertson & Zaragoza, 2009).
+
+Stored postings lie in blocks, one for each term and window, a window being some hundred texts of like length. A block
+says the shortest text of each term frequency in it, which tells the most that it can add to a score whatever the
+corpus's statistics become later (Ding & Suel, 2011). A search sums these bounds for each window, scores the most promising
+windows, and then reads only those windows that can still reach the best k.
+"""
 
 from __future__ import annotations
 
+import logging
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brindle.functions.scalars import terms
 
+log = logging.getLogger("brindle.fts")
+
 K1, B = 1.2, 0.75
-#: Columns of stored postings of string ids, and of the statistics beside them.
-POSTINGS, STATISTICS = "id string, term string, tf long, length int", "n long, avg_length double"
+#: Texts of a window, about; windows that are scored first; windows that are named in a filter and not joined, at most.
+WINDOW, SEEDS, NAMED = 256, 16, 1000
+#: Tasks that a term's blocks are dealt over at most.
+SLOTS = 16
+BLOCKS = "term string, window long, n int, tops array<struct<tf int, length int>>, docs array<long>, tfs array<int>, lengths array<int>"
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -64,12 +79,119 @@ def bm25_indexed(postings_: DataFrame, stats: DataFrame, query: str, *, k1: floa
     return _score(tf, document_frequencies(tf), stats, k1, b)
 
 
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
+    """Grows with tf and falls with length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+
+
 def _weight(tf: Column, df: Column, k1: float, b: float) -> Column:
-    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    return _idf(F.col("n"), df) * _saturated(tf, F.col("length"), F.col("avg_length"), k1, b)
 
 
 def _score(tf: DataFrame, df: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
     # one row for each query term, and one row of statistics
     rows = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     return rows.groupBy("id").agg(F.sum(_weight(F.col("tf"), F.col("df"), k1, b)).alias("relevance"))
+
+
+# ---- blocks --------------------------------------------------------------------------------------------------------------
+
+
+def build_blocks(rows: DataFrame, path: str, *, id_: str = "_key", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[int, int]:
+    """Write blocks and the texts' lengths (with the columns to keep for filters) to path, which must be new: (texts, terms in all).
+
+    ids are whole numbers. Null texts count as texts without terms. The blocks of a term, however frequent, are dealt
+    over SLOTS tasks and sorted by term, so that a search for it reads few row groups."""
+    spark = rows.sparkSession
+    length = F.coalesce(F.size(terms(F.col(text))), F.lit(0))
+    rows.select(F.col(id_).alias("doc"), length.alias("length"), *keep).write.parquet(f"{path}/docs")
+    level = F.floor(4 * F.log2(F.col("length") + 1)).cast("int")
+    stored = spark.read.parquet(f"{path}/docs").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).collect()  # 124 levels at most
+    parts = F.create_map(*[F.lit(x) for r in stored for x in (r.level, -(-r.n // WINDOW))]) if stored else F.create_map(F.lit(0), F.lit(1))
+    window = level.cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), parts[level])
+    each = postings(rows, id_, text).withColumn("window", window).withColumn("slot", F.pmod("window", F.lit(SLOTS)))
+    held = F.array_sort(F.collect_list(F.struct(F.col("id").alias("doc"), F.col("tf").cast("int").alias("tf"), "length")))
+    blocks = each.repartition("term", "slot").groupBy("term", "slot", "window").agg(held.alias("x"))
+    shortest = lambda tf: F.array_min(F.transform(F.filter("x", lambda y: y["tf"] == tf), lambda y: y["length"]))
+    tops = F.transform(F.array_distinct("x.tf"), lambda tf: F.struct(tf.alias("tf"), shortest(tf).alias("length")))
+    shown = blocks.select("term", "window", F.size("x").alias("n"), tops.alias("tops"), F.col("x.doc").alias("docs"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths"))
+    shown.sortWithinPartitions("term", "window").write.parquet(f"{path}/blocks")
+    return sum(r.n for r in stored), sum(r.total for r in stored)
+
+
+def open_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(blocks, docs) of a stored index, or None where it is missing or not of its form, which is told from its files' schema alone."""
+    try:
+        blocks, docs = (spark.read.parquet(f"{path}/{x}") for x in ("blocks", "docs"))
+    except (PySparkException, Py4JJavaError) as e:  # nothing but the files' schema is read here
+        log.warning("no text index at %s: %s", path, str(e).splitlines()[0])
+        return None
+    if {"term", "window", "docs", "tfs", "lengths", "tops"} <= set(blocks.columns) and {"doc", "length"} <= set(docs.columns):
+        return blocks, docs
+    log.warning("%s holds no text index", path)
+    return None
+
+
+def search_blocks(
+    parts: list[tuple[int, DataFrame, DataFrame]], loose: DataFrame | None, n: int, average: float, query: str, k: int, *,
+    only: Callable[[DataFrame], DataFrame] | None = None, k1: float = K1, b: float = B,
+) -> tuple[DataFrame | None, int, int]:
+    """((id, relevance), windows read, windows with a term): the k best texts by BM25, and those that equal the last in a millionth.
+
+    parts: (number added to its ids, blocks, docs) of each index. loose: texts (id, text, columns for filters) that no
+    index holds; they are scored whole. n and average are of all of them. only: a filter on docs and on loose, which
+    holds before ranking. None instead of rows where the query has no terms or there is nothing to search."""
+    wanted = query_terms(query)
+    if not wanted or not (parts or loose is not None):
+        return None, 0, 0
+    blocks = None
+    for number, (shift, held, _) in enumerate(parts):
+        one = held.where(F.col("term").isin(wanted)).withColumns({"shift": F.lit(shift), "index": F.lit(number * _APART)})
+        blocks = one if blocks is None else blocks.unionByName(one)
+    tf = None if loose is None else postings(loose).where(F.col("term").isin(wanted))
+    counted = [x for x in (None if blocks is None else blocks.select("term", F.col("n").cast("long").alias("df")), None if tf is None else tf.select("term", F.lit(1).cast("long").alias("df"))) if x is not None]
+    frequency = {r.term: r.df for r in reduce(DataFrame.unionByName, counted).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a row for each term of the query
+    if not frequency:
+        return None, 0, 0
+    idf = F.create_map(*[x for t, df in frequency.items() for x in (F.lit(t), _idf(F.lit(n), F.lit(df)))])[F.col("term")]
+    weight = lambda tf, length: idf * _saturated(tf, length, F.lit(float(average)), k1, b)
+
+    scored = []
+    if tf is not None:
+        own = tf if only is None else tf.join(only(loose).select("id"), "id", "left_semi")
+        scored.append(own.groupBy("id").agg(F.sum(weight(F.col("tf"), F.col("length"))).alias("relevance")))
+    if blocks is None:
+        return scored[0].orderBy(F.desc("relevance"), "id").limit(k), 0, 0
+
+    allowed = None
+    if only is not None:
+        allowed = reduce(DataFrame.unionByName, [only(docs).select((F.col("doc") + F.lit(shift)).alias("id")) for shift, _, docs in parts])
+
+    def score(some: DataFrame) -> DataFrame:
+        each = some.select("term", "shift", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("x")).select("term", (F.col("x.docs") + F.col("shift")).alias("id"), "x.tfs", "x.lengths")
+        each = each if allowed is None else each.join(allowed, "id", "left_semi")
+        return each.groupBy("id").agg(F.sum(weight(F.col("tfs"), F.col("lengths"))).alias("relevance"))
+
+    code = (F.col("index") + F.col("window")).alias("code")
+    most = F.array_max(F.transform("tops", lambda x: weight(x["tf"], x["length"])))
+    bounds = blocks.select(code, most.alias("most")).groupBy("code").agg(F.sum("most").alias("most"))
+    named = lambda codes: blocks.where(F.col("window").isin(sorted({c % _APART for c in codes})) & code.isin(codes))
+    seeds = [r.code for r in bounds.orderBy(F.desc("most"), "code").limit(SEEDS).collect()]
+    best = reduce(DataFrame.unionByName, [*scored, score(named(seeds))]).orderBy(F.desc("relevance")).limit(k).collect()
+    least = best[-1].relevance - 1e-6 if len(best) == k else -1.0
+    able = bounds.where(F.col("most") >= F.lit(least))
+    total, reads = bounds.agg(F.count(F.lit(1)), F.count_if(F.col("most") >= F.lit(least))).first()
+    if reads <= NAMED:
+        some = named([r.code for r in able.select("code").collect()])
+    else:
+        some = blocks.withColumn("code", code).join(able.select("code"), "code", "left_semi").drop("code")
+    whole = reduce(DataFrame.unionByName, [*scored, score(some)])
+    return whole.where(F.col("relevance") >= F.lit(least)), reads, total
+
+
+#: What the windows of several indexes are told apart by; they are below it.
+_APART = 1 << 56

@@ -1,4 +1,10 @@
-"""Inverted-file, product-quantised vector index (Jégou et al., 2011), stored as Parquet partitioned by cell."""
+"""Inverted-file, product-quantised vector index (Jégou et al., 2011) in two levels, stored as Parquet.
+
+Every cell is parted again into small parts. A search tells for each query, from the parts' means, spreads and sizes, how
+many of its nearest rows each part is likely to hold, and reads the best parts until they should hold the wanted share;
+easy queries so read little, and none reads more than nprobes cells' worth of rows. The codes of those parts rank their
+rows, all together for each query, and the best get exact distances from their vectors.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from brindle.session import ship_package
+from brindle.session import materialize, ship_package
 
 THRESHOLD = 256
 #: Rows that the centroids and codebooks are fitted on, at most (about).
 SAMPLE = 50_000
-#: Cells that a search reads, and how many times k rows of each partition's part of a cell get exact distances.
-NPROBES, RERANK = 20, 10
+#: Parts of a cell at most, and the sampled rows of a part at least.
+PARTS, LEAST = 16, 2
+#: Cells whose number of rows a query reads at most, the share of its k nearest that it shall find, and how many times k rows get exact distances.
+NPROBES, TARGET, RERANK = 20, 0.93, 10
 
 
 def sizing(n: int, dim: int) -> tuple[int, int] | None:
@@ -42,23 +50,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _upper_tail(z: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution above z (Abramowitz & Stegun 26.2.17)."""
+    a = np.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    p = np.exp(-a * a / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, p, 1 - p)
+
+
+class Cells:
+    """Unit centroids of cells and of their parts (part p lies in cell owner[p]); vectors go to the nearest part of the nearest cell."""
+
+    def __init__(self, cells: np.ndarray, parts: np.ndarray, owner: np.ndarray):
+        self.cells, self.parts, self.owner = cells, parts, owner
+        self.first = np.searchsorted(owner, np.arange(len(cells) + 1))
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int) -> "Cells":
+        c = _unit(_kmeans(x, cells))
+        at, parts, owner = np.argmax(x @ c.T, axis=1), [], []
+        for j in range(len(c)):
+            own = x[at == j]
+            some = _unit(_kmeans(own, max(1, min(PARTS, len(own) // LEAST)), 8, j)) if len(own) else c[j : j + 1]
+            parts.append(some), owner.append(np.full(len(some), j))
+        return cls(c, np.concatenate(parts), np.concatenate(owner))
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The part of each vector."""
+        at = np.argmax(x @ self.cells.T, axis=1)
+        out = np.zeros(len(x), np.int64)
+        for j in np.unique(at):
+            rows, a, b = np.flatnonzero(at == j), self.first[j], self.first[j + 1]
+            out[rows] = a + np.argmax(x[rows] @ self.parts[a:b].T, axis=1)
+        return out
+
+
 def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector", keep: tuple[str, ...] = (), sample: int = SAMPLE, codes: int = 256) -> bool:
-    """Index every row, with the columns to keep for filters; centroids and codebooks come from a sample of bounded size. False if there are too few rows."""
+    """Index every row with a vector at path, which must be new, with the columns to keep for filters. False if there are too few rows.
+
+    Centroids, means and codebooks come from a sample of bounded size; the parts' sizes are counted over all rows."""
     spark = rows.sparkSession
     ship_package(spark)
-    first = rows.where(F.col(column).isNotNull()).select(F.size(column)).limit(1).collect()
+    rows = rows.where(F.col(column).isNotNull())
+    first = rows.select(F.size(column)).limit(1).collect()
     n = rows.count()
     size = sizing(n, first[0][0]) if first else None
     if size is None:
         return False
     cells, subs = size
     scale = 1 << 30
-    drawn = rows.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(F.lit(3), id_), F.lit(scale)) < int(scale * min(1.0, sample / n)))).select(id_, column).toPandas().sort_values(id_)
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), id_), F.lit(scale)) < int(scale * min(1.0, sample / n))).select(id_, column).toPandas().sort_values(id_)
     x = _unit(np.stack(drawn[column].to_numpy()).astype(np.float32))
-    centroids = _unit(_kmeans(x, cells))
-    cell = np.argmax(x @ centroids.T, axis=1)
+    parted = Cells.fit(x, cells)
+    part = parted.place(x)
+    means = np.stack([x[part == p].mean(axis=0) if (part == p).any() else parted.parts[p] for p in range(len(parted.parts))])
     edges = np.linspace(0, x.shape[1], subs + 1).astype(int)
-    residual = x - centroids[cell]
+    residual = x - parted.parts[part]
     books = [_kmeans(residual[:, a:b], codes) for a, b in zip(edges[:-1], edges[1:])]
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,37 +113,72 @@ def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector"
             if not len(pdf):
                 continue
             v = _unit(np.stack(pdf["v"].to_numpy()).astype(np.float32))
-            at = np.argmax(v @ centroids.T, axis=1)
-            r = v - centroids[at]
+            at = parted.place(v)
+            r = v - parted.parts[at]
             code = np.stack([np.argmin((bk * bk).sum(1)[None] - 2 * r[:, a:b] @ bk.T, axis=1) for bk, a, b in zip(books, edges[:-1], edges[1:])], axis=1)
-            named = {"id": pdf["i"], "vector": pdf["v"], "pq_code": list(code.astype(np.int16)), "ivf_cell": at.astype(np.int32)}
+            named = {"id": pdf["i"], "vector": pdf["v"], "pq_code": list(code.astype(np.int16)), "part": at.astype(np.int32), "ivf_cell": parted.owner[at].astype(np.int32)}
             yield pd.DataFrame(named | {c: pdf[c] for c in keep})
 
-    coded = rows.where(F.col(column).isNotNull()).select(F.col(id_).alias("i"), F.col(column).cast("array<float>").alias("v"), *keep)
+    coded = rows.select(F.col(id_).alias("i"), F.col(column).cast("array<float>").alias("v"), *keep)
     types = {c: rows.schema[c].dataType.simpleString() for c in (id_, *keep)}
-    schema = f"id {types[id_]}, vector array<float>, pq_code array<smallint>, ivf_cell int" + "".join(f", `{c}` {types[c]}" for c in keep)
-    placed = coded.mapInPandas(encode, schema).repartition("ivf_cell", F.pmod(F.xxhash64("id"), F.lit(8)))
-    placed.write.mode("overwrite").partitionBy("ivf_cell").parquet(f"{path}/rows")
-    meta = [("centroids", k, c.tolist()) for k, c in enumerate(centroids)] + [(f"book{j}", k, c.tolist()) for j, bk in enumerate(books) for k, c in enumerate(bk)]
-    spark.createDataFrame(meta, "part string, k int, v array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    schema = f"id {types[id_]}, vector array<float>, pq_code array<smallint>, part int, ivf_cell int" + "".join(f", `{c}` {types[c]}" for c in keep)
+    # a cell is dealt over tasks by its parts, and sorted by them, so that files and row groups hold few parts
+    placed = coded.mapInPandas(encode, schema).repartition("ivf_cell", F.pmod(F.xxhash64("part"), F.lit(8))).sortWithinPartitions("ivf_cell", "part", "id")
+    placed.write.partitionBy("ivf_cell").parquet(f"{path}/rows")
+    # at most 256 * PARTS rows
+    counted = {r.part: r.n for r in spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    meta = [("cells", k, c.tolist()) for k, c in enumerate(parted.cells)]
+    meta += [("parts", k, c.tolist()) for k, c in enumerate(parted.parts)] + [("means", k, c.tolist()) for k, c in enumerate(means)]
+    meta += [("facts", k, [float(j), float(counted.get(k, 0)), float((part == k).sum())]) for k, j in enumerate(parted.owner.tolist())]
+    meta += [(f"book{j}", k, c.tolist()) for j, bk in enumerate(books) for k, c in enumerate(bk)]
+    spark.createDataFrame(meta, "part string, k int, v array<double>").coalesce(1).write.parquet(f"{path}/meta")
     return True
 
 
 class Index:
-    """Centroids and codebooks of a built index: at most 256 + 16 * 256 vectors, whatever the number of rows."""
+    """Centroids, means and codebooks of a built index: at most 256 + 2 * 256 * PARTS + 16 * 256 vectors, whatever the number of rows."""
 
     def __init__(self, spark: SparkSession, path: str):
         meta = spark.read.parquet(f"{path}/meta").toPandas()
         get = lambda part: np.stack(meta[meta["part"] == part].sort_values("k")["v"].to_numpy())
-        self.centroids = get("centroids")
+        owner, self.sizes, seen = get("facts").T
+        self.parted = Cells(get("cells"), get("parts"), owner.astype(np.int64))
+        self.means = get("means")
         self.books = [get(f"book{j}") for j in range(len({p for p in meta["part"] if p.startswith("book")}))]
-        self.edges = np.linspace(0, self.centroids.shape[1], len(self.books) + 1).astype(int)
+        dim = self.means.shape[1]
+        self.edges = np.linspace(0, dim, len(self.books) + 1).astype(int)
+        # rows are of length 1, so what their mean lacks to that is their spread; small samples understate it
+        spread = (1 - (self.means**2).sum(axis=1)) * seen / np.maximum(seen - 1, 1)
+        spread[seen < 2] = np.median(spread[seen >= 2]) if (seen >= 2).any() else 1.0
+        self.deviation = np.sqrt(np.maximum(spread, 1e-3) / dim)
         self.rows = spark.read.parquet(f"{path}/rows")
+        self.n = int(self.sizes.sum())
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """For each sub-vector, (query, code) parts of the dot product."""
         return [q[:, a:b] @ bk.T for bk, a, b in zip(self.books, self.edges[:-1], self.edges[1:])]
 
+    def chosen(self, q: np.ndarray, k: int, nprobes: int = NPROBES, target: float = TARGET) -> np.ndarray:
+        """(query, part): which parts each query reads.
+
+        The likely similarity of its k-th neighbour is where the parts together hold k rows above; parts are read in
+        order of the share of their rows above it until they hold target of those rows, or nprobes cells' worth of rows."""
+        middle, most = q @ self.means.T, nprobes * self.n / len(self.parted.cells)
+        low, high = np.full(len(q), -1.0), np.full(len(q), 1.0)
+        for _ in range(25):
+            at = (low + high) / 2
+            above = (self.sizes * _upper_tail((at[:, None] - middle) / self.deviation)).sum(axis=1) > k
+            low, high = np.where(above, at, low), np.where(above, high, at)
+        share = _upper_tail((low[:, None] - middle) / self.deviation)
+        order = np.argsort(-share, axis=1, kind="stable")
+        held = np.cumsum(np.take_along_axis(share * self.sizes, order, 1), axis=1)
+        read = np.cumsum(self.sizes[order], axis=1)
+        before = np.concatenate((np.zeros((len(q), 1)), held[:, :-1]), axis=1)
+        take = (before < target * held[:, -1:]) & (read <= np.maximum(most, read[:, :1]))
+        out = np.zeros_like(take)
+        np.put_along_axis(out, order, take, 1)
+        return out & (self.sizes > 0)
+
 
 def search(
     spark: SparkSession, path: str, vector: list[float], k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, source: str | None = None, min_time: float | None = None
@@ -109,53 +191,82 @@ def search(
     return found.select("id", F.round("distance", 6).alias("distance")).orderBy("distance", "id")
 
 
-def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, rows: Callable[[DataFrame], DataFrame] = lambda r: r) -> DataFrame:
-    """(query_id, id, distance, rank) for queries (query_id, query_vector), in blocks of bounded size.
+def search_many(
+    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, target: float = TARGET, rows: Callable[[DataFrame], DataFrame] = lambda r: r
+) -> DataFrame:
+    """(query_id, id, distance, rank) for queries (query_id, query_vector), in blocks of bounded size, each ended by a table.
 
-    Each query's nprobes nearest cells are read; in every partition codes rank a cell's rows, the best rerank * k of them
-    get exact distances in double precision, and the k best go on. rows filters the index's rows before that."""
+    Codes rank the rows of the parts that a query reads; of all of them together the best rerank * k get exact distances
+    in double precision, ties by id, so answers do not depend on files or batches. rows filters the index's rows before that."""
     from brindle.operators.search import query_blocks
+    from brindle.operators.store import union
 
     ship_package(spark)
     index = Index(spark, path)
-    found = None
+    found = []
     for qid, q in query_blocks(queries):
-        one = _search_block(index, rows(index.rows), qid, q, k, nprobes, rerank)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+        one = _search_block(index, rows(index.rows), qid, q, k, nprobes, rerank, target)
+        found = [*(materialize(x, "ann-block") if not hasattr(x, "_brindle_path") else x for x in found), one]
+    if not found:
         return index.rows.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where(F.lit(False))
-    return found
+    return union(found)
 
 
-def _search_block(index: Index, rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, nprobes: int, rerank: int) -> DataFrame:
-    near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :nprobes]
-    asks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-    tables, base, top = index.tables(q), q @ index.centroids.T, rerank * k
-    id_type = rows.schema["id"].dataType.simpleString()
+def _search_block(index: Index, rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, nprobes: int, rerank: int, target: float) -> DataFrame:
+    chosen = index.chosen(q, k, nprobes, target)
+    asked = np.flatnonzero(chosen.any(axis=0))
+    top, id_type = rerank * k, rows.schema["id"].dataType.simpleString()
+    # tables of at most QUERY_BLOCK queries
+    held = rows.sparkSession.sparkContext.broadcast((chosen, index.tables(q), q @ index.parted.parts.T, qid, q))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chosen, tables, base, qid, _ = held.value
         for pdf in frames:
-            for cell, own in pdf.groupby("ivf_cell"):
-                who, codes = asks.get(int(cell), np.zeros(0, np.int64)), np.stack(own["pq_code"].to_numpy())
+            for part, own in pdf.groupby("part"):
+                who, codes = np.flatnonzero(chosen[:, int(part)]), np.stack(own["pq_code"].to_numpy())
                 if not len(who):
                     continue
-                approx = base[who, cell][:, None] + sum(t[who][:, codes[:, j]] for j, t in enumerate(tables))
-                few = min(top, approx.shape[1])
-                best = np.argpartition(-approx, few - 1, axis=1)[:, :few]
-                x = np.stack(own["vector"].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(x, axis=1)
-                x /= np.where(norms > 0, norms, 1)[:, None]
+                approx = base[who, part][:, None] + sum(t[who][:, codes[:, j]] for j, t in enumerate(tables))
                 ids = own["id"].to_numpy()
                 for j, w in enumerate(who):
-                    at = best[j][norms[best[j]] > 0]
-                    d = 1 - x[at] @ q[w]
-                    order = np.lexsort((ids[at], d))[:k]
-                    yield pd.DataFrame({"query_id": np.full(len(order), qid[w]), "id": ids[at[order]], "distance": d[order]})
+                    at = np.lexsort((ids, -approx[j]))[:top]
+                    yield pd.DataFrame({"query_id": np.full(len(at), qid[w]), "id": ids[at], "approx": approx[j][at], "part": np.full(len(at), part, np.int32)})
+
+    # parts that no query asks for are not read, nor are vectors here
+    cells = sorted({int(index.parted.owner[p]) for p in asked})
+    within = rows.where(F.col("ivf_cell").isin(cells) & F.col("part").isin([int(p) for p in asked]))
+    near = within.select("id", "pq_code", "part").mapInPandas(by_codes, f"query_id long, id {id_type}, approx double, part int")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "id"))
+    few = near.withColumn("_place", best).where(F.col("_place") <= top).select("query_id", "id", "part")
+    # at most rerank * k rows for each of QUERY_BLOCK queries
+    with_vectors = within.select("id", "part", "vector").join(F.broadcast(few), ["id", "part"])
+
+    def exactly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        *_, qid, q = held.value
+        place = pd.Series(np.arange(len(qid)), index=qid)
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+            norms, own = np.linalg.norm(x, axis=1), q[place[pdf["query_id"]].to_numpy()]
+            d = 1 - np.einsum("ij,ij->i", x, own) / np.where(norms > 0, norms, 1)
+            keep = (norms > 0) & (own != 0).any(axis=1)
+            yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "distance": d})[keep]
 
-    # cells that no query asks for are not read
-    asked = rows.where(F.col("ivf_cell").isin(sorted(asks))).select("id", "vector", "pq_code", "ivf_cell")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return asked.mapInPandas(run, f"query_id long, id {id_type}, distance double").withColumn("rank", rank).where(F.col("rank") <= k)
+    exact = with_vectors.select("query_id", "id", "vector").mapInPandas(exactly, f"query_id long, id {id_type}, distance double")
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def read_share(spark: SparkSession, path: str, queries: DataFrame, k: int, *, nprobes: int = NPROBES, target: float = TARGET) -> float:
+    """The mean share of an index's rows in the parts that a query reads."""
+    from brindle.operators.search import query_blocks
+
+    index, total, n = Index(spark, path), 0.0, 0
+    for qid, q in query_blocks(queries):
+        total += float((index.chosen(q, k, nprobes, target) @ index.sizes).sum())
+        n += len(qid)
+    return total / (n * index.n) if n else 0.0
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
 
 import numpy as np
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brindle.functions.scalars import cosine_distance
 from brindle.operators.fts import bm25
 from brindle.session import materialize, ship_package
 
-log = logging.getLogger("brindle.search")
 RRF_K, CANDIDATES = 60, 50
 
 
@@ -35,8 +31,8 @@ def knn(rows: DataFrame, vector: list[float], k: int = 5, *, column: str = "vect
     return with_distance.orderBy(F.asc_nulls_last("distance"), id_).limit(k)
 
 
-#: Queries that are laid against all rows in one pass.
-QUERY_BLOCK = 2048
+#: Queries that are laid against all rows in one pass, and rows that they meet at a time.
+QUERY_BLOCK, STRIP = 2048, 1024
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,17 +66,28 @@ def _knn_block(ids: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFr
 
     def run(frames):
         qid, q = held.value
+        asked = (q != 0).any(axis=1)
+
+        def nearest(d, i):
+            """The k least of each row, ties by id; all that equal the k-th are looked at."""
+            if d.shape[1] > k:
+                last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                most = int((d <= last).sum(axis=1).max())
+                few = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.broadcast_to(np.arange(most), (len(d), most))
+                d, i = np.take_along_axis(d, few, 1), np.take_along_axis(i, few, 1)
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
         best_d, best_i = np.full((len(qid), 0), np.inf), np.zeros((len(qid), 0), np.int64)
         for pdf in frames:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(x, axis=1)
-            d = np.where((norms > 0) & (q != 0).any(axis=1)[:, None], 1 - (q @ x.T) / np.where(norms > 0, norms, 1), np.inf)
-            best_d = np.concatenate((best_d, d), axis=1)
-            best_i = np.concatenate((best_i, np.broadcast_to(pdf["i"].to_numpy(np.int64), d.shape)), axis=1)
-            order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+            every, ids = np.stack(pdf["v"].to_numpy()), pdf["i"].to_numpy(np.int64)
+            for a in range(0, len(ids), STRIP):
+                x = every[a : a + STRIP].astype(np.float64)
+                norms = np.linalg.norm(x, axis=1)
+                d = np.where((norms > 0) & asked[:, None], 1 - (q @ x.T) / np.where(norms > 0, norms, 1), np.inf)
+                best_d, best_i = nearest(np.concatenate((best_d, d), axis=1), np.concatenate((best_i, np.broadcast_to(ids[a : a + STRIP], d.shape)), axis=1))
         n = best_d.shape[1]
         out = pd.DataFrame({"query_id": np.repeat(qid, n), "id": best_i.ravel(), "distance": best_d.ravel()})
         yield out[np.isfinite(out["distance"])]
@@ -115,22 +122,10 @@ def hybrid(
     return fuse(near, words, k, rrf_k)
 
 
-def search(rows: DataFrame, query: str, vector: list[float], k: int = 5, *, lexical: DataFrame | None = None, nearest: DataFrame | None = None, **how) -> DataFrame:
-    """hybrid(), or vectors alone where the text index can't be read.
-
-    The text candidates, a bounded list, are fetched here, so that what goes wrong with them shows here; errors of any
-    other kind than a missing or unreadable index are raised."""
+def search(rows: DataFrame, query: str, vector: list[float], k: int = 5, *, lexical: DataFrame | None = None, nearest: DataFrame | None = None, texts: bool = True, **how) -> DataFrame:
+    """hybrid(), or vectors alone without ``texts``, for when the text index can't be opened. Errors of either are raised."""
+    if texts:
+        return hybrid(rows, query, vector, k, lexical=lexical, nearest=nearest, **how)
     id_, column = how.get("id_", "id"), how.get("column", "vector")
-    spark, most = rows.sparkSession, how.get("candidates", CANDIDATES)
-    words = bm25(rows, query, id_=id_, text=how.get("text", "text")) if lexical is None else lexical
-    try:
-        top = words.select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(most).collect()
-    except (PySparkException, Py4JJavaError) as e:  # the latter where a task fails on the index's files
-        if lexical is None:
-            raise
-        log.warning("no text search, vectors only: %s", str(e).splitlines()[0])
-        near = (knn(rows, vector, k, column=column, id_=id_).select(F.col(id_).alias("id"), "distance") if nearest is None else nearest.orderBy("distance", "id").limit(k))
-        return near.select("id", F.round("distance", 6).alias("distance"), F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("double").alias("fused"))
-    id_type = rows.schema[id_].dataType.simpleString()
-    held = spark.createDataFrame([tuple(r) for r in top], f"id {id_type}, relevance double")
-    return hybrid(rows, query, vector, k, lexical=held, nearest=nearest, **how)
+    near = knn(rows, vector, k, column=column, id_=id_).select(F.col(id_).alias("id"), "distance") if nearest is None else nearest.orderBy("distance", "id").limit(k)
+    return near.select("id", F.round("distance", 6).alias("distance"), F.lit(None).cast("double").alias("relevance"), F.lit(None).cast("double").alias("fused"))

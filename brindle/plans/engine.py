@@ -1,4 +1,4 @@
-"""The two lifecycles: ingest (read, chunk, drop what is known, embed, append, index) and search."""
+"""The two lifecycles: ingest (read, chunk, drop what is known, embed, append, index what is new) and search."""
 
 from __future__ import annotations
 
@@ -7,14 +7,12 @@ import os
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.functions.embedding import Embedder, embed_passages, embed_query, hashing_embedder
-from brindle.operators import chunking, fts, ivfpq, records, store
-from brindle.operators.search import CANDIDATES, prefilter, search as retrieve
+from brindle.operators import chunking, records, store
+from brindle.plans.collection import Collection
 from brindle.plans.config import Engine, Settings
-from brindle.session import discard, materialize, remove
 from brindle.sources import files
 from brindle.sources.duckfile import read_duckfile
 from brindle.sources.http_api import read_http
@@ -30,6 +28,7 @@ class RetrievalEngine:
         self.key = (spec.model_name, dim, tokens)
         self.root = f"{self.settings.db_path.rstrip('/')}/{spec.table_name}"
         self.vault = store.Vault(spark, f"{self.root}/vault", spec.mapper_type, dim)
+        self.collection = Collection(self.vault, self.settings.nprobes)
 
     def chunks(self, path: str, query: str | None = None, run_ts: datetime | None = None) -> DataFrame:
         """Chunks of a directory, glob, file or URL, by the engine's chunker."""
@@ -63,64 +62,23 @@ class RetrievalEngine:
             return records.from_log_records(records.parse_json_arrays(docs).drop("filepath"), now)
         return chunking.chunk_documents(docs, options.get("max_chars", chunking.MAX_CHARS))
 
-    def ingest(self, path: str, *, rebuild: bool = False, query: str | None = None, distinct: bool = False) -> int:
-        """Rows added. What the vault holds is told by content hash from a snapshot at the start; repeats within a run stay unless distinct."""
+    def ingest(self, path: str, *, rebuild: bool = False, query: str | None = None, distinct: bool = False, ingest_id: str | None = None) -> int:
+        """Rows added. What the vault holds is told by content hash from a snapshot at the start; repeats within a run stay unless distinct.
+
+        Rows of an ingest come in together or not at all; one that is repeated under its ingest_id adds nothing."""
         if rebuild:
             self.vault.clear()
-            for name in ("ivfpq", "postings", "statistics"):
-                remove(self.spark, f"{self.root}/{name}")
-        chunks = self.chunks(path, query)
+        return self.add(self.chunks(path, query), distinct=distinct, ingest_id=ingest_id)
+
+    def add(self, chunks: DataFrame, *, distinct: bool = False, ingest_id: str | None = None) -> int:
+        """Rows added of chunks, such as a micro-batch under its number as ingest_id."""
         if distinct:
             chunks = chunks.dropDuplicates(["content_hash", "id"])
         # the anti-join stands below the embedder: only new chunks are embedded
-        fresh = self.vault.unseen(chunks)
-        ready = materialize(self.vault.shape(embed_passages(fresh, self.make, self.key, self.spec.vector_dimension, prefix=self.spec.passage_prefix, batch=self.settings.batch_size), self.spec.workflow), "ingest")
-        added = ready.count()
-        if added:
-            ready.write.mode("append").parquet(self.vault._data())
-            self.vault.compact()
-            self.index()
-        discard(ready)
-        return added
-
-    def index(self) -> None:
-        """Vector index over enough rows, postings and statistics; a failure of either is logged, and search does without."""
-        rows = self._keyed()
-        filters = tuple(c for c in ("source", "execution_time_ms") if c in rows.columns)
-        for name, make in (("vectors", lambda: ivfpq.build(rows, f"{self.root}/ivfpq", id_="_key", keep=filters)), ("text", lambda: self._index_text(rows))):
-            try:
-                make()
-            except PySparkException as e:
-                log.warning("no index over %s: %s", name, e)
-
-    def _index_text(self, rows: DataFrame) -> None:
-        fts.postings(rows, "_key").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.root}/postings")
-        fts.statistics(rows).write.mode("overwrite").parquet(f"{self.root}/statistics")
-
-    def _keyed(self) -> DataFrame:
-        """The vault with _key: ids may repeat in it, and a row is told by id and content."""
-        return self.vault.read().withColumn("_key", F.concat_ws("\x1f", "id", "content_hash"))
-
-    def _has(self, name: str) -> bool:
-        return self.vault._exists(f"{self.root}/{name}/_SUCCESS")
+        ready = embed_passages(self.vault.unseen(chunks), self.make, self.key, self.spec.vector_dimension, prefix=self.spec.passage_prefix, batch=self.settings.batch_size)
+        return self.collection.add(ready, self.spec.workflow, ingest=ingest_id)
 
     def search(self, query: str, k: int = 5, *, source: str | None = None, min_time: float | None = None) -> list[dict]:
-        """At most k rows as dictionaries: the vault's columns but the vector, with score, distance and is_fts_match.
-
-        Vectors come from the index where there is one, text hits from the stored postings; filters hold before ranking."""
+        """At most k rows as dictionaries: the vault's columns but the vector, with score, distance and is_fts_match."""
         vector = embed_query(self.make(), query, self.spec.vector_dimension, self.spec.query_prefix)
-        low = min_time if self.spec.mapper_type == "sql" else None
-        keyed = prefilter(self._keyed(), source, low)
-        nearest = lexical = None
-        if self._has("ivfpq/rows"):
-            nearest = ivfpq.search(self.spark, f"{self.root}/ivfpq", vector, CANDIDATES, nprobes=self.settings.nprobes, source=source, min_time=low)
-        if self._has("postings"):
-            stored = [self.spark.read.schema(schema).parquet(f"{self.root}/{x}") for x, schema in (("postings", fts.POSTINGS), ("statistics", fts.STATISTICS))]
-            lexical = fts.bm25_indexed(*stored, query)
-            if source or low is not None:
-                lexical = lexical.join(keyed.select(F.col("_key").alias("id")), "id", "left_semi")
-        found = retrieve(keyed, query, vector, k, id_="_key", lexical=lexical, nearest=nearest)
-        # at most k rows
-        joined = keyed.join(F.broadcast(found.withColumnRenamed("id", "_key")), "_key").dropDuplicates(["_key"])
-        ordered = store.results(joined.drop("vector")).orderBy(F.desc_nulls_last("fused"), F.asc_nulls_last("distance"), "_key").drop("_key")
-        return [r.asDict(recursive=True) for r in ordered.limit(k).collect()]
+        return self.collection.search(query, vector, k, source=source, min_time=min_time if self.spec.mapper_type == "sql" else None)

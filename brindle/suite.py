@@ -258,7 +258,7 @@ def fts_index_bm25(spark, sf_dir):
     """The same from stored postings and statistics."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     path = scratch(spark, "fts")
-    fts.postings(docs).repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    fts.postings(docs).repartition("term", F.pmod(F.xxhash64("id"), F.lit(fts.SLOTS))).sortWithinPartitions("term").write.parquet(f"{path}/postings")
     fts.statistics(docs).write.parquet(f"{path}/statistics")
     out = fts.bm25_indexed(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics"), QUERY)
     return out.select("id", F.round("relevance", 6).alias("relevance"))
@@ -286,9 +286,19 @@ def hybrid_result_shape(spark, sf_dir):
 def vector_fallback(spark, sf_dir):
     """A search whose text index is damaged: vectors alone answer."""
     path = scratch(spark, "damaged")
-    spark.createDataFrame([("no postings",)], "value string").write.text(path)
-    damaged = spark.read.schema("id long, relevance double").parquet(path)
-    return retrieval.search(vault_rows(spark, sf_dir), QUERY, query_vector(spark, sf_dir), TOP, lexical=damaged).select("id", "distance", "relevance")
+    for part in ("blocks", "docs"):
+        spark.createDataFrame([("no postings",)], "value string").write.text(f"{path}/{part}")
+    usable = fts.open_blocks(spark, path) is not None
+    return retrieval.search(vault_rows(spark, sf_dir), QUERY, query_vector(spark, sf_dir), TOP, texts=usable).select("id", "distance", "relevance")
+
+
+def fts_block_max(spark, sf_dir):
+    """The 50 best texts from stored blocks, of which those that can't reach them are left unread."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = scratch(spark, "blocks")
+    n, total = fts.build_blocks(docs, path, id_="id")
+    found, _, _ = fts.search_blocks([(0, *fts.open_blocks(spark, path))], None, n, total / n, QUERY, retrieval.CANDIDATES)
+    return found.select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(retrieval.CANDIDATES)
 
 
 def _hybrid_sql(select: str) -> str:
@@ -300,8 +310,12 @@ SELECT {select} FROM f"""
 
 
 def result_report(spark, sf_dir):
-    rows = knn_cosine(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    return rows.select("id", F.format_string("%.4f", "distance").alias("shown"), F.translate(F.substring("text", 1, 100), "\n", " ").alias("snippet"))
+    """The lines that the command line prints for the nearest rows; no more than TOP of them."""
+    from brindle.edge.report import lines
+
+    rows = knn_cosine(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("content_hash", content_hash(F.col("text")))
+    found = [r.asDict() for r in rows.orderBy("distance", "id").collect()]
+    return spark.createDataFrame(list(enumerate(lines(found))), "line long, shown string")
 
 
 def index_sizing(spark, sf_dir):
@@ -316,16 +330,13 @@ def _vector_queries(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir, k: int):
-    """The k neighbours of every query from an index over all vectors, or exact ones where there are too few for an index."""
+    """(found, exact, share of rows read): the k neighbours of every query from an index over all vectors with the engine's own settings; exact ones where there are too few for an index."""
     path = scratch(spark, "ivfpq")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = _vector_queries(spark, sf_dir)
-    found = ivfpq.search_many(spark, path, queries, k, nprobes=PROBES) if ivfpq.build(rows, path) else retrieval.knn_many(rows, queries, k)
-    return found, retrieval.knn_many(rows, queries, k)
-
-
-#: Cells that the registered index searches read; their recall is measured by ivf_pq_recall.
-PROBES = 32
+    queries, exact = _vector_queries(spark, sf_dir), retrieval.knn_many(rows, _vector_queries(spark, sf_dir), k)
+    if not ivfpq.build(rows, path):
+        return exact, exact, 0.0
+    return ivfpq.search_many(spark, path, queries, k), exact, ivfpq.read_share(spark, path, queries, k)
 
 
 def ivf_pq_search(spark, sf_dir):
@@ -333,9 +344,9 @@ def ivf_pq_search(spark, sf_dir):
 
 
 def ivf_pq_recall(spark, sf_dir):
-    """Whether the index finds nine tenths of the exact neighbours of all queries."""
-    found, exact = _indexed(spark, sf_dir, TOP)
-    return ivfpq.recall(found, exact).select("n_wanted", (F.col("recall") >= 0.9).alias("enough"))
+    """Whether the index finds nine tenths of the exact neighbours of all queries, and reads a third of its rows at most."""
+    found, exact, share = _indexed(spark, sf_dir, TOP)
+    return ivfpq.recall(found, exact).select("n_wanted", (F.col("recall") >= 0.9).alias("enough"), F.lit(share <= 1 / 3).alias("few_read"))
 
 
 def duckdb_file_scan(spark, sf_dir):
@@ -418,6 +429,34 @@ def vault_round_trip(spark, sf_dir):
     return shown.select("id", "source", "content_hash", "workflow", "width", "first", F.length("text").cast("long").alias("n_chars"), "node_type")
 
 
+def _three_ingests(spark: SparkSession, sf_dir: str):
+    """Documents and vectors in a vault by three ingests under their own keys, the second of which is ended before its manifest and repeated, and the third repeated after it."""
+    from brindle.plans.collection import Collection
+
+    vault = store.Vault(spark, scratch(spark, "vault"), "sql", 64)
+    held = Collection(vault)
+    rows = vault_rows(spark, sf_dir).where("text is not null").withColumns({"content_hash": content_hash(F.col("text")), "n": F.col("id"), "id": F.col("id").cast("string")})
+    for k in range(3):
+        part = rows.where(F.col("n") % 3 == k).drop("n")
+        if k == 1:
+            vault._stage(vault.shape(part, "w"))  # an ingest that ended here
+        for _ in range(2 if k else 1):
+            held.add(part, "w", ingest=f"ingest-{k}")
+    return held
+
+
+def repeated_ingests(spark, sf_dir):
+    """The rows of a vault whose ingests were broken off and repeated."""
+    return _three_ingests(spark, sf_dir).vault.read().select("id", "source", "content_hash", "execution_time_ms")
+
+
+def segment_search(spark, sf_dir):
+    """Words and vectors over three segments, each with its own indexes, and the rows fetched from the files that hold them."""
+    held = _three_ingests(spark, sf_dir)
+    found = held.search(QUERY, query_vector(spark, sf_dir), TOP)
+    return spark.createDataFrame([(int(r["id"]), r["distance"], r["source"], r["content_hash"], r["is_fts_match"]) for r in found], "id long, distance double, source string, content_hash string, is_fts_match boolean")
+
+
 def vault_clear(spark, sf_dir):
     """What a vault holds before and after it is cleared and filled again with other rows."""
     vault = _document_vault(spark, sf_dir)
@@ -470,8 +509,8 @@ QUERIES = {
     for f in (
         slow_log_rollup, slow_log_rollup_by_batch, slow_log_keyset_page, slow_log_window_rollup, sql_record_projection, json_array_records, required_fields, content_hashes, distinct_hashes, dedup_anti_join,
         text_chunks, text_chunks_noise_filtered, markdown_chunks, embed_documents, knn_cosine, knn_source_filter, knn_min_time_filter, knn_both_filters, knn_batch, fts_bm25, fts_index_bm25, fts_stats,
-        hybrid_rrf, hybrid_result_shape, vector_fallback, result_report, index_sizing, ivf_pq_search, ivf_pq_recall, duckdb_file_scan,
-        file_scan, ingest_twice, vault_round_trip, vault_clear, vault_hashes, vault_unseen, sql_vault_round_trip, embed_with_prefix,
+        fts_block_max, hybrid_rrf, hybrid_result_shape, vector_fallback, result_report, index_sizing, ivf_pq_search, ivf_pq_recall, duckdb_file_scan,
+        file_scan, ingest_twice, vault_round_trip, vault_clear, repeated_ingests, segment_search, vault_hashes, vault_unseen, sql_vault_round_trip, embed_with_prefix,
     )
 }
 _DOCS = "corpus AS (SELECT doc_id AS id, text FROM documents)"
@@ -496,12 +535,17 @@ ORACLES = {
     "knn_batch": "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5",
     "fts_bm25": f"WITH {_DOCS}, {_BM25} SELECT id, relevance FROM bm",
     "fts_index_bm25": f"WITH {_DOCS}, {_BM25} SELECT id, relevance FROM bm",
+    "fts_block_max": f"WITH {_DOCS}, {_BM25} SELECT id, relevance FROM bm ORDER BY relevance DESC, id LIMIT 50",
+    "repeated_ingests": f"WITH {_VAULT} SELECT id::VARCHAR AS id, source, left(sha256(text), 16) AS content_hash, execution_time_ms FROM vault WHERE text IS NOT NULL",
+    "segment_search": _hybrid_sql("id, distance, (SELECT source FROM vault v WHERE v.id = f.id) AS source, (SELECT left(sha256(text), 16) FROM vault v WHERE v.id = f.id) AS content_hash, distance IS NULL AS is_fts_match"),
     "fts_stats": f"WITH {_DOCS}, tok AS (SELECT DISTINCT id, unnest({_TERMS}) AS term FROM corpus), st AS (SELECT count(*) AS n, round(avg(coalesce(len({_TERMS}), 0)), 6) AS avg_length FROM corpus) SELECT term, count(*) AS df, any_value(n) AS n, any_value(avg_length) AS avg_length FROM tok, st GROUP BY term",
     "hybrid_rrf": _hybrid_sql("id, distance, relevance, fused"),
     "hybrid_result_shape": _hybrid_sql("id, distance AS score, distance, distance IS NULL AS is_fts_match"),
     "vector_fallback": f"WITH {_VAULT} SELECT id, round(list_cosine_distance(v, {_Q}), 6) AS distance, NULL::DOUBLE AS relevance FROM vault ORDER BY list_cosine_distance(v, {_Q}), id LIMIT {TOP}",
-    "result_report": f"WITH {_VAULT}, k AS (SELECT id, round(list_cosine_distance(v, {_Q}), 6) AS d, text FROM vault ORDER BY list_cosine_distance(v, {_Q}), id LIMIT {TOP}) SELECT id, printf('%.4f', d) AS shown, replace(left(text, 100), chr(10), ' ') AS snippet FROM k",
-    "ivf_pq_recall": "SELECT sum(least(10, n))::BIGINT AS n_wanted, TRUE AS enough FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 20 = 0",
+    "result_report": f"""WITH {_VAULT}, k AS (SELECT row_number() OVER (ORDER BY round(list_cosine_distance(v, {_Q}), 6), id) AS n, * FROM (SELECT id, round(list_cosine_distance(v, {_Q}), 6) AS d, text, source, v FROM vault ORDER BY list_cosine_distance(v, {_Q}), id LIMIT {TOP}))
+SELECT 0::BIGINT AS line, 'Top Results:' AS shown UNION ALL SELECT 2 * n - 1, '[Score/Dist: ' || printf('%.4f', d) || ' | Source: ' || source || ' | Hash: ' || left(sha256(text), 16) || ']' FROM k
+UNION ALL SELECT 2 * n, '  --> "' || replace(left(text, 100), chr(10), ' ') || '..."' FROM k""",
+    "ivf_pq_recall": "SELECT sum(least(10, n))::BIGINT AS n_wanted, TRUE AS enough, TRUE AS few_read FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 20 = 0",
     "file_scan": f"""WITH d AS (SELECT 'conv' || conv_id AS name, string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS content FROM conversations GROUP BY conv_id)
 SELECT name, left(sha256(content), 16) AS content_hash, length(content) AS n_chars FROM d""",
     "ingest_twice": f"SELECT count(*) AS first, 0::BIGINT AS second, count(*) AS held FROM ({_chunk_sql(1000, 5)})",

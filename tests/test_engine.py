@@ -233,15 +233,16 @@ def test_search_reads_the_indexes(spark, tmp_path):
     for k in range(300):
         (tmp_path / "in" / f"f{k}.txt").write_text(f"topic{k % 30} words{k} common filler text")
     e = RetrievalEngine(spark, Engine(table_name="v", vector_dimension=32), Settings(db_path=str(tmp_path / "db")))
-    assert e.ingest(str(tmp_path / "in")) == 300 and e._has("ivfpq/rows") and e._has("postings")
+    assert e.ingest(str(tmp_path / "in")) == 300
+    (segment,) = e.vault.state()["segments"]
+    assert segment["vectors"] and segment["words"] and segment["texts"] == 300
     found = e.search("words77", 3)
     assert found[0]["source"].endswith("f77.txt")
     own = found[0]["source"].replace("f77.txt", "f5.txt")
     assert [r["source"] for r in e.search("words77 topic5", 5, source=own)] == [own]
-    for f in (tmp_path / "db" / "v" / "postings").glob("*.parquet"):
+    for f in (tmp_path / "db" / "v" / "vault" / "index" / segment["words"]).rglob("*.parquet"):
         f.write_text("damaged")
-    for f in (tmp_path / "db" / "v" / "postings").glob(".*.crc"):
-        f.unlink()
+        f.with_name(f".{f.name}.crc").unlink()
     assert e.search("words77", 3) and all(r["distance"] is not None for r in e.search("words77", 3))
     assert e.ingest(str(tmp_path / "in"), rebuild=True) == 300 and e.search("words77", 1)[0]["source"].endswith("f77.txt")
     shutil.rmtree(tmp_path / "db")
