@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.functions.embedding import embed_passages, hashing_embedder
 from brindle.functions.scalars import content_hash
-from brindle.operators import chunking, fts, ivfpq, records, rollup, store
+from brindle.operators import chunking, fts, ivfpq, records, rollup, rollup_state, store
 from brindle.operators import search as retrieval
 from brindle.session import materialize, scratch
 
@@ -73,6 +73,52 @@ def slow_log_window_rollup(spark, sf_dir):
     return out.withColumns({"execution_time_ms": F.round("execution_time_ms", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
+def _kept_partials(spark, sf_dir):
+    """Partials of the log folded in by parts in an order of their own, one of them twice under its key, and merged once between."""
+    state = rollup_state.RollupState(spark, scratch(spark, "partials"), "id")
+    logs = slow_logs(spark, sf_dir)
+    for k in (3, 1, 3, 0, 2):
+        state.add(logs.where(F.col("id") % 4 == k), ingest=f"part-{k}")
+        if k == 0:
+            state.compact()
+    return state
+
+
+def rollup_from_partials(spark, sf_dir):
+    return _readable(_kept_partials(spark, sf_dir).rollup(F.lit(AS_OF).cast("date")))
+
+
+def rollup_from_partials_by_batch(spark, sf_dir):
+    return _readable(_kept_partials(spark, sf_dir).rollup(F.lit(AS_OF).cast("date"), batch_id="b1"))
+
+
+def rollup_stream(spark, sf_dir):
+    """The log as a stream of files, old days behind new ones, folded into partials by micro-batches of two files."""
+    folder = scratch(spark, "log-files")
+    logs = slow_logs(spark, sf_dir)
+    logs.repartition(6, "id").write.parquet(folder)
+    state = rollup_state.RollupState(spark, scratch(spark, "partials"), "id")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    state.follow(stream, scratch(spark, "stream"), once=True).awaitTermination()
+    return _readable(state.rollup(F.lit(AS_OF).cast("date")))
+
+
+def slow_log_pages(spark, sf_dir):
+    """All pages of the whole rollup, each sought by the cursor of the one before, from files in their order."""
+    path = scratch(spark, "pages")
+    whole = _rolled(spark, sf_dir, cap=None)
+    rollup_state.store_pages(whole, path, rows_per_file=20)
+    out, cursor, number = None, None, 0
+    while number == 0 or cursor is not None:
+        page, cursor = rollup_state.seek_page(spark, path, PAGE, cursor)
+        page = page.select(F.lit(number).alias("page"), "id", "execution_time_ms", "calls")
+        out, number = page if out is None else out.unionByName(page), number + 1
+    return out
+
+
+PAGE = 15
+
+
 # ---- records -----------------------------------------------------------------------------------------------------------
 
 
@@ -507,7 +553,7 @@ def embed_with_prefix(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        slow_log_rollup, slow_log_rollup_by_batch, slow_log_keyset_page, slow_log_window_rollup, sql_record_projection, json_array_records, required_fields, content_hashes, distinct_hashes, dedup_anti_join,
+        slow_log_rollup, slow_log_rollup_by_batch, slow_log_keyset_page, rollup_from_partials, rollup_from_partials_by_batch, rollup_stream, slow_log_pages, slow_log_window_rollup, sql_record_projection, json_array_records, required_fields, content_hashes, distinct_hashes, dedup_anti_join,
         text_chunks, text_chunks_noise_filtered, markdown_chunks, embed_documents, knn_cosine, knn_source_filter, knn_min_time_filter, knn_both_filters, knn_batch, fts_bm25, fts_index_bm25, fts_stats,
         fts_block_max, hybrid_rrf, hybrid_result_shape, vector_fallback, result_report, index_sizing, ivf_pq_search, ivf_pq_recall, duckdb_file_scan,
         file_scan, ingest_twice, vault_round_trip, vault_clear, repeated_ingests, segment_search, vault_hashes, vault_unseen, sql_vault_round_trip, embed_with_prefix,
@@ -519,6 +565,10 @@ ORACLES = {
     "duckdb_file_scan": _rollup_sql(),
     "slow_log_rollup_by_batch": _rollup_sql("AND batch_id = 'b1'"),
     "slow_log_keyset_page": f"WITH r AS ({_rollup_sql().replace('LIMIT 500', '')}) SELECT id, execution_time_ms, calls FROM r WHERE execution_time_ms <= (SELECT round(avg(execution_time_ms), 4) FROM r) ORDER BY execution_time_ms DESC, id LIMIT 10",
+    "rollup_from_partials": _rollup_sql(),
+    "rollup_from_partials_by_batch": _rollup_sql("AND batch_id = 'b1'"),
+    "rollup_stream": _rollup_sql(),
+    "slow_log_pages": f"WITH r AS ({_rollup_sql().replace('LIMIT 500', '')}) SELECT ((row_number() OVER (ORDER BY execution_time_ms DESC, id) - 1) // {PAGE})::INTEGER AS page, id, execution_time_ms, calls FROM r",
     "slow_log_window_rollup": f"WITH {_LOGS} SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, fingerprint_id, round(sum(query_time_sec) * 1000, 4) AS execution_time_ms, count(*) AS calls FROM slow_logs GROUP BY 1, 2",
     "sql_record_projection": _RECORD_SQL,
     "json_array_records": _RECORD_SQL,
