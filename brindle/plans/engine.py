@@ -42,21 +42,14 @@ class RetrievalEngine:
             merged = {k: v for k, v in options.items() if k != "base_url"} | {k: v for k, v in given.items() if v}
             return records.project_sql_chunks(records.with_required(read_http(self.spark, url, **merged)), now)
         if kind == "duckdb":
-            out = None
-            for p in files.find(path, files.EXTENSIONS["duckdb"]):
-                try:
-                    rows = read_duckfile(self.spark, p, query or options.get("query"))
-                    missing = {"id", "text", "raw_query", "source", "execution_time_ms", "calls"} - set(rows.columns)
-                except Exception as e:  # noqa: BLE001
-                    log.error("%s can't be queried: %s", p, e)
-                    continue
-                if missing:
-                    log.warning("%s: the query gives no %s", p, ", ".join(sorted(missing)))
+            rows = read_duckfile(self.spark, files.find(path, files.EXTENSIONS["duckdb"]), query or options.get("query"), per_file=True, skip_broken=True)
+            if rows is None:
+                rows = self.spark.createDataFrame([], "id string, text string, source string")
+            elif missing := {"id", "text", "raw_query", "source", "execution_time_ms", "calls"} - set(rows.columns):
+                log.warning("%s: the query gives no %s", path, ", ".join(sorted(missing)))
                 if {"id", "text", "source"} & missing:
-                    raise ValueError(f"{p}: the query must give id, text and source")
-                one = records.project_sql_chunks(records.with_required(rows), now)
-                out = one if out is None else out.unionByName(one)
-            return out if out is not None else records.project_sql_chunks(self.spark.createDataFrame([], "id string, text string, source string"), now)
+                    raise ValueError(f"{path}: the query must give id, text and source")
+            return records.project_sql_chunks(records.with_required(rows), now)
         docs = files.read_documents(self.spark, path, files.EXTENSIONS[kind])
         if kind == "sql":
             return records.from_log_records(records.parse_json_arrays(docs).drop("filepath"), now)

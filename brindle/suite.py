@@ -399,7 +399,10 @@ def duckdb_file_scan(spark, sf_dir):
     """The rollup over embedded files that tasks write to the shared folder, each from its part of the log."""
     from brindle.sources.duckfile import read_duckfile
 
-    folder = "/" + scratch(spark, "duckfile").removeprefix("file:").lstrip("/")
+    place = scratch(spark, "duckfile")
+    if "://" in place and not place.startswith("file://"):
+        raise RuntimeError("embedded files are opened by path: spark.checkpoint.dir must be a mounted folder for this query")
+    folder = "/" + place.removeprefix("file:").lstrip("/")
     logs = slow_logs(spark, sf_dir)
 
     def write(batches):
