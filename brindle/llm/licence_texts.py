@@ -73,6 +73,42 @@ def _gnu() -> list[tuple[str, str]]:
     return out
 
 
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. "
+_TAKEN = "The licenses for most software{} are designed to take away your freedom to share and change {}. By contrast, {} intended to guarantee your freedom to share and change "
+
+#: (SPDX identifier, text): how the bodies of long licences begin; a text that holds one is a licence file, whatever follows.
+BODIES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND
+DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by
+Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is
+granting the License. "Legal Entity" shall mean the union of the acting entity and all other entities that control, are controlled
+by, or are under common control with that entity."""),
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 " + _VERBATIM + "Preamble " + _TAKEN.format("", "it", "the GNU General Public License is")
+     + """free software--to make sure the software is free for all its users. This General Public License applies to most of the Free
+Software Foundation's software and to any other program whose authors commit to using it."""),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + _VERBATIM + "Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. "
+     + _TAKEN.format(" and other practical works", "the works", "the GNU General Public License is") + "all versions of a program--to make sure it remains free software for all its users."),
+    ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 " + _VERBATIM + """[This is the first released version of the Lesser GPL. It also counts as the
+successor of the GNU Library Public License, version 2, hence the version number 2.1.] Preamble """ + _TAKEN.format("", "it", "the GNU General Public Licenses are") + "free software--to make sure the software is free for all its users."),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + _VERBATIM + """This version of the GNU Lesser General Public License incorporates the terms and
+conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below. 0. Additional
+Definitions. As used herein, "this License" refers to version 3 of the GNU Lesser General Public License, and the "GNU GPL" refers to
+version 3 of the GNU General Public License."""),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 " + _VERBATIM + """Preamble The GNU Affero General Public License is a free, copyleft license for software and
+other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software. """
+     + _TAKEN.format(" and other practical works", "the works", "our General Public Licenses are") + "all versions of a program--to make sure it remains free software for all its users."),
+    ("MPL-2.0", """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to
+the creation of, or owns Covered Software. 1.2. "Contributor Version" means the combination of the Contributions of others (if any) used
+by a Contributor and that particular Contributor's Contribution. 1.3. "Contribution" means Covered Software of a particular Contributor."""),
+    ("BSL-1.0", """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+Software is furnished to do so, all subject to the following:"""),
+    ("CC0-1.0", """CC0 1.0 Universal Statement of Purpose The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and
+Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship
+and/or a database (each, a "Work")."""),
+)
+
 #: (SPDX identifier, text); of templates that are equally near the longer counts, then the first.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),

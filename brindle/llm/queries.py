@@ -66,10 +66,10 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents has no file names: a document that is a licence text as a whole stands for its directory's licence file."""
+    """documents has no file names: a document of which a licence is the greater part stands for its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
     folder = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce("lang", F.lit("unknown")), F.lit("/"))
-    found = licences.scan(docs.select(F.concat(folder, F.col("doc_id").cast("string")).alias("path"), "text"), F.col("whole") >= licences.LEAST)
+    found = licences.scan(docs.select(F.concat(folder, F.col("doc_id").cast("string")).alias("path"), "text"), F.col("whole") >= licences.MOSTLY)
     doc_id = F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id")
     return found.select(doc_id, "path", "licence", F.round("score", 6).alias("score"), "origin", "source_path")
 
