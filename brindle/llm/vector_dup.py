@@ -23,8 +23,9 @@ from brindle.llm.skew import salted_join
 from brindle.session import discard, materialize, ship_package
 
 BLOCK = 8192
-#: Vectors that a bucket holds on average, if they were spread evenly.
-BUCKET = 4096
+#: Vectors that a bucket holds on average, if they were spread evenly. From 5,000 vectors on fewer cosines are then told
+#: than all pairs have; larger buckets need fewer tables, so less is shuffled, but more is computed.
+BUCKET = 512
 #: Rows whose cosines to a whole group are held at once.
 STRIP = 256
 #: Up to so many crowded buckets (some numbers each) are broadcast.

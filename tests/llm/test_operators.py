@@ -188,6 +188,13 @@ def test_blocks_count_pairs_once():
     assert (total == near.sum(axis=1)).all()
 
 
+def test_tables_tell_fewer_cosines_than_all_pairs():
+    for n in (5_000, 20_000, 100_000, 10**6, 10**9):
+        bits, tables = vector_dup.plan(n, 0.9)
+        alike = (1 - math.acos(0.9) / math.pi) ** bits
+        assert tables / 2**bits < (1 if n < 50_000 else 0.2) and (1 - alike) ** tables <= 1e-4
+
+
 def test_sentencepiece_equals_the_library(spark):
     c = pieces.PieceCodec(vocabulary("piece_bpe_32k.model"))
     r = random.Random(1)
