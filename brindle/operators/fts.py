@@ -19,6 +19,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brindle.functions.scalars import terms
+from brindle.session import materialize
 
 log = logging.getLogger("brindle.fts")
 
@@ -58,18 +59,19 @@ def _places(column: str, term: str) -> Column:
 def bm25(docs: DataFrame, query: str, *, id_: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(id, relevance) of the texts with a term of the query, one row for each such text.
 
-    One aggregate over all of docs gives number, average length and each term's frequency; the scores then are an
-    expression on each row, so no text is shuffled. Use bm25_indexed where postings are stored."""
+    Each text is split once, into its length and the counts of the query's terms, which are kept as a narrow table; one
+    aggregate over it gives number, average length and each term's frequency, and the scores then are an expression on
+    each row, so no text is shuffled. Use search_blocks where blocks are stored."""
     wanted = query_terms(query)
     rows = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("ts"))
-    tf = [_places("ts", t) for t in wanted]
     if not wanted:
         return rows.select("id", F.lit(0.0).alias("relevance")).where(F.lit(False))
-    counted = rows.select("id", F.coalesce(F.size("ts"), F.lit(0)).alias("length"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)])
+    own = rows.select("id", F.coalesce(F.size("ts"), F.lit(0)).alias("length"), F.filter("ts", lambda x: x.isin(wanted)).alias("own"))
+    counted = materialize(own.select("id", "length", *[_places("own", t).alias(f"tf{k}") for k, t in enumerate(wanted)]), "bm25")
     df = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]
     # one row
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *df)
-    hits = rows.where(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted]))).select("id", F.size("ts").alias("length"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)])
+    hits = counted.where(reduce(add, [F.col(f"tf{k}") for k in range(len(wanted))]) > 0)
     parts = [_weight(F.col(f"tf{k}"), F.col(f"df{k}"), k1, b) for k in range(len(wanted))]
     return hits.crossJoin(F.broadcast(stats)).select("id", reduce(add, parts).alias("relevance"))
 
