@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -44,6 +45,28 @@ def hashing_embedder(dim: int = 256, grams: tuple[int, ...] = (3, 4)) -> Embedde
     return run
 
 
+def token_embedder(file: str, dim: int = 256, max_tokens: int = 2048, seed: int = 5) -> Embedder:
+    """The mean of fixed random vectors of a text's first max_tokens tokens, scaled to length 1: an embedder with a window, as
+    trained models have one. file: a tokenizer that the tokenizers library reads, which must exist on every executor."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    tokenizer.enable_truncation(max_tokens)
+    vectors = np.random.default_rng(seed).standard_normal((tokenizer.get_vocab_size(), dim)).astype(np.float32)
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), np.float32)
+        for k, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+            ids, times = np.unique(np.array(e.ids, np.int64), return_counts=True)
+            if len(ids):
+                out[k] = times.astype(np.float32) @ vectors[ids]
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norms, out=out, where=norms > 0)
+
+    return run
+
+
 def cached(key: tuple, make: Callable[[], Embedder]) -> Embedder:
     """One embedder for each key in a process."""
     if key not in _CACHE:

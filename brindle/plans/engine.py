@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.functions.embedding import Embedder, embed_passages, embed_query, hashing_embedder
+from brindle.functions.embedding import Embedder, embed_passages, embed_query, hashing_embedder, token_embedder
 from brindle.operators import chunking, records, store
 from brindle.plans.collection import Collection
 from brindle.plans.config import Engine, Settings
@@ -24,8 +24,9 @@ class RetrievalEngine:
     def __init__(self, spark: SparkSession, spec: Engine, settings: Settings | None = None, make_embedder: Callable[[], Embedder] | None = None):
         self.spark, self.spec, self.settings = spark, spec, settings or Settings()
         dim, tokens = spec.vector_dimension, spec.max_token_length  # tokens: the window of embedders that have one
-        self.make = make_embedder or (lambda: hashing_embedder(dim))
-        self.key = (spec.model_name, dim, tokens)
+        file = self.settings.tokenizer_file
+        self.make = make_embedder or ((lambda: token_embedder(file, dim, tokens)) if file else (lambda: hashing_embedder(dim)))
+        self.key = (spec.model_name, dim, tokens, file)
         self.root = f"{self.settings.db_path.rstrip('/')}/{spec.table_name}"
         self.vault = store.Vault(spark, f"{self.root}/vault", spec.mapper_type, dim)
         self.collection = Collection(self.vault, self.settings.nprobes)

@@ -189,6 +189,28 @@ def test_embedder_reads_whole_texts(spark):
     assert not np.allclose(got[0], got[1]) and not np.allclose(got[1], got[2])
 
 
+def test_token_window(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from brindle.functions.embedding import embed_passages, token_embedder
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, vectors = Tokenizer.from_file(file), np.random.default_rng(5).standard_normal((Tokenizer.from_file(file).get_vocab_size(), 8)).astype(np.float32)
+    texts = ["a cat sat", "", "word " * 50 + "tail", "word " * 50 + "other end", "it's Ünïcode"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: np.array(x.vector) for x in embed_passages(df, lambda: token_embedder(file, 8, 20), ("tokens", 8, 20), 8).collect()}
+    for k, t in enumerate(texts):
+        want = sum((vectors[i] for i in library.encode(t, add_special_tokens=False).ids[:20]), np.zeros(8, np.float32))
+        norm = np.linalg.norm(want)
+        assert np.allclose(got[k], want / norm if norm else want, atol=1e-5)
+    assert np.allclose(got[2], got[3])  # alike within the window
+    e = RetrievalEngine(spark, Engine(table_name="w", vector_dimension=16, max_token_length=64), Settings(db_path=str(tmp_path / "db"), tokenizer_file=file))
+    (tmp_path / "a.txt").write_text("otters swim in rivers")
+    assert e.ingest(str(tmp_path / "a.txt")) == 1 and e.search("otters", 1)[0]["distance"] < 1
+
+
 def test_stream(spark, tmp_path):
     from brindle.streaming.ingest import into_vault, watch_records
 
