@@ -32,10 +32,13 @@ BLOCKS = "term string, window long, n int, tops array<struct<tf int, length int>
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf, length): one row for each term of each text, split once."""
-    rows = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("ts"))
-    found = rows.select("id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
-    return found.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "length")
+    """(id, term, tf, length): one row for each term of each text, split once; runs of the sorted terms give tf, without a shuffle."""
+    rows = docs.select(F.col(id_).alias("id"), F.sort_array(terms(F.col(text))).alias("ts")).where(F.size("ts") > 0)
+    head = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: (i == 1) | (F.get("ts", i - 1) != F.get("ts", i - 2)))
+    rows = rows.select("id", "ts", F.size("ts").alias("length"), head.alias("heads"))
+    ends = F.concat(F.slice("heads", 2, F.size("heads")), F.array(F.col("length") + 1))
+    runs = F.zip_with("heads", ends, lambda a, b: F.struct(F.get("ts", a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select("id", "length", F.explode(runs).alias("x")).select("id", "x.term", "x.tf", "length")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
