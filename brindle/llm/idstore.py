@@ -184,7 +184,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2,
     """Encode docs (doc_id, text, ...), append end_id to each document, and write the store to path, which must be new.
 
     Null text counts as empty (the end id alone). Rows with a null doc_id are left out; rows that repeat a doc_id are
-    documents of their own, ordered by their roots. An empty table makes an empty store. Other columns are ignored."""
+    documents of their own, ordered by their chunks' digests. An empty table makes an empty store. Other columns are ignored."""
     spark = docs.sparkSession
     ship_package(spark)
     end = np.array([end_id], "<u4").tobytes()

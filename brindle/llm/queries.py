@@ -40,14 +40,14 @@ def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language.learn(language.training_rows(docs))
-    held_out = (F.pmod(id_hash("doc_id"), F.lit(4)) == 2).alias("held_out")
+    held_out = F.coalesce(F.pmod(id_hash("doc_id"), F.lit(4)) == 2, F.lit(False)).alias("held_out")  # false for a null doc_id
     return language.identify(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out, "lang_pred", "score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    held_out = (F.pmod(id_hash("doc_id"), F.lit(5)) == 0).alias("held_out")
+    held_out = F.coalesce(F.pmod(id_hash("doc_id"), F.lit(5)) == 0, F.lit(False)).alias("held_out")  # false for a null doc_id
     return toxicity.score_texts(docs, net).select("doc_id", held_out, "score", "predicted")
 
 
