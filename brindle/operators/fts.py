@@ -1,8 +1,8 @@
 """Full-text search: postings, corpus statistics and BM25 (Robertson & Zaragoza, 2009).
 
 Stored postings lie in blocks, one for each term and window, a window being some hundred texts of like length. A block
-says the shortest text of each term frequency in it, which tells the most that it can add to a score whatever the
-corpus's statistics become later (Ding & Suel, 2011). A search sums these bounds for each window, scores the most promising
+says the most that a text in it can add to a score, but for the term's weight, at the average length of the index's own
+texts (Ding & Suel, 2011); where a corpus's average is larger, no text adds more than so many times that. A search sums these bounds for each window, scores the most promising
 windows, and then reads only those windows that can still reach the best k.
 """
 
@@ -25,10 +25,10 @@ log = logging.getLogger("brindle.fts")
 
 K1, B = 1.2, 0.75
 #: Texts of a window, about; windows that are scored first; windows that are named in a filter and not joined, at most.
-WINDOW, SEEDS, NAMED = 256, 16, 1000
+WINDOW, SEEDS, NAMED = 512, 16, 1000
 #: Tasks that a term's blocks are dealt over at most.
 SLOTS = 16
-BLOCKS = "term string, window long, n int, tops array<struct<tf int, length int>>, docs array<long>, tfs array<int>, lengths array<int>"
+BLOCKS = "term string, window long, n int, most double, held array<struct<doc: long, tf: int, length: int>>"
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -119,13 +119,12 @@ def build_blocks(rows: DataFrame, path: str, *, id_: str = "_key", text: str = "
     parts = F.create_map(*[F.lit(x) for r in stored for x in (r.level, -(-r.n // WINDOW))]) if stored else F.create_map(F.lit(0), F.lit(1))
     window = level.cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), parts[level])
     each = postings(rows, id_, text).withColumn("window", window).withColumn("slot", F.pmod("window", F.lit(SLOTS)))
-    held = F.array_sort(F.collect_list(F.struct(F.col("id").alias("doc"), F.col("tf").cast("int").alias("tf"), "length")))
-    blocks = each.repartition("term", "slot").groupBy("term", "slot", "window").agg(held.alias("x"))
-    shortest = lambda tf: F.array_min(F.transform(F.filter("x", lambda y: y["tf"] == tf), lambda y: y["length"]))
-    tops = F.transform(F.array_distinct("x.tf"), lambda tf: F.struct(tf.alias("tf"), shortest(tf).alias("length")))
-    shown = blocks.select("term", "window", F.size("x").alias("n"), tops.alias("tops"), F.col("x.doc").alias("docs"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths"))
-    shown.sortWithinPartitions("term", "window").write.parquet(f"{path}/blocks")
-    return sum(r.n for r in stored), sum(r.total for r in stored)
+    texts, total = sum(r.n for r in stored), sum(r.total for r in stored)
+    held = F.collect_list(F.struct(F.col("id").alias("doc"), F.col("tf").cast("int").alias("tf"), "length")).alias("held")
+    most = F.max(_saturated(F.col("tf"), F.col("length"), F.lit(float(total / texts if total else 1.0)), K1, B)).alias("most")
+    blocks = each.repartition("term", "slot").groupBy("term", "slot", "window").agg(F.count(F.lit(1)).cast("int").alias("n"), most, held)
+    blocks.select("term", "window", "n", "most", "held").sortWithinPartitions("term", "window").write.parquet(f"{path}/blocks")
+    return texts, total
 
 
 def open_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
@@ -135,27 +134,28 @@ def open_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] |
     except (PySparkException, Py4JJavaError) as e:  # nothing but the files' schema is read here
         log.warning("no text index at %s: %s", path, str(e).splitlines()[0])
         return None
-    if {"term", "window", "docs", "tfs", "lengths", "tops"} <= set(blocks.columns) and {"doc", "length"} <= set(docs.columns):
+    if {"term", "window", "most", "held"} <= set(blocks.columns) and {"doc", "length"} <= set(docs.columns):
         return blocks, docs
     log.warning("%s holds no text index", path)
     return None
 
 
 def search_blocks(
-    parts: list[tuple[int, DataFrame, DataFrame]], loose: DataFrame | None, n: int, average: float, query: str, k: int, *,
-    only: Callable[[DataFrame], DataFrame] | None = None, k1: float = K1, b: float = B,
+    parts: list[tuple[int, DataFrame, DataFrame, float]], loose: DataFrame | None, n: int, average: float, query: str, k: int, *,
+    only: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame | None, int, int]:
     """((id, relevance), windows read, windows with a term): the k best texts by BM25, and those that equal the last in a millionth.
 
-    parts: (number added to its ids, blocks, docs) of each index. loose: texts (id, text, columns for filters) that no
+    parts: (number added to its ids, blocks, docs, average length of its texts) of each index. loose: texts (id, text, columns for filters) that no
     index holds; they are scored whole. n and average are of all of them. only: a filter on docs and on loose, which
     holds before ranking. None instead of rows where the query has no terms or there is nothing to search."""
     wanted = query_terms(query)
     if not wanted or not (parts or loose is not None):
         return None, 0, 0
     blocks = None
-    for number, (shift, held, _) in enumerate(parts):
-        one = held.where(F.col("term").isin(wanted)).withColumns({"shift": F.lit(shift), "index": F.lit(number * _APART)})
+    for number, (shift, held, _, own) in enumerate(parts):
+        larger = max(1.0, average / own) if own else 1.0
+        one = held.where(F.col("term").isin(wanted)).withColumns({"shift": F.lit(shift), "index": F.lit(number * _APART), "most": F.col("most") * larger})
         blocks = one if blocks is None else blocks.unionByName(one)
     tf = None if loose is None else postings(loose).where(F.col("term").isin(wanted))
     counted = [x for x in (None if blocks is None else blocks.select("term", F.col("n").cast("long").alias("df")), None if tf is None else tf.select("term", F.lit(1).cast("long").alias("df"))) if x is not None]
@@ -163,7 +163,7 @@ def search_blocks(
     if not frequency:
         return None, 0, 0
     idf = F.create_map(*[x for t, df in frequency.items() for x in (F.lit(t), _idf(F.lit(n), F.lit(df)))])[F.col("term")]
-    weight = lambda tf, length: idf * _saturated(tf, length, F.lit(float(average)), k1, b)
+    weight = lambda tf, length: idf * _saturated(tf, length, F.lit(float(average)), K1, B)
 
     scored = []
     if tf is not None:
@@ -174,16 +174,16 @@ def search_blocks(
 
     allowed = None
     if only is not None:
-        allowed = reduce(DataFrame.unionByName, [only(docs).select((F.col("doc") + F.lit(shift)).alias("id")) for shift, _, docs in parts])
+        allowed = reduce(DataFrame.unionByName, [only(docs).select((F.col("doc") + F.lit(shift)).alias("id")) for shift, _, docs, _ in parts])
 
     def score(some: DataFrame) -> DataFrame:
-        each = some.select("term", "shift", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("x")).select("term", (F.col("x.docs") + F.col("shift")).alias("id"), "x.tfs", "x.lengths")
+        each = some.select("term", "shift", F.explode("held").alias("x")).select("term", (F.col("x.doc") + F.col("shift")).alias("id"), "x.tf", "x.length")
         each = each if allowed is None else each.join(allowed, "id", "left_semi")
-        return each.groupBy("id").agg(F.sum(weight(F.col("tfs"), F.col("lengths"))).alias("relevance"))
+        return each.groupBy("id").agg(F.sum(weight(F.col("tf"), F.col("length"))).alias("relevance"))
 
     code = (F.col("index") + F.col("window")).alias("code")
-    most = F.array_max(F.transform("tops", lambda x: weight(x["tf"], x["length"])))
-    bounds = blocks.select(code, most.alias("most")).groupBy("code").agg(F.sum("most").alias("most"))
+    # a rounding error more, so that a bound is never below what it bounds
+    bounds = blocks.select(code, (idf * F.col("most") * (1 + 1e-12)).alias("most")).groupBy("code").agg(F.sum("most").alias("most"))
     named = lambda codes: blocks.where(F.col("window").isin(sorted({c % _APART for c in codes})) & code.isin(codes))
     seeds = [r.code for r in bounds.orderBy(F.desc("most"), "code").limit(SEEDS).collect()]
     best = reduce(DataFrame.unionByName, [*scored, score(named(seeds))]).orderBy(F.desc("relevance")).limit(k).collect()

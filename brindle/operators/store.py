@@ -177,7 +177,7 @@ class Vault:
         n = written.count()
         if n:
             table = f"brindle_{uuid.uuid4().hex}"
-            once = written.select("content_hash").repartition(self.buckets, "content_hash").distinct()
+            once = written.select("content_hash").distinct().repartition(self.buckets, "content_hash")  # copies are dropped before they are dealt
             once.write.bucketBy(self.buckets, "content_hash").sortBy("content_hash").option("path", f"{self.path}/hashes/segment={name}").format("parquet").saveAsTable(table)
             self.spark.sql(f"DROP TABLE {table}")  # the files stay, as the table had a path of its own
         return {"name": name, "rows": n, "vectors": None, "words": None}

@@ -75,7 +75,7 @@ class Collection:
                 opened = fts.open_blocks(self.spark, self.vault.index_path(s["words"]))
                 if opened is None:
                     return None
-                parts.append((place * store.PLACE, *opened))
+                parts.append((place * store.PLACE, *opened, s["terms"] / s["texts"] if s["texts"] else 0.0))
                 n, total = n + s["texts"], total + s["terms"]
             else:
                 loose.append(self.vault.keyed(s["name"], place).withColumnRenamed("id", "_id").withColumnRenamed("_key", "id"))

@@ -343,7 +343,10 @@ def fts_block_max(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     path = scratch(spark, "blocks")
     n, total = fts.build_blocks(docs, path, id_="id")
-    found, _, _ = fts.search_blocks([(0, *fts.open_blocks(spark, path))], None, n, total / n, QUERY, retrieval.CANDIDATES)
+    average = total / n if n else 0.0
+    found, _, _ = fts.search_blocks([(0, *fts.open_blocks(spark, path), average)], None, n, average, QUERY, retrieval.CANDIDATES)
+    if found is None:
+        return docs.select("id", F.lit(0.0).alias("relevance")).where(F.lit(False))
     return found.select("id", F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(retrieval.CANDIDATES)
 
 

@@ -138,11 +138,13 @@ def test_blocks_equal_scores_of_all_texts(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(made, "id long, text string, source string").repartition(4).cache()
     monkeypatch.setattr(fts, "WINDOW", 32)
     parts, total = [], [0, 0]
-    for place, some in enumerate((docs.where("id < 1500"), docs.where("id >= 1500 and id < 3700"))):
+    # the first index has longer texts than the second, so that the corpus's average is above one and below the other
+    long = F.coalesce(F.length("text"), F.lit(0)) > 150
+    for place, some in enumerate((docs.where(long & (F.col("id") < 3700)), docs.where(~long & (F.col("id") < 3700)))):
         path = str(tmp_path / f"ix{place}")
         n, length = fts.build_blocks(some, path, id_="id", keep=("source",))
         total = [total[0] + n, total[1] + length]
-        parts.append((0, *fts.open_blocks(spark, path)))
+        parts.append((0, *fts.open_blocks(spark, path), length / n))
     loose = docs.where("id >= 3700")
     own = fts.statistics(loose).first()
     n, length = total[0] + own.n, total[1] + own.avg_length * own.n
@@ -173,7 +175,7 @@ def test_real_texts_leave_blocks_unread(spark, tmp_path):
     n, length = fts.build_blocks(docs, path, id_="id")
     word = docs.where("length(text) > 200").orderBy("id").first().text.split()[7]
     for query in ("the of worthless", f"the {word}"):
-        found, read, windows = fts.search_blocks([(0, *fts.open_blocks(spark, path))], None, n, length / n, query, 10)
+        found, read, windows = fts.search_blocks([(0, *fts.open_blocks(spark, path), length / n)], None, n, length / n, query, 10)
         assert found.count() >= 10 and read < windows
     files = spark.read.parquet(f"{path}/blocks").where("term = 'the'").inputFiles()
     holding = spark.read.parquet(f"{path}/blocks").where("term = 'the'").select("_metadata.file_name").distinct().count()
