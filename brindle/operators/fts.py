@@ -123,7 +123,7 @@ def build_blocks(rows: DataFrame, path: str, *, id_: str = "_key", text: str = "
     held = F.collect_list(F.struct(F.col("id").alias("doc"), F.col("tf").cast("int").alias("tf"), "length")).alias("held")
     most = F.max(_saturated(F.col("tf"), F.col("length"), F.lit(float(total / texts if total else 1.0)), K1, B)).alias("most")
     blocks = each.repartition("term", "slot").groupBy("term", "slot", "window").agg(F.count(F.lit(1)).cast("int").alias("n"), most, held)
-    blocks.select("term", "window", "n", "most", "held").sortWithinPartitions("term", "window").write.parquet(f"{path}/blocks")
+    blocks.select("term", "window", "n", "most", "held").sortWithinPartitions("term", "window").write.option("compression", "zstd").parquet(f"{path}/blocks")
     return texts, total
 
 
