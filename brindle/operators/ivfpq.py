@@ -2,8 +2,8 @@
 
 Every cell is parted again into small parts. A search tells for each query, from the parts' means, spreads and sizes, how
 many of its nearest rows each part is likely to hold, and reads the best parts until they should hold the wanted share;
-easy queries so read little, and none reads more than nprobes cells' worth of rows. The codes of those parts rank their
-rows, all together for each query, and the best get exact distances from their vectors.
+easy queries so read little. The codes of those parts give each query the similarity that its k-th row has by them, and
+all rows that come as near to it as codes err get exact distances from their vectors, however many these are.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ THRESHOLD = 256
 SAMPLE = 50_000
 #: Parts of a cell at most, and the sampled rows of a part at least.
 PARTS, LEAST = 16, 2
-#: Cells whose number of rows a query reads at most, the share of its k nearest that it shall find, and how many times k rows get exact distances.
-NPROBES, TARGET, RERANK = 20, 0.93, 10
+#: Cells whose number of rows a query reads at most in an index of CELLS cells; one of more cells is read to the same share.
+NPROBES, CELLS = 20, 60
+#: The share of its k nearest rows that the parts which a query reads shall hold, and within how many deviations of the codes' error rows get exact distances.
+TARGET, MARGIN = 0.93, 3.0
+#: Queries whose parts are chosen at a time, and exact distances that a task holds before it keeps the k nearest of each query.
+CHOSEN, PAIRS = 32, 1 << 20
 
 
 def sizing(n: int, dim: int) -> tuple[int, int] | None:
@@ -107,6 +111,8 @@ def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector"
     edges = np.linspace(0, x.shape[1], subs + 1).astype(int)
     residual = x - parted.parts[part]
     books = [_kmeans(residual[:, a:b], codes) for a, b in zip(edges[:-1], edges[1:])]
+    off = sum(float(np.min((bk * bk).sum(1)[None] - 2 * r @ bk.T + (r * r).sum(1)[:, None], axis=1).clip(0).sum()) for bk, r in ((bk, residual[:, a:b]) for bk, a, b in zip(books, edges[:-1], edges[1:])))
+    error = math.sqrt(off / x.size)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -116,20 +122,22 @@ def build(rows: DataFrame, path: str, *, id_: str = "id", column: str = "vector"
             at = parted.place(v)
             r = v - parted.parts[at]
             code = np.stack([np.argmin((bk * bk).sum(1)[None] - 2 * r[:, a:b] @ bk.T, axis=1) for bk, a, b in zip(books, edges[:-1], edges[1:])], axis=1)
-            named = {"id": pdf["i"], "vector": pdf["v"], "pq_code": list(code.astype(np.int16)), "part": at.astype(np.int32), "ivf_cell": parted.owner[at].astype(np.int32)}
+            near = np.einsum("ij,ij->i", v, parted.parts[at]).astype(np.float64)
+            named = {"id": pdf["i"], "vector": pdf["v"], "pq_code": list(code.astype(np.int16)), "part": at.astype(np.int32), "near": near, "ivf_cell": parted.owner[at].astype(np.int32)}
             yield pd.DataFrame(named | {c: pdf[c] for c in keep})
 
     coded = rows.select(F.col(id_).alias("i"), F.col(column).cast("array<float>").alias("v"), *keep)
     types = {c: rows.schema[c].dataType.simpleString() for c in (id_, *keep)}
-    schema = f"id {types[id_]}, vector array<float>, pq_code array<smallint>, part int, ivf_cell int" + "".join(f", `{c}` {types[c]}" for c in keep)
+    schema = f"id {types[id_]}, vector array<float>, pq_code array<smallint>, part int, near double, ivf_cell int" + "".join(f", `{c}` {types[c]}" for c in keep)
     # a cell is dealt over tasks by its parts, and sorted by them, so that files and row groups hold few parts
     placed = coded.mapInPandas(encode, schema).repartition("ivf_cell", F.pmod(F.xxhash64("part"), F.lit(8))).sortWithinPartitions("ivf_cell", "part", "id")
     placed.write.partitionBy("ivf_cell").parquet(f"{path}/rows")
     # at most 256 * PARTS rows
-    counted = {r.part: r.n for r in spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {r.part: (r.n, r.near) for r in spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).collect()}
     meta = [("cells", k, c.tolist()) for k, c in enumerate(parted.cells)]
     meta += [("parts", k, c.tolist()) for k, c in enumerate(parted.parts)] + [("means", k, c.tolist()) for k, c in enumerate(means)]
-    meta += [("facts", k, [float(j), float(counted.get(k, 0)), float((part == k).sum())]) for k, j in enumerate(parted.owner.tolist())]
+    meta += [("facts", k, [float(j), float(counted.get(k, (0, 1.0))[0]), float((part == k).sum()), float(counted.get(k, (0, 1.0))[1])]) for k, j in enumerate(parted.owner.tolist())]
+    meta.append(("error", 0, [error]))
     meta += [(f"book{j}", k, c.tolist()) for j, bk in enumerate(books) for k, c in enumerate(bk)]
     spark.createDataFrame(meta, "part string, k int, v array<double>").coalesce(1).write.parquet(f"{path}/meta")
     return True
@@ -141,7 +149,8 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         meta = spark.read.parquet(f"{path}/meta").toPandas()
         get = lambda part: np.stack(meta[meta["part"] == part].sort_values("k")["v"].to_numpy())
-        owner, self.sizes, seen = get("facts").T
+        owner, self.sizes, seen, self.near = get("facts").T
+        self.error = float(get("error")[0, 0])
         self.parted = Cells(get("cells"), get("parts"), owner.astype(np.int64))
         self.means = get("means")
         self.books = [get(f"book{j}") for j in range(len({p for p in meta["part"] if p.startswith("book")}))]
@@ -151,19 +160,25 @@ class Index:
         spread = (1 - (self.means**2).sum(axis=1)) * seen / np.maximum(seen - 1, 1)
         spread[seen < 2] = np.median(spread[seen >= 2]) if (seen >= 2).any() else 1.0
         self.deviation = np.sqrt(np.maximum(spread, 1e-3) / dim)
-        self.rows = spark.read.parquet(f"{path}/rows")
         self.n = int(self.sizes.sum())
 
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each sub-vector, (query, code) parts of the dot product."""
-        return [q[:, a:b] @ bk.T for bk, a, b in zip(self.books, self.edges[:-1], self.edges[1:])]
+    def decoded(self, part: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the codes of a part's rows stand for."""
+        return self.parted.parts[part] + np.concatenate([bk[codes[:, j]] for j, bk in enumerate(self.books)], axis=1)
+
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """(query, part): the largest similarity that a row of the part can have, by its angle to the part's centroid and that of the part's farthest row."""
+        between = np.arccos(np.clip(q @ self.parted.parts.T, -1, 1)) - np.arccos(np.clip(self.near, -1, 1))
+        return np.cos(np.maximum(between, 0)) + 1e-6
 
     def chosen(self, q: np.ndarray, k: int, nprobes: int = NPROBES, target: float = TARGET) -> np.ndarray:
         """(query, part): which parts each query reads.
 
         The likely similarity of its k-th neighbour is where the parts together hold k rows above; parts are read in
-        order of the share of their rows above it until they hold target of those rows, or nprobes cells' worth of rows."""
-        middle, most = q @ self.means.T, nprobes * self.n / len(self.parted.cells)
+        order of the share of their rows above it until they hold target of those rows, or the most rows that nprobes allows."""
+        if len(q) > CHOSEN:
+            return np.concatenate([self.chosen(q[a : a + CHOSEN], k, nprobes, target) for a in range(0, len(q), CHOSEN)])
+        middle, most = q @ self.means.T, nprobes * self.n / min(len(self.parted.cells), CELLS)
         low, high = np.full(len(q), -1.0), np.full(len(q), 1.0)
         for _ in range(25):
             at = (low + high) / 2
@@ -181,90 +196,153 @@ class Index:
 
 
 def search(
-    spark: SparkSession, path: str, vector: list[float], k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, source: str | None = None, min_time: float | None = None
+    spark: SparkSession, path: str, vector: list[float], k: int = 5, *, nprobes: int = NPROBES, source: str | None = None, min_time: float | None = None, exact: bool = False
 ) -> DataFrame:
     """(id, distance) of one query: filters hold before ranking."""
     from brindle.operators.search import prefilter
 
     query = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, query_vector array<double>")
-    found = search_many(spark, path, query, k, nprobes=nprobes, rerank=rerank, rows=lambda r: prefilter(r, source, min_time))
+    found = search_many(spark, path, query, k, nprobes=nprobes, rows=lambda r: prefilter(r, source, min_time), exact=exact)
     return found.select("id", F.round("distance", 6).alias("distance")).orderBy("distance", "id")
 
 
 def search_many(
-    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, *, nprobes: int = NPROBES, rerank: int = RERANK, target: float = TARGET, rows: Callable[[DataFrame], DataFrame] = lambda r: r
+    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, *, nprobes: int = NPROBES, target: float = TARGET, rows: Callable[[DataFrame], DataFrame] = lambda r: r, exact: bool = False
 ) -> DataFrame:
     """(query_id, id, distance, rank) for queries (query_id, query_vector), in blocks of bounded size, each ended by a table.
 
-    Codes rank the rows of the parts that a query reads; of all of them together the best rerank * k get exact distances
-    in double precision, ties by id, so answers do not depend on files or batches. rows filters the index's rows before that."""
+    The codes of the parts that a query reads tell how near its k-th row is; all rows within MARGIN deviations of the codes'
+    error get exact distances in double precision, ties by id, so answers do not depend on files or batches. exact: parts
+    that can hold a nearer row than the k-th one found are read besides, whole, so that none is missed. rows filters the
+    index's rows before that."""
     from brindle.operators.search import query_blocks
     from brindle.operators.store import union
 
     ship_package(spark)
-    index = Index(spark, path)
+    index, held = Index(spark, path), rows(spark.read.parquet(f"{path}/rows"))
     found = []
     for qid, q in query_blocks(queries):
-        one = _search_block(index, rows(index.rows), qid, q, k, nprobes, rerank, target)
+        one = _search_block(index, held, qid, q, k, nprobes, target, exact)
         found = [*(materialize(x, "ann-block") if not hasattr(x, "_brindle_path") else x for x in found), one]
     if not found:
-        return index.rows.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where(F.lit(False))
+        return held.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where(F.lit(False))
     return union(found)
 
 
-def _search_block(index: Index, rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, nprobes: int, rerank: int, target: float) -> DataFrame:
-    chosen = index.chosen(q, k, nprobes, target)
-    asked = np.flatnonzero(chosen.any(axis=0))
-    top, id_type = rerank * k, rows.schema["id"].dataType.simpleString()
+def _chosen(spark: SparkSession, index: Index, q: np.ndarray, k: int, nprobes: int, target: float) -> np.ndarray:
+    """Index.chosen(), by tasks: a bit for each of a block's queries and each part comes back."""
+    if len(q) <= CHOSEN:
+        return index.chosen(q, k, nprobes, target)
+    held = spark.sparkContext.broadcast((index, q))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, q = held.value
+        for pdf in frames:
+            for at in pdf["id"]:
+                bits = np.packbits(index.chosen(q[at : at + CHOSEN], k, nprobes, target))
+                yield pd.DataFrame({"at": [at], "bits": [bits.tobytes()]})
+
+    got = {r.at: r.bits for r in spark.range(0, len(q), CHOSEN, numPartitions=min(-(-len(q) // CHOSEN), 64)).mapInPandas(run, "at long, bits binary").collect()}
+    parts, out = len(index.parted.parts), np.zeros((len(q), len(index.parted.parts)), bool)
+    for at, bits in got.items():
+        n = min(CHOSEN, len(q) - at)
+        out[at : at + n] = np.unpackbits(np.frombuffer(bits, np.uint8))[: n * parts].reshape(n, parts)
+    return out
+
+
+def _search_block(index: Index, rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, nprobes: int, target: float, exact: bool) -> DataFrame:
+    spark = rows.sparkSession
+    chosen, id_type = _chosen(spark, index, q, k, nprobes, target), rows.schema["id"].dataType.simpleString()
+
+    def within(parts: np.ndarray) -> DataFrame:
+        """Rows of the parts; others are not read."""
+        cells = sorted({int(index.parted.owner[p]) for p in parts})
+        return rows.where(F.col("ivf_cell").isin(cells) & F.col("part").isin([int(p) for p in parts]))
+
     # tables of at most QUERY_BLOCK queries
-    held = rows.sparkSession.sparkContext.broadcast((chosen, index.tables(q), q @ index.parted.parts.T, qid, q))
+    held = spark.sparkContext.broadcast((index, chosen, q))
 
-    def by_codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chosen, tables, base, qid, _ = held.value
+    def kth(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, chosen, q = held.value
+        best = np.full((len(q), k), -np.inf)
         for pdf in frames:
             for part, own in pdf.groupby("part"):
-                who, codes = np.flatnonzero(chosen[:, int(part)]), np.stack(own["pq_code"].to_numpy())
-                if not len(who):
-                    continue
-                approx = base[who, part][:, None] + sum(t[who][:, codes[:, j]] for j, t in enumerate(tables))
-                ids = own["id"].to_numpy()
-                for j, w in enumerate(who):
-                    at = np.lexsort((ids, -approx[j]))[:top]
-                    yield pd.DataFrame({"query_id": np.full(len(at), qid[w]), "id": ids[at], "approx": approx[j][at], "part": np.full(len(at), part, np.int32)})
-
-    # parts that no query asks for are not read, nor are vectors here
-    cells = sorted({int(index.parted.owner[p]) for p in asked})
-    within = rows.where(F.col("ivf_cell").isin(cells) & F.col("part").isin([int(p) for p in asked]))
-    near = within.select("id", "pq_code", "part").mapInPandas(by_codes, f"query_id long, id {id_type}, approx double, part int")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "id"))
-    few = near.withColumn("_place", best).where(F.col("_place") <= top).select("query_id", "id", "part")
-    # at most rerank * k rows for each of QUERY_BLOCK queries
-    with_vectors = within.select("id", "part", "vector").join(F.broadcast(few), ["id", "part"])
+                who = np.flatnonzero(chosen[:, int(part)])
+                if len(who):
+                    near = np.concatenate((best[who], q[who] @ index.decoded(int(part), np.stack(own["pq_code"].to_numpy())).T), axis=1)
+                    best[who] = np.partition(near, near.shape[1] - k, axis=1)[:, -k:]
+        at, _ = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"q": at, "near": best[np.isfinite(best)]})
+
+    asked = np.flatnonzero(chosen.any(axis=0))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near")))
+    # the k-th similarity by codes: one row for each query that has so many
+    ends = within(asked).select("pq_code", "part").mapInPandas(kth, "q long, near double").withColumn("r", rank).where(F.col("r") == k).select("q", "near").collect()
+    least = np.full(len(q), -np.inf)
+    for r in ends:
+        least[r.q] = r.near - MARGIN * index.error
+    found = _exact_block(within(asked), id_type, index, qid, q, k, chosen, least)
+    if not exact:
+        return found
+    found = materialize(found, "ann-likely")
+    last = np.full(len(q), -1.0)
+    place = {int(x): i for i, x in enumerate(qid)}
+    for r in found.where(F.col("rank") == k).select("query_id", "distance").collect():  # a row for each query
+        last[place[r.query_id]] = 1 - r.distance
+    able = (index.reach(q) >= last[:, None]) & (index.sizes > 0)
+    rest = _exact_block(within(np.flatnonzero(able.any(axis=0))), id_type, index, qid, q, k, able, np.full(len(q), -np.inf))
+    again = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.unionByName(rest).dropDuplicates(["query_id", "id"]).withColumn("rank", again).where(F.col("rank") <= k)
+
+
+def _nearest(some: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, distance), the k nearest of each query, ties by id."""
+    who, ids, far = map(np.concatenate, zip(*some))
+    order = np.lexsort((ids, far, who))
+    who, ids, far = who[order], ids[order], far[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], ids[keep], far[keep]
+
+
+def _exact_block(rows: DataFrame, id_type: str, index: Index, qid: np.ndarray, q: np.ndarray, k: int, read: np.ndarray, least: np.ndarray) -> DataFrame:
+    """(query_id, id, distance, rank): of the rows in the parts that each query reads and whose codes are no farther than its least similarity, the k nearest."""
+    held = rows.sparkSession.sparkContext.broadcast((index, qid, q, read, least))
 
     def exactly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *_, qid, q = held.value
-        place = pd.Series(np.arange(len(qid)), index=qid)
+        index, qid, q, read, least = held.value
+        asked = (q != 0).any(axis=1)
         for pdf in frames:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            norms, own = np.linalg.norm(x, axis=1), q[place[pdf["query_id"]].to_numpy()]
-            d = 1 - np.einsum("ij,ij->i", x, own) / np.where(norms > 0, norms, 1)
-            keep = (norms > 0) & (own != 0).any(axis=1)
-            yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "distance": d})[keep]
+            held_, pairs = [], 0
+            for part, own in pdf.groupby("part"):
+                who = np.flatnonzero(read[:, int(part)] & asked)
+                if not len(who):
+                    continue
+                x = np.stack(own["vector"].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(x, axis=1)
+                near = q[who] @ index.decoded(int(part), np.stack(own["pq_code"].to_numpy())).T
+                a, b = np.nonzero((near >= least[who][:, None]) & (norms > 0))
+                held_.append((who[a], own["id"].to_numpy()[b], 1 - np.einsum("ij,ij->i", x[b], q[who[a]]) / norms[b]))
+                pairs += len(a)
+                if pairs > PAIRS:
+                    held_ = [_nearest(held_, k)]
+                    pairs = 0
+            if held_:
+                who, ids, far = _nearest(held_, k)
+                yield pd.DataFrame({"query_id": qid[who], "id": ids, "distance": far})
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    exact = with_vectors.select("query_id", "id", "vector").mapInPandas(exactly, f"query_id long, id {id_type}, distance double")
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = rows.select("id", "part", "pq_code", "vector").mapInPandas(exactly, f"query_id long, id {id_type}, distance double")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def read_share(spark: SparkSession, path: str, queries: DataFrame, k: int, *, nprobes: int = NPROBES, target: float = TARGET) -> float:
     """The mean share of an index's rows in the parts that a query reads."""
     from brindle.operators.search import query_blocks
 
+    ship_package(spark)
     index, total, n = Index(spark, path), 0.0, 0
     for qid, q in query_blocks(queries):
-        total += float((index.chosen(q, k, nprobes, target) @ index.sizes).sum())
+        total += float((_chosen(spark, index, q, k, nprobes, target) @ index.sizes).sum())
         n += len(qid)
     return total / (n * index.n) if n else 0.0
 
