@@ -21,8 +21,9 @@ log = logging.getLogger("brindle.collection")
 
 
 class Collection:
-    def __init__(self, vault: store.Vault, nprobes: int = ivfpq.NPROBES):
-        self.vault, self.spark, self.nprobes = vault, vault.spark, nprobes
+    def __init__(self, vault: store.Vault, nprobes: int = ivfpq.NPROBES, *, exact: bool = False):
+        """exact: searches also read the parts of an index that can hold nearer rows than those found, so that they miss none."""
+        self.vault, self.spark, self.nprobes, self.exact = vault, vault.spark, nprobes, exact
         self.filters = tuple(c for c in ("source", "execution_time_ms") if c in vault.schema.names)
 
     def add(self, rows: DataFrame, workflow: str = "default", *, ingest: str | None = None) -> int:
@@ -58,7 +59,7 @@ class Collection:
         found, loose = [], []
         for place, s in enumerate(state["segments"]):
             if s["vectors"]:
-                one = ivfpq.search(self.spark, self.vault.index_path(s["vectors"]), vector, most, nprobes=self.nprobes, source=source, min_time=min_time)
+                one = ivfpq.search(self.spark, self.vault.index_path(s["vectors"]), vector, most, nprobes=self.nprobes, source=source, min_time=min_time, exact=self.exact)
                 found.append(one.select((F.col("id") + F.lit(place * store.PLACE)).alias("id"), "distance"))
             else:
                 loose.append(self.vault.keyed(s["name"], place))
