@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from brindle.llm.sampling import bounded_sample, id_hash
+from brindle.llm.sampling import id_hash
 from brindle.session import ship_package
 
 DIM = 1024
@@ -27,6 +27,8 @@ KINDS = 1 << 14
 #: Heads of training texts that stand for short texts, and how floors follow from their cosines.
 HEADS = (4, 8, 16, 32, 64, 128, 256)
 FLOOR_TAIL, FLOOR_SHARE, LONG = 0.001, 0.75, 8
+#: Cosines are counted in steps of 1 / STEPS for the floors.
+STEPS = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -105,13 +107,13 @@ def bound_vectors(kinds: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, *, per_language: int = 1500) -> dict[str, np.ndarray]:
-    """Prototypes, scaled to length 1, from docs (doc_id, text, lang, ...): about per_language texts of each language (the bound).
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Prototypes, scaled to length 1, from all docs (doc_id, text, lang, ...).
 
     Null texts, texts without a letter and rows without a lang teach nothing; repeated rows teach as often as they stand.
-    The sample depends on doc_id alone, so ties don't arise; no labelled rows give no prototypes. Other columns are ignored."""
+    No labelled rows give no prototypes. Other columns are ignored."""
     ship_package(docs.sparkSession)
-    chosen = bounded_sample(docs.where("lang is not null and text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_language)
+    chosen = docs.where("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -135,32 +137,37 @@ def size_class(trigrams: int) -> int:
     return min(max(trigrams, 1).bit_length() - 1, LONG)
 
 
-def learn_floors(docs: DataFrame, prototypes: dict[str, np.ndarray], *, per_language: int = 1500) -> dict[int, float]:
+def learn_floors(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[int, float]:
     """For each size class of texts, the least cosine at which a text counts as one of a learned language.
 
-    Learned on the sample that learn() takes, on whole texts and, as short texts are rare, on their heads of HEADS code
-    points, cut behind a word: FLOOR_SHARE of the cosine that all but FLOOR_TAIL of a class reach. A class without texts
+    Learned on all rows with a lang, on whole texts and, as short texts are rare, on their heads of HEADS code points, cut
+    behind a word: FLOOR_SHARE of the cosine that all but FLOOR_TAIL of a class reach, to a STEPSth. A class without texts
     has no floor."""
     ship_package(docs.sparkSession)
-    chosen = bounded_sample(docs.where("lang is not null and text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", per_language)
+    chosen = docs.where("lang is not null and text is not null")
     if not prototypes:
         return {}
     matrix = np.stack(list(prototypes.values())).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((LONG + 1, 2 * STEPS + 1), np.int64)
         for batch in batches:
-            sizes, scores = [], []
             for t in batch.column(0).to_pylist():
                 heads = [h[0] for n in HEADS if n < len(t) and (h := t[: n + 1].rsplit(None, 1)) and h[0]]
                 for _, p, n in counted_profiles([t, *heads]):
                     if p is not None and (length := np.linalg.norm(p.astype(np.float64))) > 0:
-                        sizes.append(size_class(n))
-                        scores.append(float((matrix @ p).max() / length))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(scores, pa.float64())], names=["size", "score"])
-
-    rows = chosen.select(F.col("text").cast("string")).mapInArrow(run, "size int, score double")
-    found = rows.groupBy("size").agg(F.percentile("score", FLOOR_TAIL)).collect()  # a row for each class
-    return {k: FLOOR_SHARE * float(v) for k, v in found}
+                        counts[size_class(n), min(max(int(np.floor((matrix @ p).max() / length * STEPS)), -STEPS), STEPS) + STEPS] += 1
+        size, step = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(step), pa.array(counts[size, step])], names=["size", "step", "n"])
+
+    rows = chosen.select(F.col("text").cast("string")).mapInArrow(run, "size long, step long, n long")
+    found = np.zeros((LONG + 1, 2 * STEPS + 1), np.int64)
+    for size, step, n in rows.groupBy("size", "step").agg(F.sum("n")).collect():  # 2 * STEPS + 1 rows for each class at most
+        found[size, step] = n
+    total = found.sum(axis=1)
+    # the step that the row at this place of a class, in ascending order, lies in
+    at = [int(np.searchsorted(np.cumsum(own), int(FLOOR_TAIL * (n - 1)) + 1)) - STEPS for own, n in zip(found, total)]
+    return {k: FLOOR_SHARE * at[k] / STEPS for k in range(LONG + 1) if total[k]}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], floors: dict[int, float] | None = None) -> DataFrame:
