@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import islice
 
 import numpy as np
@@ -23,6 +24,13 @@ _CACHE: dict[tuple, Embedder] = {}
 STEP = 2048
 
 
+@lru_cache(maxsize=16)
+def _crc_tables(n: int) -> list[np.ndarray]:
+    """For each place of n bytes a table by their value; the entries of n bytes, combined by exclusive or, are their CRC-32."""
+    zero = zlib.crc32(bytes(n))
+    return [np.array([zlib.crc32(bytes(i) + bytes([b]) + bytes(n - 1 - i)) ^ (0 if i == 0 else zero) for b in range(256)], np.int64) for i in range(n)]
+
+
 def hashing_embedder(dim: int = 256, grams: tuple[int, ...] = (3, 4)) -> Embedder:
     """Signed feature hashing of all words and their character n-grams (Weinberger et al., 2009), scaled to length 1.
 
@@ -33,11 +41,27 @@ def hashing_embedder(dim: int = 256, grams: tuple[int, ...] = (3, 4)) -> Embedde
         for k, t in enumerate(texts):
             words = (m[0] for m in re.finditer(r"\S+", t.lower()))
             while step := Counter(islice(words, STEP)):
-                for w, times in step.items():
-                    padded = f" {w} "
-                    for f in (w, *(padded[i : i + n] for n in grams for i in range(len(padded) - n + 1))):
-                        h = zlib.crc32(f.encode())
-                        sums[k, h % dim] += times if (h >> 31) & 1 else -times
+                times = np.fromiter(step.values(), np.int64, len(step))
+                hashes, weights = [np.fromiter(map(zlib.crc32, map(str.encode, step)), np.int64, len(step))], [times]
+                plain = np.fromiter(map(str.isascii, step), bool, len(step))
+                # grams of ASCII words all at once, within one string of padded words
+                joined = np.frombuffer("".join(f" {w} " for w in step if w.isascii()).encode(), np.uint8)
+                sizes = np.fromiter((len(w) + 2 for w in step if w.isascii()), np.int64, int(plain.sum()))
+                each, left = np.repeat(times[plain], sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(joined))
+                for n in grams:
+                    at = np.flatnonzero(left >= n)
+                    tables = _crc_tables(n)
+                    hashes.append(reduce(np.bitwise_xor, (tables[i][joined[at + i]] for i in range(n))))
+                    weights.append(each[at])
+                for w, often in step.items():
+                    if not w.isascii():
+                        own = [p[i : i + n] for p in (f" {w} ",) for n in grams for i in range(len(p) - n + 1)]
+                        hashes.append(np.fromiter(map(zlib.crc32, map(str.encode, own)), np.int64, len(own)))
+                        weights.append(np.full(len(own), often))
+                h = np.concatenate(hashes)
+                signed = np.where((h >> 31) & 1, 1, -1) * np.concatenate(weights)
+                # whole numbers far below 2 ** 53, so doubles hold them
+                sums[k] += np.bincount(h % dim, signed, dim).astype(np.int64)
         out = sums.astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
