@@ -14,23 +14,28 @@ shifting them over the bytes that follow, which is linear, so a document's rows
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from brindle.llm.bpe import PATTERN, _byte_letters
 from brindle.llm.textvec import U, mix
 from brindle.session import ship_package
 
 WINDOW, LEAST, MOST, MASK = 8, 64, 1024, U(255)
 DIGEST = 16
-#: Words that a worker remembers in each of two generations.
-MEMO = 250_000
+#: Words, and parts of words, that a worker remembers in each of two generations; parts that go to the library at once.
+MEMO, AT_ONCE = 250_000, 500
 _GEAR = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
@@ -48,27 +53,34 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id array: LEAST to MOST ids each (the last may be shorter), by content."""
+def marks(ids: np.ndarray) -> list[int]:
+    """The places behind which the rolling hash meets the mask. Those of ids that lie behind one another are those of
+    each alone from its WINDOW-th place on, and no chunk ends before its LEAST-th."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
     h = mix(ids.astype(np.uint64) + U(1))
     roll = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, n)):
         roll[k:] += h[: n - k] * _GEAR[k]
-    marks = np.flatnonzero((roll >> U(40)) & MASK == 0) + 1
-    out, at = [], 0
-    while n - at > LEAST:
-        k = np.searchsorted(marks, at + LEAST)
-        end = min(int(marks[k]) if k < len(marks) else n, at + MOST, n)
+    return (np.flatnonzero((roll >> U(40)) & MASK == 0) + 1).tolist()
+
+
+def ends(found: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the ids from begin to end, by the marks found in the whole array."""
+    out, at = [], begin
+    while end - at > LEAST:
+        k = bisect_left(found, at + LEAST)
+        at = min(found[k] if k < len(found) else end, at + MOST, end)
+        out.append(at)
+    if at < end:
         out.append(end)
-        at = end
-    if at < n:
-        out.append(n)
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id array: LEAST to MOST ids each (the last may be shorter), by content."""
+    return ends(marks(ids), 0, len(ids))
+
+
 def pack(raw: bytes, ids: np.ndarray) -> bytes:
     return b"\2" + ids.astype("<u2").tobytes() if len(ids) and ids.max() < 65536 else b"\4" + raw
 
@@ -113,63 +125,127 @@ def crc_shift(crcs: np.ndarray, after: np.ndarray) -> np.ndarray:
 # ---- tokenizing ----------------------------------------------------------------------------------------------------
 
 
+class _Letters(dict):
+    """The byte-level letters of each character."""
+
+    def __init__(self):
+        super().__init__()
+        self.of_byte = _byte_letters()
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(self.of_byte[b] for b in chr(code).encode())
+        return out
+
+
+class _Memory:
+    """What the library made of strings: two generations of MEMO each, the older of which gives way."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Those of keys that are in neither generation; the others are in the young one afterwards."""
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old, fresh = self.young, self.old, []
+        for w in keys.difference(young):
+            if (known := old.get(w)) is not None:
+                young[w] = known
+            else:
+                fresh.append(w)
+        return fresh
+
+
 class WordTokenizer:
-    """The tokenizers library behind a memory of words.
+    """The tokenizers library behind a memory of words and of their parts.
 
     Texts are parted at spaces and line feeds, at which the vocabulary's pre-tokenizer parts them too, and each distinct
-    word is encoded by the library once. Plain words go to it many at a time, joined by spaces; the parts are told from
-    each other by their end-of-word tokens, and the words go one by one wherever those don't add up."""
+    word is looked up once a batch. Plain words are parted as the pre-tokenizer would (its normalization only lower-cases
+    them), so that words which differ in case or marks share their parts. Parts go to the library's model many at a time,
+    joined by spaces, and are told from each other by their end-of-word tokens; all other words go whole to the
+    vocabulary's own tokenizer."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.library = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
+        if model["end_of_word_suffix"] != "</w>" or split["pattern"]["Regex"] != PATTERN:
+            raise ValueError("this is another kind of vocabulary")
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        #: The same model for parts in byte-level letters, without the steps before it.
+        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix="</w>"))
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        # how this vocabulary's pre-tokenizer parts a word (fixed pattern of its file)
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.letters = _Letters()
         # letters that neither normalization nor lower-casing takes apart, and no white space
-        self.plain = regex.compile(r"[\x21-\x7E¡-įı-ɏ]+")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        self.plain = "[\x21-\x7E¡-įı-ɏ]+"
+        # PATTERN for plain words in lower case, which makes do with these characters, and the spaces between words
+        low = sorted({chr(c).lower() for c in (*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x250))})
+        letter, number = ("".join(x for x in low if regex.fullmatch(kind, x)) for kind in (r"\p{L}", r"\p{N}"))
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^ {letter}{number}]+| ")
+        self.words, self.pieces = _Memory(), _Memory()
+
+    def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        counts = [1 if w.isalpha() else len(self.parts.findall(w.lower())) for w in words]
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum(counts)
-        if len(ends) != upto[-1] or min(counts) < 1 or (len(ids) != ends[-1]):
-            return self._one_by_one(words)
-        at = [0, *ends[upto - 1].tolist()]
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:])]
+    def _learn(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), AT_ONCE):
+            some = parts[k : k + AT_ONCE]
+            text = " ".join([p if p.isascii() else p.translate(self.letters) for p in some])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(at) != len(some) + 1 or at[-1] != 4 * len(ids):
+                raise ValueError("the vocabulary does not end each part with an end-of-word token")
+            raw = ids.tobytes()
+            self.pieces.young.update(zip(some, [raw[a:b] for a, b in zip(at[:-1], at[1:])]))
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words, by their parts; a space between two has none."""
+        found = self.parts.findall(" ".join(words).lower())
+        self._learn(self.pieces.unknown(set(found) - {" "}))
+        known = self.pieces.young
+        known[" "] = b""
+        ids = list(map(known.__getitem__, found))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        upto = np.cumsum(size)
+        raw = b"".join(ids)
+        at = [0, *upto[size == 0].tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last's end), without end ids; a null text has none."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = self.words.unknown(set(words))
+        if fresh:
+            given = pa.array(fresh, texts.type)
+            plain = pc.and_(pc.match_substring_regex(given, rf"\A{self.plain}\z"), pc.invert(pc.match_substring(given, "<|"))).to_pylist()
+            for some, how in (([w for w, p in zip(fresh, plain) if p], self._plain), ([w for w, p in zip(fresh, plain) if not p], self._whole)):
+                if some:
+                    self.words.young.update(zip(some, how(some)))
+        ids = list(map(self.words.young.__getitem__, words))
+        pool, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = coded.indices.to_numpy()
+        count = size[place]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        flat = pool[np.repeat((np.cumsum(size) - size)[place] - upto[:-1], count) + np.arange(upto[-1])]
+        at = split.offsets.to_numpy()
+        return flat, upto[at - at[0]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = []
-        for w in {w for ws in split for w in ws if w not in young}:
-            if (known := old.get(w)) is not None:
-                young[w] = known
-            else:
-                fresh.append(w)
-        plain = [w for w in fresh if self.plain.fullmatch(w) and "<|" not in w]
-        for k in range(0, len(plain), 200):
-            some = plain[k : k + 200]
-            young.update(zip(some, self._together(some)))
-        others = [w for w in fresh if w not in young]
-        if others:
-            young.update(zip(others, self._one_by_one(others)))
-        return [b"".join(map(young.__getitem__, ws)) for ws in split]
+        flat, at = self.encode_flat(pa.array(texts, pa.string()))
+        raw, at = flat.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -180,31 +256,41 @@ def tokenizer(file: str) -> WordTokenizer:
 # ---- writing -------------------------------------------------------------------------------------------------------
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2, group: int = 256) -> None:
+def _groups(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts (column 1) have about ``most`` bytes together; a longer text is a part by itself or ends one."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(at[:-1], at[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def write_store(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2, group: int = 4 << 20) -> None:
     """Encode docs (doc_id, text, ...), append end_id to each document, and write the store to path, which must be new.
 
     Null text counts as empty (the end id alone). Rows with a null doc_id are left out; rows that repeat a doc_id are
-    documents of their own, ordered by their chunks' digests. An empty table makes an empty store. Other columns are ignored."""
+    documents of their own, ordered by their chunks' digests. An empty table makes an empty store. Other columns are
+    ignored. group: bytes of text that are encoded together."""
     spark = docs.sparkSession
     ship_package(spark)
-    end = np.array([end_id], "<u4").tobytes()
     kinds = "kind int, doc_id long, digest binary, lengths binary, payload binary"
     names = [x.split(" ")[0] for x in kinds.split(", ")]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def chop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from brindle.llm.idstore import tokenizer
+        from brindle.llm.idstore import ends, marks, tokenizer
 
         t, seen = tokenizer(vocabulary), set()
         for whole in batches:
-            for k in range(0, whole.num_rows, group):
-                batch = whole.slice(k, group)
+            for batch in _groups(whole, group):
                 rows: list[tuple] = []
-                for doc, raw in zip(batch.column(0).to_pylist(), t.encode(batch.column(1).to_pylist())):
-                    raw += end
-                    ids = np.frombuffer(raw, "<u4")
-                    leaves, lengths, at = [], [], 0
-                    for to in cuts(ids):
+                flat, at = t.encode_flat(batch.column(1))
+                ids = np.insert(flat, at[1:], end_id).astype("<u4", copy=False)
+                raw, found = ids.tobytes(), marks(ids)
+                bounds = (at + np.arange(len(at))).tolist()
+                for doc, begin, last in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:]):
+                    leaves, lengths, at = [], [], begin
+                    for to in ends(found, begin, last):
                         part = raw[4 * at : 4 * to]
                         d = digest(part)
                         if d not in seen:

@@ -230,6 +230,30 @@ def test_store_round_trip(spark, tmp_path):
     assert idstore.verify_store(spark, empty).count() == 0
 
 
+def test_words_share_their_parts():
+    from tokenizers import Tokenizer
+
+    file = vocabulary("word_bpe_49k.json")
+    library, t = Tokenizer.from_file(file), idstore.WordTokenizer(file)
+    letters = [chr(c) for c in (*range(1, 0x250), 0x2C65, 0x2C66, 0x3C3, 0x1E9E, 0x4E2D, 0x1F600)]
+    odd = [f"{x} {x}{x} a{x}b {x}'LL 1{x}2 É{x}Ⱥ{x}" for x in letters]
+    texts = [*odd, " ".join(odd), "", None, " ", "\n\n a\n", "a\tb\r\nc\x00d", "<|endoftext|>x a<|b|>", "it'S we'Re 'S ''s x'm'd²", "x" * 3000]
+    for got, text in zip(t.encode(texts), texts):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+    given, model = [], t.model
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(w for x in texts for w in x.split(" "))
+            return model.encode_batch_fast(texts, **more)
+
+    t.model = Spy()
+    t.encode(["Sharedword sharedword, (sharedword) SHAREDWORD! sharedword's", "sharedword; 'sharedword' [sharedword]"])
+    t.encode(["-sharedword- sharedword?"])
+    assert given.count("sharedword") == 1  # forms of a word go to the library once
+
+
 def test_damage_is_found(spark, tmp_path):
     path = str(tmp_path / "s")
     idstore.write_store(docs(spark, [(1, prose(random.Random(1), 900))]), path, vocabulary("word_bpe_49k.json"))
