@@ -1,6 +1,6 @@
 """Full-text search: postings, corpus statistics and BM25 (Robertson & Zaragoza, 2009).
 
-Stored postings lie in blocks, one for each term and window, a window being some hundred texts of like length. A block
+Stored postings lie in blocks, one for each term and window, a window being some hundred texts of like length of one input partition. A block
 says the most that a text in it can add to a score, but for the term's weight, at the average length of the index's own
 texts (Ding & Suel, 2011); where a corpus's average is larger, no text adds more than so many times that. A search sums these bounds for each window, scores the most promising
 windows, and then reads only those windows that can still reach the best k.
@@ -10,25 +10,34 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brindle.functions.scalars import terms
-from brindle.session import materialize
+from brindle.session import materialize, ship_package
 
 log = logging.getLogger("brindle.fts")
 
 K1, B = 1.2, 0.75
-#: Texts of a window, about; windows that are scored first; windows that are named in a filter and not joined, at most.
+#: Texts of a window at most; windows that are scored first; windows that are named in a filter and not joined, at most.
 WINDOW, SEEDS, NAMED = 512, 16, 1000
 #: Tasks that a term's blocks are dealt over at most.
 SLOTS = 16
+#: Bytes of words that a task sorts into blocks at once, and blocks that it hands on at once; steps of a block's bound.
+PACK, GIVEN = 16 << 20, 100_000
+STEPS = 1024
 BLOCKS = "term string, window long, n int, most double, held array<struct<doc: long, tf: int, length: int>>"
+#: Blocks as they are shuffled, and a posting in them; tf is below zero where doc is null.
+PACKED, POSTING = "term string, window long, most double, packed binary", np.dtype([("doc", "<i8"), ("tf", "<i4"), ("length", "<i4")])
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -88,7 +97,7 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _saturated(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
+def _saturated(tf: Column | np.ndarray, length: Column | np.ndarray, average: Column | float, k1: float, b: float) -> Column | np.ndarray:
     """Grows with tf and falls with length."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
@@ -106,24 +115,108 @@ def _score(tf: DataFrame, df: DataFrame, stats: DataFrame, k1: float, b: float)
 # ---- blocks --------------------------------------------------------------------------------------------------------------
 
 
+def _packs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in packs of about ``most`` bytes of column 1; a longer text ends its pack. Rows with an empty or null text are left out."""
+    held, size = [], 0
+    for batch in batches:
+        batch = batch.filter(pc.fill_null(pc.greater(pc.binary_length(batch.column(1)), 0), False))
+        upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(upto[begin - 1]) if begin else 0
+            end = min(batch.num_rows, int(np.searchsorted(upto, before + most - size)) + 1)
+            held.append(batch.slice(begin, end - begin))
+            begin, size = end, size + int(upto[end - 1]) - before
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _blocks_of(pack: pa.RecordBatch, first: int, window: int, average: float) -> tuple[pa.RecordBatch, int]:
+    """(blocks, number of windows) of a pack (id, joined terms); its texts, shortest first, fill the windows first, first + 1, ...
+
+    Blocks stand in the order of window and term and their bounds are rounded up to STEPS-ths, so that they compress well."""
+    split = pc.split_pattern(pack.column(1), " ")
+    at = split.offsets.to_numpy()
+    coded = split.flatten().dictionary_encode()
+    length, known = np.diff(at).astype(np.int64), len(coded.dictionary)
+    sort = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(known, np.int64)
+    rank[sort.to_numpy()] = np.arange(known)
+    term = rank[coded.indices.to_numpy()]
+    # of texts of like length, those that share the rarest term are neighbours, so that fewer windows hold it
+    often = np.bincount(term, minlength=known)
+    rarity = np.where(often > 1, often * known + np.arange(known), np.iinfo(np.int64).max)
+    order = np.lexsort((np.minimum.reduceat(rarity[term], at[:-1] - at[0]), np.floor(np.log2(length + 1))))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    owner = np.repeat(place, length)
+    # equal keys are a term's occurrences in a text, and neighbours those in the window
+    key = (owner // window * known + term) * window + owner % window
+    key.sort()
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    tf, (block, inside) = np.diff(np.append(head, len(key))), np.divmod(key[head], window)
+    begin = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    n = np.diff(np.append(begin, len(head)))  # postings of each block
+    number, code = np.divmod(block[begin], known)
+    doc = order[np.repeat(number, n) * window + inside]
+    size, ids = length[doc], pack.column(0)
+    made = np.empty(len(head), POSTING)
+    made["doc"], made["length"] = pc.fill_null(ids, 0).to_numpy()[doc], size
+    made["tf"] = np.where(ids.is_valid().to_numpy(zero_copy_only=False)[doc], tf, -tf) if ids.null_count else tf
+    at = pa.array(POSTING.itemsize * np.append(begin, len(head)), pa.int32())
+    packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, at.buffers()[1], pa.py_buffer(made.tobytes())])
+    most = np.ceil(np.maximum.reduceat(_saturated(tf, size, average, K1, B), begin) * STEPS) / STEPS
+    columns = [coded.dictionary.take(sort.take(pa.array(code))), pa.array(number + first, pa.int64()), pa.array(most, pa.float64()), packed]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "window", "most", "packed"]), -(-len(order) // window)
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """PACKED rows as BLOCKS."""
+    packed = batch.column(3).cast(pa.binary())
+    at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    made = np.frombuffer(packed.buffers()[2], np.uint8)[at[0] : at[-1]].view(POSTING)
+    at = (at - at[0]) // POSTING.itemsize
+    each = [pa.array(np.ascontiguousarray(made["doc"]), mask=made["tf"] < 0), pa.array(np.abs(made["tf"])), pa.array(np.ascontiguousarray(made["length"]))]
+    held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(each, names=["doc", "tf", "length"]))
+    columns = [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int32()), batch.column(2), held]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "window", "n", "most", "held"])
+
+
 def build_blocks(rows: DataFrame, path: str, *, id_: str = "_key", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[int, int]:
     """Write blocks and the texts' lengths (with the columns to keep for filters) to path, which must be new: (texts, terms in all).
 
-    ids are whole numbers. Null texts count as texts without terms. The blocks of a term, however frequent, are dealt
-    over SLOTS tasks and sorted by term, so that a search for it reads few row groups."""
+    ids are whole numbers. Null texts count as texts without terms. Each task sorts its own texts' terms into whole
+    blocks, so blocks are shuffled and not postings. The blocks of a term, however frequent, are dealt over SLOTS tasks
+    and sorted by term, so that a search for it reads few row groups."""
     spark = rows.sparkSession
-    length = F.coalesce(F.size(terms(F.col(text))), F.lit(0))
-    rows.select(F.col(id_).alias("doc"), length.alias("length"), *keep).write.parquet(f"{path}/docs")
-    level = F.floor(4 * F.log2(F.col("length") + 1)).cast("int")
-    stored = spark.read.parquet(f"{path}/docs").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).collect()  # 124 levels at most
-    parts = F.create_map(*[F.lit(x) for r in stored for x in (r.level, -(-r.n // WINDOW))]) if stored else F.create_map(F.lit(0), F.lit(1))
-    window = level.cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), parts[level])
-    each = postings(rows, id_, text).withColumn("window", window).withColumn("slot", F.pmod("window", F.lit(SLOTS)))
-    texts, total = sum(r.n for r in stored), sum(r.total for r in stored)
-    held = F.collect_list(F.struct(F.col("id").alias("doc"), F.col("tf").cast("int").alias("tf"), "length")).alias("held")
-    most = F.max(_saturated(F.col("tf"), F.col("length"), F.lit(float(total / texts if total else 1.0)), K1, B)).alias("most")
-    blocks = each.repartition("term", "slot").groupBy("term", "slot", "window").agg(F.count(F.lit(1)).cast("int").alias("n"), most, held)
-    blocks.select("term", "window", "n", "most", "held").sortWithinPartitions("term", "window").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ship_package(spark)
+    length = F.coalesce(F.size(terms(F.col(text))), F.lit(0)).alias("length")
+    rows.select(F.col(id_).alias("doc"), length, *keep).write.parquet(f"{path}/docs")
+    texts, total = spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    average, window = float(total / texts if total else 1.0), WINDOW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from brindle.operators.fts import _blocks_of, _packs
+
+        number = TaskContext.get().partitionId() << 32
+        for pack in _packs(batches, PACK):
+            made, windows = _blocks_of(pack, number, window, average)
+            number += windows
+            for k in range(0, made.num_rows, GIVEN):
+                yield made.slice(k, GIVEN)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from brindle.operators.fts import _unpacked
+
+        yield from (_unpacked(batch) for batch in batches if batch.num_rows)
+
+    joined = F.array_join(terms(F.col(text)), " ")
+    blocks = rows.select(F.col(id_).cast("long").alias("doc"), joined.alias("joined")).mapInArrow(run, PACKED)
+    dealt = blocks.repartition("term", F.pmod(F.xxhash64("window"), F.lit(SLOTS))).sortWithinPartitions("term", "window")
+    dealt.mapInArrow(unpack, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return texts, total
 
 

@@ -166,6 +166,29 @@ def test_blocks_equal_scores_of_all_texts(spark, tmp_path, monkeypatch):
     assert fts.open_blocks(spark, str(tmp_path / "none")) is None
 
 
+def test_blocks_are_shuffled_and_not_postings(spark, tmp_path, monkeypatch):
+    def written():
+        gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    words = [f"w{k}" for k in range(40)]
+    made = [(k, " ".join(words + words[: k % 7]) if k % 50 else None) for k in range(300)] + [(300, " .;"), (None, "w1 w1 w2"), (-5, "W3")]
+    docs = spark.createDataFrame(made, "id long, text string").coalesce(1).cache()
+    assert docs.count() == 303
+    before, path = written(), str(tmp_path / "whole")
+    assert fts.build_blocks(docs, path, id_="id") == (303, sum(40 + k % 7 for k in range(300) if k % 50) + 4)
+    assert written() - before < 100  # 40 blocks; postings are 11,000
+    for place, (window, pack) in enumerate(((512, 16 << 20), (7, 900))):
+        monkeypatch.setattr(fts, "WINDOW", window), monkeypatch.setattr(fts, "PACK", pack)
+        fts.build_blocks(docs.repartition(3), path := str(tmp_path / f"ix{place}"), id_="id")
+        blocks = fts.open_blocks(spark, path)[0]
+        got = blocks.select("term", F.explode("held").alias("x")).select("x.doc", "term", F.col("x.tf").cast("long"), F.col("x.length"))
+        assert sorted(got.collect(), key=str) == sorted(fts.postings(docs).collect(), key=str)
+        assert blocks.groupBy("window").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held.doc")))).alias("texts")).where(F.col("texts") > window).count() == 0
+        assert blocks.select("term", "window").distinct().count() == blocks.count() and blocks.where("n != size(held)").count() == 0
+
+
 def test_real_texts_leave_blocks_unread(spark, tmp_path):
     import os
 
